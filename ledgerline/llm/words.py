@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text hashed at once, and bytes of text that one slice of a batch holds.
 PIECE, SLICE = 1 << 19, 4 << 20
@@ -50,7 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         if not batch.num_rows:
             continue
         size = batch.column(text).cast(pa.large_string()).fill_null("")
-        ends = np.cumsum(pa.compute.binary_length(size).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.binary_length(size).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
