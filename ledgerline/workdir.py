@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +33,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of datasets that nobody holds any more.
+
+    Its cleaner acts only when the driver's JVM collects garbage, which may be long after a
+    phase has been written and read back.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
