@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, media, near_dup, rollup, substring_dedup, url_filter
+from ledgerline.llm import bpe, media, near_dup, rollup, substring_dedup, suffix_dedup, url_filter
 
-_MODULES = (bpe, media, near_dup, rollup, substring_dedup, url_filter)
+_MODULES = (bpe, media, near_dup, rollup, substring_dedup, suffix_dedup, url_filter)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
