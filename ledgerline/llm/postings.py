@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SCHEMA = "bucket int, doc_id long, payload binary"
+SCHEMA = "bucket int, settled boolean, payload binary"
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -79,36 +79,33 @@ def spread(values: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarr
     return out
 
 
-def by_document(doc_ids: np.ndarray, positions: np.ndarray, bucket: Callable[[np.ndarray], np.ndarray] | int) -> tuple[list, list, list]:
-    """Rows (bucket, doc_id, positions) of settled entries."""
-    if not len(doc_ids):
-        return [], [], []
-    order = np.lexsort((positions, doc_ids))
-    doc_ids, positions = doc_ids[order], positions[order].astype("<u4")
-    edge = np.flatnonzero(np.r_[True, doc_ids[1:] != doc_ids[:-1]])
-    own = doc_ids[edge]
-    payloads = [p.tobytes() for p in np.split(positions, edge[1:])]
-    return (bucket(own) if callable(bucket) else np.full(len(own), bucket)).tolist(), own.tolist(), payloads
-
-
-def rows(bucket: np.ndarray, doc_ids: np.ndarray, positions: np.ndarray, keys: list[tuple[np.ndarray, int]]) -> tuple[list, list, list]:
-    """A packed row for each bucket that has entries."""
-    order = np.argsort(bucket, kind="stable")
+def rows(bucket: np.ndarray, doc_ids: np.ndarray, positions: np.ndarray, keys: list[tuple[np.ndarray, int]]) -> tuple[list, list]:
+    """(buckets, payloads): a packed row for each bucket that has entries."""
+    order = np.lexsort((positions, doc_ids, bucket))
     bucket = bucket[order]
     edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     payloads = []
     for part in np.split(order, edge[1:]) if len(bucket) else []:
         payloads.append(pack(doc_ids[part], positions[part], [(k[part], w) for k, w in keys]))
-    return bucket[edge].tolist(), [None] * len(edge), payloads
+    return bucket[edge].tolist(), payloads
+
+
+def settled_rows(doc_ids: np.ndarray, positions: np.ndarray, buckets: int, keys: list[tuple[np.ndarray, int]] = []) -> tuple[list, list]:  # noqa: B006
+    """Packed rows of what is decided, dealt by document."""
+    return rows(doc_ids % buckets, doc_ids, positions, keys)
 
 
-def batch(*parts: tuple[list, list, list]) -> pa.RecordBatch:
-    joined = [sum((list(p[i]) for p in parts), []) for i in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(joined[0], pa.int32()), pa.array(joined[1], pa.int64()), pa.array(joined[2], pa.binary())], names=["bucket", "doc_id", "payload"])
+def batch(open_rows: tuple[list, list], settled: tuple[list, list]) -> pa.RecordBatch:
+    flags = [False] * len(open_rows[0]) + [True] * len(settled[0])
+    return pa.RecordBatch.from_arrays([pa.array(open_rows[0] + settled[0], pa.int32()), pa.array(flags, pa.bool_()), pa.array(open_rows[1] + settled[1], pa.binary())], names=["bucket", "settled", "payload"])
+
+
+def decided(found: tuple[list, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.binary())], names=["bucket", "payload"])
 
 
 def settle(entries: DataFrame, buckets: int, widths: list[int], decide: Callable) -> DataFrame:
-    """(doc_id, payload of positions): entries that ``decide`` picks from each bucket, and those settled before.
+    """(bucket, payload) by document: entries that ``decide`` picks from each bucket, and those settled before.
 
     ``decide(doc_ids, positions, keys)`` gets all entries of a bucket and returns a mask.
     """
@@ -117,42 +114,59 @@ def settle(entries: DataFrame, buckets: int, widths: list[int], decide: Callable
         held: list = []
         now = None
 
-        def close() -> pa.RecordBatch | None:
-            if not held:
-                return None
+        def close() -> pa.RecordBatch:
             docs, places, keys = zip(*held, strict=True)
             docs, places = np.concatenate(docs), np.concatenate(places)
             keys = [np.concatenate(k) for k in zip(*keys, strict=True)]
             held.clear()
             mask = decide(docs, places, keys)
-            _, own, payloads = by_document(docs[mask], places[mask], 0)
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(payloads, pa.binary())], names=["doc_id", "payload"])
+            return decided(settled_rows(docs[mask], places[mask], buckets))
 
         for part in batches:
-            settled = part.filter(part.column("doc_id").is_valid()).select(["doc_id", "payload"])
-            if settled.num_rows:
-                yield settled
-            for bucket, doc_id, payload in zip(part.column("bucket").to_pylist(), part.column("doc_id").to_pylist(), part.column("payload"), strict=True):
-                if doc_id is not None:
-                    continue
-                if bucket != now:
-                    if (out := close()) is not None:
-                        yield out
-                    now = bucket
+            done = part.filter(part.column("settled")).select(["bucket", "payload"])
+            if done.num_rows:
+                yield done
+            part = part.filter(pc.invert(part.column("settled")))
+            for bucket, payload in zip(part.column("bucket").to_pylist(), part.column("payload"), strict=True):
+                if bucket != now and held:
+                    yield close()
+                now = bucket
                 held.append(unpack(payload.as_buffer(), widths))
-        if (out := close()) is not None:
-            yield out
+        if held:
+            yield close()
+
+    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, payload binary")
+
 
-    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, payload binary")
+def gathered(settled: DataFrame, buckets: int, name: str, widths: list[int] = []) -> DataFrame:  # noqa: B006
+    """One row a document: its sorted positions (each followed by its keys) as 32-bit integers in ``name``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        now = None
+
+        def close() -> pa.RecordBatch:
+            docs, places, keys = zip(*held, strict=True)
+            columns = [np.concatenate(places), *(np.concatenate(k).astype(np.int64) for k in zip(*keys, strict=True))]
+            docs = np.concatenate(docs)
+            held.clear()
+            order = np.lexsort((columns[0], docs))
+            docs, packed = docs[order], np.stack(columns, axis=1)[order].astype("<u4")
+            edge = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(docs[edge], pa.int64()), pa.array([p.tobytes() for p in np.split(packed, edge[1:])], pa.binary())], names=["doc_id", name])
+
+        for part in batches:
+            for bucket, payload in zip(part.column("bucket").to_pylist(), part.column("payload"), strict=True):
+                if bucket != now and held:
+                    yield close()
+                now = bucket
+                held.append(unpack(payload.as_buffer(), widths))
+        if held:
+            yield close()
 
-def gathered(settled: DataFrame, name: str) -> DataFrame:
-    """One row a document: the list of its position payloads, as ``name``."""
-    return settled.groupBy("doc_id").agg(F.collect_list("payload").alias(name))
+    return settled.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc_id long, {name} binary")
 
 
-def positions_of(payloads: list[bytes] | None) -> np.ndarray:
-    """Sorted distinct positions of one gathered row."""
-    if not payloads:
-        return np.empty(0, np.int64)
-    return np.unique(np.concatenate([np.frombuffer(p, dtype="<u4") for p in payloads])).astype(np.int64)
+def positions_of(payload: bytes | None) -> np.ndarray:
+    """Positions of one gathered row without keys."""
+    return np.frombuffer(payload or b"", dtype="<u4").astype(np.int64)

@@ -54,9 +54,8 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             first = np.zeros(len(key), dtype=bool)
             first[order[begin]] = True
             send = np.flatnonzero(first | ~near)
-            by_doc = send[np.lexsort((place[send], doc[send]))]
-            packed = postings.rows(_bucket(key[by_doc], buckets), doc[by_doc], place[by_doc], [(key[by_doc] & np.uint64(0xFFFFFF), _ANCHOR_BYTES), (indexed[by_doc], 1)])
-            yield postings.batch(packed, postings.by_document(doc[near], place[near], lambda d: d % buckets))
+            packed = postings.rows(_bucket(key[send], buckets), doc[send], place[send], [(key[send] & np.uint64(0xFFFFFF), _ANCHOR_BYTES), (indexed[send], 1)])
+            yield postings.batch(packed, postings.settled_rows(doc[near], place[near], buckets))
 
     return docs.select("doc_id", "text").mapInArrow(run, postings.SCHEMA)
 
@@ -94,9 +93,8 @@ def extensions(docs: DataFrame, buckets: int) -> DataFrame:
             least = postings.spread(np.minimum.reduceat(doc[order], begin), order, begin)
             later = least < doc
             part = np.flatnonzero(~later)  # each window goes on with its smallest document here
-            part = part[np.lexsort((place[part], doc[part]))]
             packed = postings.rows(_bucket(one[part], buckets), doc[part], place[part], [(one[part], 8), (two[part], 8)])
-            yield postings.batch(packed, postings.by_document(doc[later], place[later], lambda d: d % buckets))
+            yield postings.batch(packed, postings.settled_rows(doc[later], place[later], buckets))
 
     return docs.mapInArrow(run, postings.SCHEMA)
 
@@ -125,11 +123,11 @@ def covered(docs: DataFrame) -> DataFrame:
     again = staged(copies(texts), "copies").withColumn("copy", F.lit(True))
     hits = staged(postings.settle(anchors(texts, buckets), buckets, [_ANCHOR_BYTES, 1], _hits), "anchor-hits")
     release(spark)
-    found = postings.gathered(hits.join(again, "doc_id", "left_anti"), "hits")
+    found = postings.gathered(hits, buckets, "hits").join(again, "doc_id", "left_anti")
     windows = postings.settle(extensions(texts.join(found, "doc_id"), buckets), buckets, [8, 8], _later)
     covers = staged(windows, "covered-windows")
     release(spark)
-    return texts.join(postings.gathered(covers, "covers"), "doc_id", "left").join(again, "doc_id", "left")
+    return texts.join(postings.gathered(covers, buckets, "covers"), "doc_id", "left").join(again, "doc_id", "left")
 
 
 def _kept(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -92,14 +92,10 @@ def seeds(docs: DataFrame, buckets: int) -> DataFrame:
             near = postings.spread(several, order, begin)
             first = np.zeros(len(key), dtype=bool)
             first[order[begin]] = True
-            send = np.flatnonzero(first)
-            send = send[np.lexsort((place[send], doc[send]))]
-            # A key that one document has more than once needs all its places, should another slice have it.
-            more = np.flatnonzero(~first & ~near)
-            send = np.concatenate([send, more])
-            send = send[np.lexsort((place[send], doc[send]))]
+            # A key that one document alone has more than once needs all its places, should another slice have it.
+            send = np.flatnonzero(first | ~near)
             packed = postings.rows(_bucket(key[send], buckets), doc[send], place[send], [(key[send] & np.uint64(0xFFFFFFFF), _KEY_BYTES)])
-            yield postings.batch(packed, postings.by_document(doc[near], place[near], lambda d: d % buckets))
+            yield postings.batch(packed, postings.settled_rows(doc[near], place[near], buckets))
 
     return docs.select("doc_id", "text").mapInArrow(run, postings.SCHEMA)
 
@@ -111,10 +107,10 @@ def _shared(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> np.
 
 
 def stretches(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc_id, ...) of every run of windows that share a minimizer with another document.
+    """(bucket, settled, ...) of every run of windows that share a minimizer with another document.
 
     Of equal stretches in a slice only the smallest document's goes on; the others are settled
-    as covered: their rows have no bytes.
+    as covered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +140,12 @@ def stretches(docs: DataFrame, buckets: int) -> DataFrame:
             rows = []
             for part in np.split(send, cut[1:]):
                 text = b"".join([raw[x:y] for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)])
-                rows.append((int(bucket[part[0]]), None, doc[part].astype("<i8").tobytes(), start[part].astype("<u4").tobytes(), (b - a)[part].astype("<u4").tobytes(), (key[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), text))
-            if len(done):
-                cut = np.flatnonzero(np.r_[True, doc[done][1:] != doc[done][:-1]])
-                for part in np.split(done, cut[1:]):
-                    runs = np.stack([start[part], (b - a)[part] - WIDTH + 1], axis=1).astype("<u4").tobytes()
-                    rows.append((int(doc[part[0]] % buckets), int(doc[part[0]]), runs, None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["bucket", "doc_id", "docs", "starts", "sizes", "keys", "bytes"])
+                rows.append((int(bucket[part[0]]), False, doc[part].astype("<i8").tobytes(), start[part].astype("<u4").tobytes(), (b - a)[part].astype("<u4").tobytes(), (key[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), text))
+            for to, packed in zip(*postings.settled_rows(doc[done], start[done], buckets, [((b - a)[done] - WIDTH + 1, 4)]), strict=True):
+                rows.append((to, True, packed, None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 5), strict=True)], names=["bucket", "settled", "docs", "starts", "sizes", "keys", "bytes"])
 
-    return docs.mapInArrow(run, "bucket int, doc_id long, docs binary, starts binary, sizes binary, keys binary, bytes binary")
+    return docs.mapInArrow(run, "bucket int, settled boolean, docs binary, starts binary, sizes binary, keys binary, bytes binary")
 
 
 class RunIndex:
@@ -258,14 +251,7 @@ def _judge(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, texts: list[
 
 
 def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, payload of (start, number of starts) pairs) of covered windows."""
-
-    def emit(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((starts, docs))
-        docs, pairs = docs[order], np.stack([starts, counts], axis=1)[order].astype("<u4")
-        cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, np.int64)
-        parts = [p.tobytes() for p in np.split(pairs, cut[1:])] if len(docs) else []
-        return pa.RecordBatch.from_arrays([pa.array(docs[cut], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "payload"])
+    """(bucket, payload) by document: (start, number of starts) of covered windows."""
 
     def close(held: list) -> Iterator[pa.RecordBatch]:
         docs, starts, sizes, keys = (np.concatenate([np.frombuffer(h[i], dtype=t) for h in held]) for i, t in enumerate(("<i8", "<u4", "<u4", "<u4")))
@@ -283,15 +269,15 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
             part = order[group[i] : group[j]]
             found = _judge(docs[part], starts[part], sizes[part], [raw[a : a + s] for a, s in zip(at[part].tolist(), sizes[part].tolist(), strict=True)])
             if len(found[0]):
-                yield emit(*found)
+                yield postings.decided(postings.settled_rows(found[0], found[1], buckets, [(found[2], 4)]))
             i = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for bucket, doc_id, *parts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if doc_id is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array(parts[:1], pa.binary())], names=["doc_id", "payload"])
+            for bucket, settled, *parts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if settled:
+                    yield postings.decided(([bucket], parts[:1]))
                     continue
                 if bucket != now and held:
                     yield from close(held)
@@ -300,7 +286,7 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from close(held)
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, payload binary")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, payload binary")
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -311,19 +297,19 @@ def covered(docs: DataFrame) -> DataFrame:
     again = staged(copies(texts), "copies").withColumn("copy", F.lit(True))
     hits = staged(postings.settle(seeds(texts, buckets), buckets, [_KEY_BYTES], _shared), "seed-hits")
     release(spark)
-    found = postings.gathered(hits.join(again, "doc_id", "left_anti"), "hits")
+    found = postings.gathered(hits, buckets, "hits").join(again, "doc_id", "left_anti")
     covers = staged(_resolve(stretches(texts.join(found, "doc_id"), buckets), buckets), "covered-runs")
     release(spark)
-    return texts.join(postings.gathered(covers, "covers"), "doc_id", "left").join(again, "doc_id", "left")
+    return texts.join(postings.gathered(covers, buckets, "covers", [4]), "doc_id", "left").join(again, "doc_id", "left")
 
 
-def _gone(size: int, copy: bool | None, payloads: list[bytes] | None) -> np.ndarray | None:
+def _gone(size: int, copy: bool | None, payloads: bytes | None) -> np.ndarray | None:
     """Mask of the bytes to remove; None if there are none."""
     if copy:
         return np.ones(size, dtype=bool) if size >= WIDTH else None
     if not payloads:
         return None
-    runs = np.concatenate([np.frombuffer(p, dtype="<u4") for p in payloads]).astype(np.int64).reshape(-1, 2)
+    runs = np.frombuffer(payloads, dtype="<u4").astype(np.int64).reshape(-1, 2)
     runs = runs[runs.sum(1) + WIDTH - 1 <= size]
     change = np.zeros(size + 1, dtype=np.int64)
     np.add.at(change, runs[:, 0], 1)
