@@ -1,12 +1,55 @@
-"""The corpus pipeline: an ordered list of stages over documents, each written and read again."""
+"""The corpus pipeline: an ordered list of stages over documents, each written and read again.
+
+Toxic documents go; of each group of near copies one stays; passages of 13 words and more that
+an earlier document has are cut; documents that hold a benchmark item go; the rest is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ledgerline.llm import bpe, decontaminate, near_dup, substring_dedup, toxicity
+from ledgerline.llm.tables import table
+from ledgerline.workdir import staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labels that are not held out; drop what is predicted toxic."""
+    return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.dedup(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
+    return bpe.fingerprints(docs, bpe.default_codec(spark))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("bpe", tokenize),
+]
+
+#: SQL cannot say the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each one's result written as Parquet and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

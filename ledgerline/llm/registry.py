@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, decontaminate, media, near_dup, rollup, substring_dedup, suffix_dedup, url_filter
+from ledgerline.llm import bpe, decontaminate, license_scan, media, near_dup, rollup, substring_dedup, suffix_dedup, toxicity, url_filter
 
-_MODULES = (bpe, decontaminate, media, near_dup, rollup, substring_dedup, suffix_dedup, url_filter)
+_MODULES = (bpe, decontaminate, license_scan, media, near_dup, rollup, substring_dedup, suffix_dedup, toxicity, url_filter)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
