@@ -1,8 +1,10 @@
 """Registered queries of the library's own operators, each beside its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ledgerline.queries import finance
+from ledgerline.queries.base import ORACLES, QUERIES, table
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return finance.flagship(lambda name: table(spark, sf_dir, name))
