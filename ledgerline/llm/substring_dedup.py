@@ -3,8 +3,8 @@
 Every document indexes its non-overlapping blocks of BLOCK words and is probed with every
 rolling window of BLOCK words. As a window of WIDTH = 2 * BLOCK - 1 words holds a whole block
 of any document it occurs in, each repeat of WIDTH words has a hit. Hits are extended: the
-WIDTH-word windows around them are compared by 128-bit hashes with those around the blocks
-that they hit, and the windows that also begin in a smaller doc_id are joined to maximal
+WIDTH-word windows around them are compared by 96-bit hashes with those around the blocks
+that they hit (at 10^13 windows two different ones agree anywhere with probability 0.001), and the windows that also begin in a smaller doc_id are joined to maximal
 repeats. Copies of whole texts are settled by a digest before that.
 """
 
@@ -26,7 +26,7 @@ from ledgerline.workdir import release, staged
 
 WIDTH = 13
 BLOCK = (WIDTH + 1) // 2
-#: Bits of a block's hash that an entry carries beside its bucket: hits may be false, extension is exact.
+#: Bytes of a block's hash that an entry carries beside its bucket, the lowest bit marking indexed blocks: hits may be false, extension is exact.
 _ANCHOR_BYTES = 3
 
 
@@ -54,7 +54,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             first = np.zeros(len(key), dtype=bool)
             first[order[begin]] = True
             send = np.flatnonzero(first | ~near)
-            packed = postings.rows(_bucket(key[send], buckets), doc[send], place[send], [(key[send] & np.uint64(0xFFFFFF), _ANCHOR_BYTES), (indexed[send], 1)])
+            packed = postings.rows(_bucket(key[send], buckets), doc[send], place[send], [((key[send] & np.uint64(0xFFFFFE)) | indexed[send].astype(np.uint64), _ANCHOR_BYTES)])
             yield postings.batch(packed, postings.settled_rows(doc[near], place[near], buckets))
 
     return docs.select("doc_id", "text").mapInArrow(run, postings.SCHEMA)
@@ -62,9 +62,9 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _hits(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     """Entries whose key an indexed block of another place has."""
-    order, begin = postings.groups(keys[0])
+    order, begin = postings.groups(keys[0] >> np.uint64(1))
     size = np.diff(np.r_[begin, len(order)])
-    good = (size > 1) & np.logical_or.reduceat(keys[1][order] > 0, begin)
+    good = (size > 1) & np.logical_or.reduceat(keys[0][order] & np.uint64(1) > 0, begin)
     return postings.spread(good, order, begin)
 
 
@@ -93,7 +93,7 @@ def extensions(docs: DataFrame, buckets: int) -> DataFrame:
             least = postings.spread(np.minimum.reduceat(doc[order], begin), order, begin)
             later = least < doc
             part = np.flatnonzero(~later)  # each window goes on with its smallest document here
-            packed = postings.rows(_bucket(one[part], buckets), doc[part], place[part], [(one[part], 8), (two[part], 8)])
+            packed = postings.rows(_bucket(one[part], buckets), doc[part], place[part], [(one[part], 8), (two[part] & np.uint64(0xFFFFFFFF), 4)])
             yield postings.batch(packed, postings.settled_rows(doc[later], place[later], buckets))
 
     return docs.mapInArrow(run, postings.SCHEMA)
@@ -121,10 +121,10 @@ def covered(docs: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     again = staged(copies(texts), "copies").withColumn("copy", F.lit(True))
-    hits = staged(postings.settle(anchors(texts, buckets), buckets, [_ANCHOR_BYTES, 1], _hits), "anchor-hits")
+    hits = staged(postings.settle(anchors(texts, buckets), buckets, [_ANCHOR_BYTES], _hits), "anchor-hits")
     release(spark)
     found = postings.gathered(hits, buckets, "hits").join(again, "doc_id", "left_anti")
-    windows = postings.settle(extensions(texts.join(found, "doc_id"), buckets), buckets, [8, 8], _later)
+    windows = postings.settle(extensions(texts.join(found, "doc_id"), buckets), buckets, [8, 4], _later)
     covers = staged(windows, "covered-windows")
     release(spark)
     return texts.join(postings.gathered(covers, buckets, "covers"), "doc_id", "left").join(again, "doc_id", "left")
