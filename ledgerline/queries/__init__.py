@@ -1,9 +1,9 @@
 """Registered queries of the library's own operators, each beside its SQL."""
 
-from ledgerline.queries import finance, text
+from ledgerline.queries import finance, search, text
 from ledgerline.queries.base import ORACLES, QUERIES, table
 
-__all__ = ["ORACLES", "QUERIES", "finance", "flagship", "text"]
+__all__ = ["ORACLES", "QUERIES", "finance", "flagship", "search", "text"]
 
 
 def flagship(spark, sf_dir):
