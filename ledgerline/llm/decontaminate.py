@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tables import table
-from ledgerline.workdir import staged
+from ledgerline.workdir import discard, staged
 
 SHINGLE, PERCENT = 5, 75
 BLOCKS = 11
@@ -138,7 +138,10 @@ def _windows(texts: DataFrame, numbered: DataFrame, items: DataFrame, k: int, n_
     judged = retrieved.join(windows.select("doc_id", "n", "start", "own"), ["doc_id", "n", "start"]).join(_small(items.select("item_id", "shingles"), n_items), "item_id")
     judged = judged.withColumn("similarity", weighted_similarity(F.col("own"), F.col("shingles"))).where(F.col("similarity") >= PERCENT / 100)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"), F.countDistinct("start").alias("n_windows"))
-    return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"), "n_windows")
+    out = best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"), "n_windows")
+    out = staged(out, "leaks")
+    discard(starts, windows)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerline.graph import connected_components
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import Words, slices
-from ledgerline.workdir import staged
+from ledgerline.workdir import discard, release, staged
 
 WORDS_IN_SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 3, 32
@@ -183,6 +183,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = staged(_sets(texts), "shingle-sets")
     links = staged(_links(_plausible_pairs(stars, reps), sets), "links")
     labels = staged(connected_components(links, "a", "b"), "labels")
+    release(docs.sparkSession)
 
     # Buckets that the links so far leave in several components: pairs across these.
     placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -197,7 +198,9 @@ def classes(docs: DataFrame) -> DataFrame:
     of_class = reps.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = staged(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near-classes")
+    discard(rows, reps, members, stars, sets, links, across, labels)
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:

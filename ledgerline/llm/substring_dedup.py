@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ledgerline.llm import postings
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import Words, slices, spans
-from ledgerline.workdir import release, staged
+from ledgerline.workdir import discard, release, staged
 
 WIDTH = 13
 BLOCK = (WIDTH + 1) // 2
@@ -126,6 +126,7 @@ def covered(docs: DataFrame) -> DataFrame:
     found = postings.gathered(hits, buckets, "hits").join(again, "doc_id", "left_anti")
     windows = postings.settle(extensions(texts.join(found, "doc_id"), buckets), buckets, [8, 4], _later)
     covers = staged(windows, "covered-windows")
+    discard(hits)
     release(spark)
     return texts.join(postings.gathered(covers, buckets, "covers"), "doc_id", "left").join(again, "doc_id", "left")
 

@@ -25,7 +25,7 @@ from ledgerline.llm import postings
 from ledgerline.llm.substring_dedup import copies
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import mix, slices, text_buffers
-from ledgerline.workdir import release, staged
+from ledgerline.workdir import discard, release, staged
 
 WIDTH, GRAM = 50, 24
 _GRAMS = WIDTH - GRAM + 1
@@ -299,6 +299,7 @@ def covered(docs: DataFrame) -> DataFrame:
     release(spark)
     found = postings.gathered(hits, buckets, "hits").join(again, "doc_id", "left_anti")
     covers = staged(_resolve(stretches(texts.join(found, "doc_id"), buckets), buckets), "covered-runs")
+    discard(hits)
     release(spark)
     return texts.join(postings.gathered(covers, buckets, "covers", [4]), "doc_id", "left").join(again, "doc_id", "left")
 

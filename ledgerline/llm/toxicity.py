@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import slices
-from ledgerline.workdir import staged
+from ledgerline.workdir import discard, staged
 
 #: Labelled rows that the classifier is fitted on, at most, and words it may use.
 MAX_LABELLED, MAX_WORDS = 20_000, 8192
@@ -109,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, groups: list[list[str]] | None = Non
     used = docs.sparkSession.createDataFrame([(w, i) for w, i in place.items()], "word string, place int")
     features = bags.withColumn("row", F.monotonically_increasing_id()).select("row", "label", F.explode_outer("words").alias("word")).join(F.broadcast(used), "word", "left")
     rows = features.groupBy("row").agg(F.first("label").alias("label"), F.collect_list("place").alias("places")).select("label", "places").collect()
+    discard(bags)
     rows.sort(key=lambda r: (r.label, sorted(r.places)))  # the fit does not depend on the order of partitions
     return _train([r.label for r in rows], [sorted(r.places) for r in rows], vocabulary, [[[place[s] for s in sorted(stems[t])] for t in g] for g in groups], counterfactual)
 
