@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.workdir import staged
+from ledgerline.workdir import discard, staged
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -30,5 +30,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         turned = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = staged(turned.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, now = now, staged(turned.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
