@@ -5,7 +5,8 @@ exponential variables, one for each shingle, so sketches of parts merge by maxim
 registers agree about as often as the sets overlap. ROWS registers make a band; documents
 that agree in a band are candidates. A bucket never emits all its pairs: its members are
 held against its smallest document, and only where the confirmed links leave a bucket in
-several components are pairs across these components held against each other. The joint
+several components are pairs across these components held against each other, and of these
+only such as could share enough by their numbers of shingles that nobody else has. The joint
 likelihood of two sketches (their cardinalities are known) drops candidates that are far
 below the threshold; the rest is confirmed on the full sets. Documents of equal sets are
 one class from the start, found by a digest of the set.
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.graph import connected_components
+from ledgerline.llm import postings
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import Words, slices
 from ledgerline.workdir import discard, release, staged
@@ -156,6 +158,35 @@ def _plausible_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return sized.mapInArrow(_plausible, "a long, b long")
 
 
+def _sharable(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, bands and ``most``: shingles that another document of ``sets`` may have too.
+
+    Pairs share no more than the lesser ``most``. Shingles are counted by short hashes, which
+    may take a lone one for a shared one but never the reverse.
+    """
+    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column("items")]
+            if not items:
+                continue
+            sizes = [len(x) for x in items]
+            keys, docs = np.concatenate(items), np.repeat(batch.column("doc_id").to_numpy(), sizes)
+            place = np.concatenate([np.arange(n) for n in sizes])
+            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            yield postings.batch(postings.rows(bucket, docs, place, [(keys & np.uint64(0xFFFFFFFF), 4)]), ([], []))
+
+    def alone(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+        order, begin = postings.groups(keys[0])
+        return postings.spread(np.diff(np.r_[begin, len(order)]) == 1, order, begin)
+
+    lone = postings.gathered(postings.settle(sets.mapInArrow(run, postings.SCHEMA), buckets, [4], alone), buckets, "places")
+    lone = lone.select("doc_id", (F.octet_length("places") / 4).cast("long").alias("lone"))
+    found = reps.join(sets.select("doc_id"), "doc_id", "left_semi").join(lone, "doc_id", "left")
+    return found.select("doc_id", "n_shingles", "bands", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("most"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs confirmed on the full sets."""
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"items_{side}"))
@@ -185,13 +216,18 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = staged(connected_components(links, "a", "b"), "labels")
     release(docs.sparkSession)
 
-    # Buckets that the links so far leave in several components: pairs across these.
+    # Buckets that the links so far leave in several components: pairs across these that can reach the threshold.
     placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = placed.join(mixed, "band")
-    other = rest.select("band", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-    across = rest.withColumnRenamed("doc_id", "a").join(other, "band").where("a < b AND component <> component_b").select("a", "b").distinct()
-    across = staged(_plausible_pairs(across.join(stars, ["a", "b"], "left_anti"), reps), "cross-pairs")
+    rest = staged(placed.join(mixed, "band"), "mixed-buckets")
+    sharable = staged(_sharable(sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), reps), "sharable")
+    side = lambda n: rest.join(sharable, "doc_id").select("band", F.col("doc_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("component", "n_shingles", "most", "bands")])
+    common = F.least("most_a", "most_b")
+    possible = 100 * common >= PERCENT * (F.col("n_shingles_a") + F.col("n_shingles_b") - common)
+    once = F.col("x.band") == F.array_min(F.array_intersect("bands_a", "bands_b"))  # in one bucket of all that a pair shares
+    across = side("a").alias("x").join(side("b").alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & possible & once)
+    across = staged(_plausible_pairs(across.select("a", "b").join(stars, ["a", "b"], "left_anti"), reps), "cross-pairs")
+    discard(rest, sharable)
     if not across.isEmpty():
         labels = staged(connected_components(links.union(_links(across, sets)), "a", "b"), "labels")
 
