@@ -64,7 +64,7 @@ def unpack(raw: bytes, widths: list[int]) -> tuple[np.ndarray, np.ndarray, list[
 def groups(key: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order that brings equal keys together, and where each group begins in it."""
     if second is None:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         return order, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     order = np.lexsort((second, key))

@@ -179,7 +179,8 @@ class RunIndex:
             depth *= 2
             if depth > longest:
                 break
-        order = np.argsort(rank, kind="stable")
+        order = np.empty(n, dtype=np.int64)
+        order[rank] = at  # all ranks differ by now
         self._entries(order, left, at_depth, docs[owner])
         before = np.where(order > 0, symbol[order - 1], 0)
         head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
@@ -193,7 +194,7 @@ class RunIndex:
 
     @staticmethod
     def _dense(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         out = np.empty(len(key), dtype=np.int64)
         out[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
