@@ -1,9 +1,9 @@
 """Registered queries of the library's own operators, each beside its SQL."""
 
-from ledgerline.queries import finance, records, search, text
+from ledgerline.queries import answers, finance, records, search, text
 from ledgerline.queries.base import ORACLES, QUERIES, table
 
-__all__ = ["ORACLES", "QUERIES", "finance", "flagship", "records", "search", "text"]
+__all__ = ["ORACLES", "QUERIES", "answers", "finance", "flagship", "records", "search", "text"]
 
 
 def flagship(spark, sf_dir):
