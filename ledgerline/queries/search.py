@@ -11,7 +11,7 @@ from ledgerline.queries.base import AS_OF, query
 _VEC = "q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20), v AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id >= 20), hits AS (SELECT query_id, doc_id, label, list_cosine_similarity(q.e, v.e) AS score FROM q, v)"
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place"
 _TOK = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')"
-_BM = f"dd AS (SELECT doc_id, unnest({_TOK}) AS term, len({_TOK}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(len({_TOK})) AS mean FROM documents), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM dd GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), qq AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark), bm AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM qq JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)"
+_BM = f"tk AS MATERIALIZED (SELECT doc_id, {_TOK} AS ws FROM documents), qq AS MATERIALIZED (SELECT DISTINCT query_id, unnest(ws) AS term FROM (SELECT item_id AS query_id, {_TOK} AS ws FROM benchmark) b0), dd AS (SELECT * FROM (SELECT doc_id, unnest(ws) AS term, len(ws) AS dl FROM tk) d0 WHERE term IN (SELECT term FROM qq)), st AS MATERIALIZED (SELECT count(*) AS n, avg(len(ws)) AS mean FROM tk), tf AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM dd GROUP BY ALL), df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term), bm AS MATERIALIZED (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM qq JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)"
 
 
 def _vectors(t):
