@@ -27,7 +27,7 @@ from ledgerline.workdir import discard, release, staged
 WIDTH = 13
 BLOCK = (WIDTH + 1) // 2
 #: Bytes of a block's hash that an entry carries beside its bucket, the lowest bit marking indexed blocks: hits may be false, extension is exact.
-_ANCHOR_BYTES = 3
+_ANCHOR_BYTES = 4
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -54,7 +54,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             first = np.zeros(len(key), dtype=bool)
             first[order[begin]] = True
             send = np.flatnonzero(first | ~near)
-            packed = postings.rows(_bucket(key[send], buckets), doc[send], place[send], [((key[send] & np.uint64(0xFFFFFE)) | indexed[send].astype(np.uint64), _ANCHOR_BYTES)])
+            packed = postings.rows(_bucket(key[send], buckets), doc[send], place[send], [((key[send] & np.uint64(0xFFFFFFFE)) | indexed[send].astype(np.uint64), _ANCHOR_BYTES)])
             yield postings.batch(packed, postings.settled_rows(doc[near], place[near], buckets))
 
     return docs.select("doc_id", "text").mapInArrow(run, postings.SCHEMA)
