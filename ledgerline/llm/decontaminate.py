@@ -9,6 +9,8 @@ least counts over the sum of greatest counts. (Windows at 0.75 differ in 11 +- 3
 
 Fingerprints are taken only of windows that can reach the threshold t: of T shingles they
 share 2t/(1+t) * T with the item, so the places of shared shingles bound where they begin.
+A document with fewer shingles than the item is one window, its whole list of m shingles: it
+shares t/(1+t) * (m + T) and has m >= t * T.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document and item with a window of the item's length at PERCENT or more:
     the greatest similarity, the first word (from 0) of the first window that has it, and how
-    many windows reach the threshold. Items of fewer than five words are one shingle. Null and
+    many windows reach the threshold. A text shorter than an item is one window. Items of fewer than five words are one shingle. Null and
     empty texts match nothing; repeated documents or items under one id count once; documents
     or items with a null id, and other columns, are ignored; empty tables give no rows.
     """
@@ -99,15 +101,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _hashed(texts: DataFrame, k: int) -> DataFrame:
-    """Without the text but with ``hashes``; words are a column first, lest each hash splits the text anew."""
-    return texts.withColumn("words", words_of(F.col("text"))).withColumn("hashes", shingles_of(F.col("words"), k)).drop("text", "words")
+    """Without the text but with ``hashes`` and their number ``m``; words are a column first, lest each hash splits the text anew."""
+    return texts.withColumn("words", words_of(F.col("text"))).select("*", F.greatest(F.size("words") - (k - 1), F.lit(0)).alias("m"), shingles_of(F.col("words"), k).alias("hashes")).drop("text", "words")
 
 
 def _matches(texts: DataFrame, items: DataFrame, k: int, n_shingles: int, n_items: int) -> DataFrame:
-    needed = F.ceil(F.lit(2 * PERCENT) * F.col("n") / F.lit(100 + PERCENT))
-    parts = items.select("item_id", "n", needed.alias("needed"), F.explode(F.array_distinct("shingles")).alias("h"))
-    places = _hashed(texts, k).select("doc_id", F.posexplode_outer("hashes").alias("place", "h")).where("h IS NOT NULL")  # outer: a filter inferred from an inner one would hash twice
-    shared = places.join(_small(parts, n_shingles), "h").select("doc_id", "item_id", "n", "needed", "place").distinct()
+    needed = F.ceil(F.lit(PERCENT) * (F.col("n") + F.least("m", "n")) / F.lit(100 + PERCENT))
+    parts = items.select("item_id", "n", F.explode(F.array_distinct("shingles")).alias("h"))
+    places = _hashed(texts, k).select("doc_id", "m", F.posexplode_outer("hashes").alias("place", "h")).where("h IS NOT NULL")  # outer: a filter inferred from an inner one would hash twice
+    shared = places.join(_small(parts, n_shingles), "h").where(100 * F.col("m") >= PERCENT * F.col("n")).select("doc_id", "item_id", "n", needed.alias("needed"), "place").distinct()
 
     by = Window.partitionBy("doc_id", "item_id").orderBy("place")
     numbered = shared.withColumn("previous", F.lag("place").over(by)).withColumn("rank", F.row_number().over(by))
@@ -124,7 +126,7 @@ def _windows(texts: DataFrame, numbered: DataFrame, items: DataFrame, k: int, n_
     starts = staged(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n", "start")).alias("starts")), "window-starts")
 
     hashed = _hashed(texts.join(starts, "doc_id"), k)
-    windows = hashed.select("doc_id", F.explode("starts").alias("w"), "hashes").where("w.start + w.n <= size(hashes)")
+    windows = hashed.select("doc_id", "m", F.explode("starts").alias("w"), "hashes").where(f"w.start + w.n <= m OR (w.start = 0 AND m < w.n AND 100 * m >= {PERCENT} * w.n)")
     windows = windows.select("doc_id", "w.n", F.col("w.start").alias("start"), F.slice("hashes", F.col("w.start").cast("int") + 1, F.col("w.n")).alias("own")).withColumn("print", simhash(F.col("own")))
     windows = staged(windows, "window-prints")
 

@@ -71,3 +71,32 @@ def test_empty_tables(spark):
     assert dc.matches(docs, items.limit(0)).count() == 0
     assert dc.matches(docs.limit(0), items).count() == 0
     assert dc.clean(docs, items).count() == 0 and dc.clean(docs, items.limit(0)).count() == 1
+
+
+def test_texts_shorter_than_an_item(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([6, 9, 20, 30, 59])]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for cut in (1, 2, 4, 14):
+            docs += [(100 * i + cut, " ".join(w[cut:])), (100 * i + cut + 50, " ".join(w[:-cut]))]
+        docs.append((100 * i + 40, " ".join([*w[:3], *w[4:]])))
+    shorter = {}
+    for item, text in items:
+        own = grams(words(text))
+        for doc, t in docs:
+            there = grams(words(t))
+            both = sum((own & there).values())
+            if 0 < sum(there.values()) < sum(own.values()) and both / (sum(own.values()) + sum(there.values()) - both) >= 0.75:
+                shorter[doc, item] = (round(both / (sum(own.values()) + sum(there.values()) - both), 9), 0, 1)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.n_windows) for r in dc.matches(d, b).collect()}
+    assert got == brute(docs, items) | shorter
+    assert got[404, 4] == (round(51 / 55, 9), 0, 1)
+    assert {r.doc_id for r in dc.clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def grams(w):
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
