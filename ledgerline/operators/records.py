@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,52 @@ def duplicate_events(events: DataFrame, days: int = 30, ratio: float = 0.7) -> D
     return pairs.where(near).select("a", "z")
 
 
+#: Events of a slot that meet in one task; slots with more are salted.
+SLOT_ROWS = 2000
+
+
+def duplicate_classes(events: DataFrame, days: int = 30, ratio: float = 0.7, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Duplicate events as (a, z, link): classes, and links between their representatives.
+
+    ``same``: z is one of the class of a, the smallest id among events of one company (in any
+    case), type, day and amount. ``near``: representatives a < z of one company and type within
+    some days and a ratio of amounts; all events of the two classes are duplicates. As in the
+    studied project a null or zero amount agrees with every amount and a null day with every
+    day. Null ids, companies or types match nothing.
+    """
+    what = ["company", "type", "day", "amount"]
+    rows = events.select("id", F.lower("company").alias("company"), "type", "day", F.col("amount").cast("double").alias("amount")).dropna(subset=["id", "company", "type"])
+    first = rows.groupBy(*what).agg(F.min("id").alias("a"))
+    agree = [rows[c].eqNullSafe(first[c]) for c in what]
+    same = rows.join(first, agree).where("id <> a").select("a", F.col("id").alias("z"), F.lit("same").alias("link")).distinct()
+
+    b = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / max(days, 1))
+    g = F.floor(F.ln("amount") / (-math.log(ratio) * (1 + 1e-9) if ratio < 1 else 1.0))
+    slotted = first.withColumn("full", F.coalesce((F.col("amount") > 0) & F.col("day").isNotNull(), F.lit(False)))
+    full = slotted.where("full").withColumn("b", b).withColumn("g", g)
+    # Days or amounts that agree differ by one bucket at most: z goes to its own slot and the eight around it.
+    slot = ["company", "type", "b", "g"]
+    hot = full.groupBy(*slot).agg(F.ceil(F.count("*") / slot_rows).alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    left = full.join(hot, slot, "left").select(*slot, F.pmod(F.xxhash64("a"), salts).alias("salt"), "a", F.col("day").alias("a_day"), F.col("amount").alias("a_amount"))
+    near = F.array(*[F.struct((F.col("b") + i).alias("b"), (F.col("g") + j).alias("g")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    right = full.select("company", "type", F.explode(near).alias("s"), F.col("a").alias("z"), F.col("day").alias("z_day"), F.col("amount").alias("z_amount")).select("company", "type", "s.b", "s.g", "z", "z_day", "z_amount")
+    right = right.join(hot, slot, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    met = left.join(right, [*slot, "salt"]).select("a", "a_day", "a_amount", "z", "z_day", "z_amount")
+
+    # What has no slot meets all of its company and type.
+    open_ = slotted.where("not full").select("company", "type", F.col("a").alias("x"), F.col("day").alias("x_day"), F.col("amount").alias("x_amount"))
+    every = slotted.select("company", "type", "full", F.col("a").alias("y"), F.col("day").alias("y_day"), F.col("amount").alias("y_amount"))
+    loose = open_.join(every, ["company", "type"]).where("full OR x < y")
+    turn = F.col("x") < F.col("y")
+    loose = loose.select(*[F.when(turn, F.col(f"x{c}")).otherwise(F.col(f"y{c}")).alias(f"a{c}") for c in ("", "_day", "_amount")], *[F.when(turn, F.col(f"y{c}")).otherwise(F.col(f"x{c}")).alias(f"z{c}") for c in ("", "_day", "_amount")])
+
+    dated = F.coalesce(F.abs(F.datediff("a_day", "z_day")) <= days, F.lit(True))
+    valued = F.coalesce((F.col("a_amount") == 0) | (F.col("z_amount") == 0), F.lit(True)) | (F.least("a_amount", "z_amount") >= ratio * F.greatest("a_amount", "z_amount"))
+    links = met.unionByName(loose).where((F.col("a") < F.col("z")) & dated & valued).select("a", "z", F.lit("near").alias("link")).distinct()
+    return same.unionByName(links)
+
+
 def event_id(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])), 1, 16)
 

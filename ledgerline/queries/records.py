@@ -77,6 +77,11 @@ def evt_04(t):
     return rc.duplicate_events(_events(t).where("company = 'Company1'"), 2, 0.95)
 
 
+@query("evt_04_duplicate_classes")
+def evt_04_classes(t):
+    return rc.duplicate_classes(_events(t))
+
+
 @query("evt_06_aggregate_events", "g AS (SELECT l_suppkey AS company, sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice ELSE 0 END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0 END) AS n, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) SELECT company, round(a, 2) AS A, round(n, 2) AS N, round(total, 2) AS total, round(a / total, 6) AS share FROM g")
 def evt_06(t):
     out = rc.totals_by(t("lineitem").withColumnRenamed("l_suppkey", "company"), "company", "l_returnflag", ["A", "N"], "l_extendedprice")
