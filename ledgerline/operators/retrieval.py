@@ -34,6 +34,19 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_k(hits, k)
 
 
+def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Cosine of every query and document, with the document's other columns; queries go in blocks of MAX_QUERIES / 2 on average."""
+    blocks = queries.count() * 2 // MAX_QUERIES + 1
+    v = corpus.withColumn("v", unit(F.col("embedding"))).drop("embedding")
+    out = None
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        q = F.broadcast(block.select("query_id", unit(F.col("embedding")).alias("q")))
+        part = v.join(q).withColumn("score", dot(F.col("q"), F.col("v"))).drop("q", "v")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 8, width: float = 0.5) -> DataFrame:
     """Approximate neighbours by random projections of unit vectors; scores of what is retrieved are exact."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

@@ -136,6 +136,95 @@ def ret_22(t):
     return _labelled(t, 10).groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["label"].cast("string"), x["doc_id"].cast("string"))), " ").alias("context"))
 
 
+# The searches above over the contract's queries: every row whose id is divisible by 100, against all rows.
+_VEC_ALL = _VEC.replace("vec_id < 20", "vec_id % 100 = 0").replace(" WHERE vec_id >= 20", "")
+
+
+def _all_queries(t):
+    return t("embeddings").where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+def _all_scores(t):
+    return rt.vector_scores(_all_queries(t).select("query_id", "embedding"), t("embeddings").withColumnRenamed("vec_id", "doc_id"))
+
+
+def _all_hits(t, k=10):
+    return rt.top_k(_all_scores(t), k)
+
+
+@query("ret_01_vector_topk_all", f"{_VEC_ALL} SELECT query_id, doc_id, round(score, 5) AS score, {_TOP} FROM hits QUALIFY place <= 10")
+def ret_01_all(t):
+    return _all_hits(t).select("query_id", "doc_id", F.round("score", 5).alias("score"), "place")
+
+
+@query("ret_02_vector_topk_lsh_all")
+def ret_02_all(t):
+    return rt.vector_topk_lsh(_all_queries(t), t("embeddings").withColumnRenamed("vec_id", "doc_id"), 10)
+
+
+_BM_ALL = _BM.replace("item_id AS query_id", "doc_id AS query_id").replace("FROM benchmark", "FROM documents WHERE doc_id IN (SELECT query_id FROM q)")
+
+
+@query("ret_07_rrf_all", f"{_VEC_ALL}, {_BM_ALL}, a AS (SELECT query_id, doc_id, {_TOP} FROM hits QUALIFY place <= 20), b AS (SELECT query_id, doc_id, {_TOP} FROM bm QUALIFY place <= 20), u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + place)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, doc_id, round(score, 9) AS score, {_TOP} FROM u QUALIFY place <= 10")
+def ret_07_all(t):
+    """Neighbours fused with the BM25 ranking of the text under the query's id."""
+    docs = t("documents").select("doc_id", "text")
+    asked = docs.join(_all_queries(t).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    return rt.rrf([_all_hits(t, 20), rt.bm25(asked, docs, 20)], 10).withColumn("score", F.round("score", 9))
+
+
+@query("ret_10_boost_all", f"{_VEC_ALL}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 30) SELECT query_id, doc_id, round(score + CASE WHEN label % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN place <= 3 THEN 0.1 ELSE 0 END, 5) AS score FROM t")
+def ret_10_all(t):
+    return rt.boost(_all_hits(t, 30), [(F.col("label") % 2 == 0, 0.15), (F.col("place") <= 3, 0.1)]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+@query("ret_11_align_evidence_all", f"{_VEC_ALL}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 30), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) AS n FROM t QUALIFY n <= 2) SELECT query_id, label, count(*) AS n, min(place) AS best FROM b GROUP BY ALL")
+def ret_11_all(t):
+    return rt.balance(_all_hits(t, 30), "label", 2).groupBy("query_id", "label").agg(F.count("*").alias("n"), F.min("place").alias("best"))
+
+
+@query("ret_12_expand_parents_all", f"{_VEC_ALL}, t AS (SELECT query_id, doc_id - doc_id % 3 AS parent_id, {_TOP} FROM hits QUALIFY place <= 30), p AS (SELECT query_id, parent_id, min(place) AS best FROM t GROUP BY ALL) SELECT query_id, parent_id, best, row_number() OVER (PARTITION BY query_id ORDER BY best, parent_id) AS place FROM p QUALIFY place <= 5")
+def ret_12_all(t):
+    chunks = t("embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") - F.col("vec_id") % 3).alias("parent_id"))
+    return rt.expand_parents(_all_hits(t, 30), chunks, 5)
+
+
+@query("ret_15_search_by_period_all", f"{_VEC_ALL} SELECT query_id, label, doc_id FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) <= 2")
+def ret_15_all(t):
+    return rt.balance(_all_scores(t), "label", 2).select("query_id", "label", "doc_id")
+
+
+_PRIORITY = "CASE c.filing_type WHEN '10-K' THEN 3 WHEN '10-Q' THEN 2 WHEN '8-K' THEN 1 WHEN 'Press Release' THEN 1 ELSE 0 END"
+_RULE = f"0.8 + 0.05 * {_PRIORITY} + CASE WHEN contains(c.content, CAST(a.fiscal_year AS STRING)) THEN 0.2 WHEN a.fiscal_year = c.fiscal_year THEN 0.1 ELSE 0 END"
+
+
+@query("ret_16_inject_all", f"{_VEC_ALL}, t AS (SELECT query_id, doc_id, score, {_TOP} FROM hits QUALIFY place <= 10), r AS (SELECT a.chunk_id AS query_id, c.chunk_id AS doc_id, round({_RULE}, 9) AS score FROM chunks a JOIN chunks c ON a.company = c.company WHERE a.chunk_id IN (SELECT query_id FROM q) AND contains(c.content, 'tion')), x AS (SELECT query_id, doc_id, score, {_TOP} FROM r QUALIFY place <= 5), u AS (SELECT query_id, doc_id, score FROM t UNION ALL SELECT query_id, doc_id, score FROM x) SELECT query_id, doc_id, round(max(score), 5) AS score FROM u GROUP BY ALL", ("chunks",))
+def ret_16_all(t):
+    """The five best chunks of the query's company by the rule score, merged with the hits."""
+    chunks = t("chunks")
+    asked = chunks.join(_all_queries(t).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").alias("a")
+    rows = chunks.where(F.col("content").contains("tion")).alias("c").join(asked, F.expr("a.company = c.company"))
+    rule = rows.select(F.col("a.chunk_id").alias("query_id"), F.col("c.chunk_id").alias("doc_id"), F.round(F.expr(_RULE).cast("double"), 9).alias("score"))
+    return rt.inject(_all_hits(t), rt.top_k(rule, 5)).withColumn("score", F.round("score", 5))
+
+
+@query("ret_20_evidence_gate_all", f"{_VEC_ALL}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 5) SELECT query_id, bool_or(score >= 0.35) AS passed FROM t GROUP BY query_id")
+def ret_20_all(t):
+    return _all_hits(t, 5).groupBy("query_id").agg(F.bool_or(F.col("score") >= 0.35).alias("passed"))
+
+
+@query("ret_21_combine_scores_all", f"{_VEC_ALL}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 10) SELECT query_id, doc_id, round(CASE WHEN doc_id % 2 = 0 THEN 0.3 * score + 0.7 * 0.5 ELSE score END, 5) AS score FROM t")
+def ret_21_all(t):
+    hits = _all_hits(t)
+    return rt.combine_scores(hits, hits.where("doc_id % 2 = 0").withColumn("score", F.lit(0.5))).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+@query("ret_22_assemble_context_all", f"{_VEC_ALL}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 10) SELECT query_id, string_agg(label || ':' || doc_id, ' ' ORDER BY label, place) AS context FROM t GROUP BY query_id")
+def ret_22_all(t):
+    parts = F.sort_array(F.collect_list(F.struct("label", "place", "doc_id")))
+    return _all_hits(t, 10).groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["label"].cast("string"), x["doc_id"].cast("string"))), " ").alias("context"))
+
+
 _N = "n1 AS (SELECT input_pos, {canon} AS url, title, published, source_type, intent FROM news)"
 _CANON = "lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][\\w+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:]+://([^/?]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:]+://[^/?]*([^?]*)', 1), '/+$', '') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\\?.*)$', 1)"
 _N = _N.format(canon=_CANON)
