@@ -14,10 +14,11 @@ scanned where they lie, with no shuffle but that of the few matches.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,33 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+_GNU = "This program is free software you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation either version {} of the License or at your option any later version"
+#: (license, notice, phrases that a window must hold unedited: what tells it from its neighbours).
+NOTICES: list[tuple[str, str, tuple[str, ...]]] = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2",)),
+    ("Apache-2.0-short", "Licensed under the Apache License 2.0", ("apache license 2",)),
+    ("MIT", "Released under the MIT License", ("mit license",)),
+    ("MIT-terms", "under the terms of the MIT License", ("mit license",)),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License", ("bsd 3 clause",)),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License", ("bsd 2 clause",)),
+    ("ISC", "Licensed under the ISC License", ("isc license",)),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license version 3",)),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license version 2",)),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3", ("gnu lesser general public license version 3",)),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1", ("gnu lesser general public license version 2 1",)),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3", ("gnu affero general public license version 3",)),
+    *((f"{name}-header", _GNU.format(title, version), (f"gnu {title.lower()}", f"version {version.replace('.', ' ')} of the license")) for name, title, version in [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3")]),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
+    *((f"CC-{kind}-4.0", f"Licensed under CC {kind} 4.0", (f"cc {kind.lower().replace('-', ' ')} 4",)) for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
+    *((f"CC-{kind}-4.0-name", f"This work is licensed under a Creative Commons {title} 4.0 International License", (f"creative commons {title.lower().replace('-', ' ')} 4",)) for kind, title in [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]),
+    ("CC0-1.0", "Released under CC0 1.0 Universal", ("cc0 1",)),
+    ("Unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    ("ISC-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ()),
+    ("BSD-3-Clause-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ()),
+    *((name, text, ()) for name, text in TEMPLATES if name in ("Apache-2.0-header", "MIT-grant", "BSD-grant")),
+]
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     """ROWS * BANDS minima of each row of shingle hashes."""
     out = np.empty((len(shingles), ROWS * BANDS), dtype=np.uint64)
@@ -119,6 +147,76 @@ class Index:
         return {key: (*max(hits), len(hits)) for key, hits in found.items()}
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts with runs of letters and digits as their words."""
+    return pc.replace_substring_regex(texts.cast(pa.string()), r"[^\pL\pN]+", " ")
+
+
+class NoticeIndex:
+    """Notices of plain words; short ones have shingles of fewer words, so that an edit leaves three quarters."""
+
+    def __init__(self, notices: list[tuple[str, str, tuple[str, ...]]]) -> None:
+        self.names = [n for n, _, _ in notices]
+        texts = plain(pa.array([t for _, t, _ in notices], pa.string())).to_pylist()
+        loose = [i for i, (_, _, keys) in enumerate(notices) if not keys]
+        self.long, self.at = Index([(self.names[i], texts[i]) for i in loose]), loose
+        self.short = []
+        for i, (_, _, keys) in enumerate(notices):
+            if keys:
+                words = Words.of(pa.array([texts[i]], pa.string()))
+                k = max(1, min(SHINGLE, (len(words.doc()) + 1) // 5))
+                own, _ = words.grams(words.hashes(lower=True), k)
+                phrases = [self._phrase(x) for x in keys]
+                self.short.append((i, k, len(own), np.unique(own), set(Index.keys(minima(own[None, :]))[0]), phrases))
+
+    @staticmethod
+    def _phrase(text: str) -> tuple[int, np.uint64]:
+        words = Words.of(pa.array([text], pa.string()))
+        n = len(words.doc())
+        return n, words.grams(words.hashes(lower=True), n)[0][0]
+
+    def scan(self, words: Words) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """Best (containment, -first word, windows) of each (document, notice) of a slice."""
+        out = {(d, self.at[i]): x for (d, i), x in self.long.scan(words).items()}
+        hashes, docs = words.hashes(lower=True), words.doc()
+        sizes = {n for *_, phrases in self.short for n, _ in phrases} | {k for _, k, *_ in self.short}
+        grams = {n: words.grams(hashes, n) for n in sizes}
+        for i, k, n, own, bands, phrases in self.short:
+            places = [np.sort(grams[m][1][grams[m][0] == h]) for m, h in phrases]
+            if not all(len(p) for p in places):
+                continue
+            # Only windows that hold the first phrase; a document shorter than a notice is one window.
+            span, v, at = n + k - 1, *grams[k]
+            before = places[0][:, None] - np.arange(max(span - phrases[0][0], 0) + 1)
+            owner = docs[np.broadcast_to(places[0][:, None], before.shape)]
+            starts = np.unique(np.maximum(np.minimum(before, words.first[owner + 1] - span), words.first[owner]))
+            ends = np.minimum(starts + span, words.first[docs[starts] + 1])
+            good = ends - starts >= k
+            for (m, _), p in zip(phrases, places, strict=True):
+                nxt = np.searchsorted(p, starts)
+                good &= (nxt < len(p)) & (p[np.minimum(nxt, len(p) - 1)] + m <= ends)
+            starts, ends = starts[good], ends[good]
+            found: dict[int, list] = {}
+            for a in range(0, len(starts), _CHUNK):
+                part, till = starts[a : a + _CHUNK], ends[a : a + _CHUNK]
+                first = np.searchsorted(at, part)
+                windows = v[first[:, None] + np.minimum(np.arange(n), (till - part - k)[:, None])]
+                near = [j for j, keys in enumerate(Index.keys(minima(windows))) if any(x in bands for x in keys)]
+                for j in near:
+                    held = np.isin(own, windows[j]).mean()
+                    if 100 * held >= PERCENT:
+                        doc = int(docs[part[j]])
+                        found.setdefault(doc, []).append((float(held), -int(part[j] - words.first[doc])))
+            out |= {(doc, i): (*max(hits), len(hits)) for doc, hits in found.items()}
+        return out
+
+
+def scan_notices(docs: DataFrame, notices: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
+    """As ``scan``, but words are runs of letters and digits (first_word counts those), a notice
+    with phrases has shingles of a fifth of its words, at most SHINGLE, and needs each phrase."""
+    return _scan(docs, NoticeIndex(notices), plain)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     """(doc_id, license, containment, first_word, n_windows): templates that a text holds.
 
@@ -129,14 +227,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     nothing; repeated rows give their rows again; a null doc_id is kept; an empty table gives
     no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates))
+    return _scan(docs, Index(templates), lambda texts: texts)
+
+
+def _scan(docs: DataFrame, index: Index | NoticeIndex, read: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = "doc_id long, license string, containment double, first_word long, n_windows long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[d], index.names[i], held, -back, n) for (d, i), (held, back, n) in index.scan(Words.of(batch.column("text"))).items()]
+            rows = [(ids[d], index.names[i], held, -back, n) for (d, i), (held, back, n) in index.scan(Words.of(read(batch.column("text")))).items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "license", "containment", "first_word", "n_windows"])
 
@@ -145,7 +247,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents."""
-    return scan(table(spark, sf_dir, "documents"), TEMPLATES)
+    return scan_notices(table(spark, sf_dir, "documents"), NOTICES)
 
 
 QUERIES = {"op8_license_scan": op8_license_scan}
