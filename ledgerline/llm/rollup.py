@@ -81,12 +81,12 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A life of the corpus as five batches: two inserts, the removal of later copies, a revision, and a replay.
 
     Every document enters under ``words-1`` and ``letters-1``; documents whose text an earlier
-    doc_id has are then deleted from both; at last the counts under ``letters-1`` are revised,
+    doc_id has (null ids are last, and one row a text stays) are then deleted from both; at last the counts under ``letters-1`` are revised,
     as digits count too; the first batch arrives a second time and changes nothing.
     """
-    counts = staged(count_documents(table(spark, sf_dir, "documents")), "token-counts")
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    marked = counts.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first_id"))
+    counts = staged(count_documents(table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id()), "token-counts")
+    first = counts.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first_row"))
+    marked = counts.join(first, "digest").withColumn("copy", F.col("row") != F.col("first_row"))
     copies, live = marked.where("copy"), marked.where("not copy")
     rollup = Rollup(spark, new_path(spark, "token-rollup"))
     arrived = signed(counts, "words-1", new=F.col("words"))

@@ -24,3 +24,14 @@ def test_inserts_deletes_revisions_and_replays(spark):
     assert r.commit("b3", rollup.signed(counts.where("doc_id = 3"), "w", old=F.col("words")))
     assert totals(r) == {("a", "en", "w"): (3, 2)}
     assert r.commit("b4", added.limit(0)) and totals(r) == {("a", "en", "w"): (3, 2)}
+
+
+def test_null_and_repeated_ids_follow_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, "a", "en", "one 2"), (None, "a", "en", "only null 3"), (None, "a", "en", "only null 3"), (5, "b", "en", "one 2"), (7, "c", "en", "x 9"), (7, "c", "en", "x 9"), (8, "c", "en", "x 9"), (None, "c", "de", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {(x.source, x.lang, x.tokenizer, x.n_docs, x.n_tokens) for x in rollup.op3_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(rollup.ORACLES["op3_token_rollup"]).fetchall())
