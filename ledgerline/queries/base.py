@@ -19,8 +19,8 @@ VIEWS = {
  CASE doc_id % 3 WHEN 0 THEN 'parent' WHEN 1 THEN 'child' ELSE 'table' END AS chunk_type, doc_id - doc_id % 3 AS parent_id FROM documents""",
     "facts": """SELECT entity, CASE WHEN y % 2 = 0 THEN 'Revenues' ELSE 'SalesRevenueNet' END AS concept, make_date(y, 1, 1) AS start_d,
  CASE q WHEN 1 THEN make_date(y, 3, 31) WHEN 2 THEN make_date(y, 6, 30) WHEN 3 THEN make_date(y, 9, 30) ELSE make_date(y, 12, 31) END AS end_d,
- sum(v) OVER (PARTITION BY entity, y ORDER BY q) AS val, CASE WHEN q = 4 THEN '10-K' ELSE '10-Q' END AS form
- FROM (SELECT c.c_mktsegment AS entity, CAST(year(o.o_orderdate) AS INT) AS y, CAST(quarter(o.o_orderdate) AS INT) AS q, sum(o.o_totalprice) AS v
+ CAST(sum(v) OVER (PARTITION BY entity, y ORDER BY q) AS DOUBLE) AS val, CASE WHEN q = 4 THEN '10-K' ELSE '10-Q' END AS form
+ FROM (SELECT c.c_mktsegment AS entity, CAST(year(o.o_orderdate) AS INT) AS y, CAST(quarter(o.o_orderdate) AS INT) AS q, sum(CAST(o.o_totalprice AS DECIMAL(18, 2))) AS v
  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment, year(o.o_orderdate), quarter(o.o_orderdate)) t""",
     "calendar": """SELECT * FROM (VALUES ('AUTOMOBILE', 3), ('BUILDING', 8), ('FURNITURE', 12), ('HOUSEHOLD', 9), ('MACHINERY', 6)) AS t(company, fy_end_month)""",
     "news": """SELECT u.page_id * 2 + u.copy AS input_pos, u.url, u.title, e.ts AS published,
@@ -41,10 +41,10 @@ VIEWS = {
  WHEN 0 THEN concat('What was revenue of ', n_name, ' in FY2024 Q1 to Q3?') WHEN 1 THEN concat('Compare capex of ', n_name, ' vs NATION_1 for the last three quarters')
  WHEN 2 THEN concat('Summarize ', n_name, ' outlook') WHEN 3 THEN concat('Show a table of gross profit for ', n_name, ' FY23')
  ELSE concat('how much free cash flow did ', n_name, ' have in the past 4 years') END AS question FROM nation""",
-    "yearly": """SELECT c.c_mktsegment AS entity, CAST(year(o.o_orderdate) AS INT) AS year, sum(o.o_totalprice) AS value
+    "yearly": """SELECT c.c_mktsegment AS entity, CAST(year(o.o_orderdate) AS INT) AS year, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS value
  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment, year(o.o_orderdate)""",
     "metric_values": """SELECT c.c_mktsegment AS entity, CASE o.o_orderstatus WHEN 'F' THEN 'revenue' WHEN 'O' THEN 'capex' ELSE 'operating_income' END AS metric,
- CASE o.o_orderstatus WHEN 'O' THEN 'cashflow' ELSE 'income' END AS statement, last_day(CAST(o.o_orderdate AS DATE)) AS end_d, sum(o.o_totalprice) AS value
+ CASE o.o_orderstatus WHEN 'O' THEN 'cashflow' ELSE 'income' END AS statement, last_day(CAST(o.o_orderdate AS DATE)) AS end_d, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS value
  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment, o.o_orderstatus, last_day(CAST(o.o_orderdate AS DATE))""",
 }
 _NEEDS = {"chunks": ["documents"], "facts": ["orders", "customer"], "calendar": [], "news": ["pages", "events"], "metric_text": ["lineitem"], "facilities": ["supplier", "nation", "region"], "alerts": ["events"], "questions": ["nation"], "yearly": ["orders", "customer"], "metric_values": ["orders", "customer"]}

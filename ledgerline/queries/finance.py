@@ -206,10 +206,10 @@ def met_05(t):
     return me.ratio_latest(t("metric_values"), "capex", "revenue").withColumn("ratio", F.round("ratio", 6))
 
 
-@query("met_06_scaled_value", "SELECT entity, metric, end_d, round(CASE WHEN abs(value) >= 1e9 THEN value / 1e9 WHEN abs(value) >= 1e6 THEN value / 1e6 WHEN abs(value) >= 1e3 THEN value / 1e3 ELSE value END, 4) AS number, CASE WHEN abs(value) >= 1e9 THEN 'B' WHEN abs(value) >= 1e6 THEN 'M' WHEN abs(value) >= 1e3 THEN 'K' ELSE '' END AS unit FROM metric_values", ("metric_values",))
+@query("met_06_scaled_value", "SELECT entity, metric, end_d, CASE WHEN abs(value) >= 1e9 THEN value / 1e9 WHEN abs(value) >= 1e6 THEN value / 1e6 WHEN abs(value) >= 1e3 THEN value / 1e3 ELSE value END AS number, CASE WHEN abs(value) >= 1e9 THEN 'B' WHEN abs(value) >= 1e6 THEN 'M' WHEN abs(value) >= 1e3 THEN 'K' ELSE '' END AS unit FROM metric_values", ("metric_values",))
 def met_06(t):
     number, unit = me.scaled(F.col("value"))
-    return t("metric_values").select("entity", "metric", "end_d", F.round(number, 4).alias("number"), unit.alias("unit"))
+    return t("metric_values").select("entity", "metric", "end_d", number.alias("number"), unit.alias("unit"))
 
 
 @query("met_07_pivot_metric", "SELECT entity, " + ", ".join(f"round(max(CASE WHEN year = {y} THEN value END), 2) AS y{y}" for y in range(1995, 2000)) + " FROM yearly GROUP BY entity", ("yearly",))

@@ -30,3 +30,9 @@ def filing_index(index: DataFrame, forms: list[str]) -> DataFrame:
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     df.write.mode("overwrite").option("header", "true").format(fmt).save(path)
+
+
+def ingest_summary(files: DataFrame, *keys: str) -> DataFrame:
+    """Files processed, chunks added and errors of an ingest job, from one row a file (chunks, error)."""
+    ok = F.col("error").isNull()
+    return files.groupBy(*keys).agg(F.count_if(ok).alias("files_processed"), F.coalesce(F.sum(F.when(ok, F.col("chunks"))), F.lit(0)).cast("long").alias("chunks_added"), F.count_if(~ok).alias("errors"))
