@@ -23,29 +23,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ledgerline.llm.tables import table
-from ledgerline.llm.words import slices
+from ledgerline.llm.words import mix, slices
 
 #: A vocabulary over this many bytes on disk is refused, as it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
 MEMO = 1 << 19
+#: Displacements that a bucket of the perfect hash tries before the table takes another seed.
+TRIES = 1 << 17
 _LOAD = 4
-_STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_STEP = 0x9E3779B97F4A7C15
 
 
 class PerfectHash:
-    """Minimal perfect hash from byte strings to slots 0..n-1, with the keys kept for checking."""
+    """Minimal perfect hash from byte strings to slots 0..n-1, with the keys kept for checking.
+
+    Hash, displace: buckets of keys, the fullest first, look for a displacement that brings
+    all their keys to free slots. A bucket that finds none in TRIES displacements begins the
+    whole table anew under another seed.
+    """
 
     def __init__(self, keys: list[bytes], values: np.ndarray) -> None:
-        n = len(keys)
-        self.n, self.n_buckets = n, max(1, n // _LOAD)
-        h = self.digest(keys)
+        if len(set(keys)) < len(keys):
+            raise ValueError("keys repeat")
+        self.n, self.n_buckets, self.seed = len(keys), max(1, len(keys) // _LOAD), 0
+        while not self._place(h := self.digest(keys)):
+            self.seed += 1
+        slots = self._slot(h)
+        self.keys: list[bytes] = [b""] * self.n
+        self.values = np.empty(self.n, dtype=np.uint32)
+        self.values[slots] = values
+        for s, key in zip(slots.tolist(), keys, strict=True):
+            self.keys[s] = key
+
+    def _place(self, h: np.ndarray) -> bool:
+        """Find the displacement of every bucket; False if one has none."""
         bucket = (h % np.uint64(self.n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         size = np.bincount(bucket, minlength=self.n_buckets)
         begin = np.cumsum(size) - size
         self.shift = np.zeros(self.n_buckets, dtype=np.int64)
-        taken = np.zeros(n, dtype=bool)
+        taken = np.zeros(self.n, dtype=bool)
         free = None
         for k in np.argsort(-size, kind="stable").tolist():
             if not size[k]:
@@ -54,39 +72,34 @@ class PerfectHash:
                 free = free or iter(np.flatnonzero(~taken).tolist())
                 self.shift[k] = -1 - next(free)
                 continue
-            own = h[order[begin[k] : begin[k] + size[k]]].tolist()
-            if len(set(own)) < len(own):
-                raise ValueError("two keys have the same 64-bit digest")
-            begin_d, own_h = 0, np.array(own, dtype=np.uint64)
-            while True:  # 64 displacements at a time
-                tries = np.sort((self._spread(own_h, np.arange(begin_d, begin_d + 64)[:, None]) % np.uint64(n)).astype(np.int64), axis=1)
+            own = h[order[begin[k] : begin[k] + size[k]]]
+            for d in range(0, TRIES, 64):  # 64 displacements at a time
+                tries = np.sort((self._spread(own, np.arange(d, d + 64)[:, None]) % np.uint64(self.n)).astype(np.int64), axis=1)
                 good = ~(taken[tries].any(axis=1) | (tries[:, 1:] == tries[:, :-1]).any(axis=1))
                 if good.any():
                     break
-                begin_d += 64
-            self.shift[k] = begin_d + (first := int(good.argmax()))
+            else:
+                return False
+            self.shift[k] = d + (first := int(good.argmax()))
             taken[tries[first]] = True
-        slots = self._slot(h)
-        self.keys: list[bytes] = [b""] * n
-        self.values = np.empty(n, dtype=np.uint32)
-        self.values[slots] = values
-        for s, key in zip(slots.tolist(), keys, strict=True):
-            self.keys[s] = key
+        return True
 
-    @staticmethod
-    def digest(keys: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), dtype=np.uint64, count=len(keys))
+    def digest(self, keys: list[bytes]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(k, self.seed) for k in keys), dtype=np.uint64, count=len(keys))
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         d = self.shift[(h % np.uint64(self.n_buckets)).astype(np.int64)]
-        return np.where(d < 0, -1 - d, (self._spread(h, d) % np.uint64(self.n)).astype(np.int64))
+        return np.where(d < 0, -1 - d, (self._spread(h, np.maximum(d, 0)) % np.uint64(self.n)).astype(np.int64))
 
     @staticmethod
     def _spread(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return ((h + d.astype(np.uint64) * np.uint64(_STEP)) * np.uint64(_SPREAD)) >> np.uint64(33)
+        """A number of h that each displacement draws anew, without a relation between two draws."""
+        return mix(h ^ mix(d.astype(np.uint64) + np.uint64(_STEP)))
 
     def find(self, keys: list[bytes]) -> list[int]:
         """Value of each key, or -1 where it is not in the set."""
+        if not self.n or not keys:
+            return [-1] * len(keys)
         slots = self._slot(self.digest(keys))
         return [v if self.keys[s] == key else -1 for s, key, v in zip(slots.tolist(), keys, self.values[slots].tolist(), strict=True)]
 
@@ -218,7 +231,11 @@ def decode(df: DataFrame, codec, ids: str = "ids", out: str = "decoded") -> Data
 
 
 def fingerprints(docs: DataFrame, codec, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: n_tokens, ids_sha256 and decoded_sha256, without ever holding ids as rows."""
+    """Per row: n_tokens, ids_sha256 and decoded_sha256, without ever holding ids as rows.
+
+    A null or empty text has no tokens; a null key passes; repeated rows give a row each; an
+    empty table gives no rows; other columns of ``docs`` are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(codec.value)

@@ -52,3 +52,26 @@ def test_perfect_hash_is_minimal_and_checks_keys():
     assert table.find(keys) == list(range(1000))
     assert sorted(table.keys) == sorted(keys)
     assert table.find([b"none", b""]) == [-1, -1]
+
+
+def test_perfect_hash_of_many_sizes():
+    for n in [*range(1, 60), 100, 333, 1000, 2500, 5000]:
+        keys = [f"k{i}".encode() for i in range(n)]
+        table = bpe.PerfectHash(keys, np.arange(n, dtype=np.uint32))
+        assert table.find(keys) == list(range(n)) and sorted(table.keys) == sorted(keys)
+        assert table.find([b"none", b""]) == [-1, -1]
+    assert bpe.PerfectHash([], np.empty(0, dtype=np.uint32)).find([b"x"]) == [-1]
+
+
+def test_perfect_hash_takes_another_seed(monkeypatch):
+    monkeypatch.setattr(bpe, "TRIES", 64)
+    keys = [f"k{i}".encode() for i in range(50)]
+    table = bpe.PerfectHash(keys, np.arange(50, dtype=np.uint32))
+    assert table.find(keys) == list(range(50))
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "one two", 1), (7, "one two", 1), (7, "three", 1), (7, "one two", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = sorted((r.doc_id or 0, r.decoded_sha256) for r in bpe.fingerprints(docs, bpe.default_codec(spark)).collect())
+    assert got == sorted((i or 0, hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in rows)
