@@ -4,13 +4,15 @@ A change is a signed row: +1 document and +n tokens for an insert, -1 and -n for
 0 and the difference for a revised count. A batch is summed by key before it is stored (so a
 source with a third of all rows is a few rows a task), in a folder named by its batch id.
 Totals are additive: the sum of all committed deltas. Committing a batch id again changes
-nothing once its success marker is there, and replaces what a failed attempt left otherwise.
+nothing once its success marker is there.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,31 +41,53 @@ def signed(counts: DataFrame, tokenizer: str, new: Column | None = None, old: Co
 class Rollup:
     """Additive totals under one folder.
 
-    Null sources, languages or counts are keys and zeros of their own; repeated rows count
-    each; an empty batch commits nothing but its marker; extra columns are ignored.
+    A batch is written aside and takes its name by one rename, which fails where the name is
+    taken: of two writers of one batch id one commits. Only batches that have their success
+    marker count. Null sources, languages or counts are keys and zeros of their own; repeated
+    rows count each; an empty batch commits nothing but its marker; no batch at all gives no
+    totals; extra columns are ignored.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.jvm, self.conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+    def _path(self, path: str):
+        return self.jvm.fs.Path(path)
+
+    def _committed(self, pattern: str) -> list[str]:
+        """Folders of committed batches; there are as many as commits, not as documents."""
+        place = self._path(f"{self.root}/batch={pattern}/_SUCCESS")
+        return [str(x.getPath().getParent()) for x in place.getFileSystem(self.conf).globStatus(place) or []]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Store a batch once; False if it was committed before."""
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError("a batch id has letters, digits, '_', '.' and '-' only")
-        path = f"{self.root}/batch={batch_id}"
-        if self._exists(f"{path}/_SUCCESS"):
+        if self._committed(batch_id):
+            return False
+        deltas = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("d_docs"), F.lit(0)).alias("d_docs"), F.coalesce(F.sum("d_tokens"), F.lit(0)).alias("d_tokens"))
+        aside, place = self._path(f"{self.root}/_attempt-{uuid.uuid4().hex}"), self._path(f"{self.root}/batch={batch_id}")
+        deltas.write.parquet(str(aside))
+        files = place.getFileSystem(self.conf)
+        if files.exists(place) and not self._committed(batch_id):
+            files.delete(place, True)  # what another way of writing has left without a marker
+        option = self.spark._jvm.org.apache.hadoop.fs.Options
+        none = self.spark.sparkContext._gateway.new_array(getattr(option, "Rename"), 0)
+        try:
+            self.jvm.fs.FileContext.getFileContext(files.makeQualified(place).toUri(), self.conf).rename(files.makeQualified(aside), files.makeQualified(place), none)
+        except Py4JJavaError:
+            if not self._committed(batch_id):
+                raise
+            files.delete(aside, True)
             return False
-        deltas = changes.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        deltas.write.mode("overwrite").parquet(path)
         return True
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens of every key that has documents."""
-        deltas = self.spark.read.schema("source string, lang string, tokenizer string, d_docs long, d_tokens long").parquet(f"{self.root}/batch=*")
+        schema = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
+        batches = self._committed("*")
+        deltas = self.spark.read.schema(schema).parquet(*batches) if batches else self.spark.createDataFrame([], schema)
         sums = deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0")
 
@@ -86,6 +110,7 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     counts = staged(count_documents(table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id()), "token-counts")
     first = counts.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first_row"))
+    first = staged(first, "first-rows")  # a table of its own, so that a hot digest can be split
     marked = counts.join(first, "digest").withColumn("copy", F.col("row") != F.col("first_row"))
     copies, live = marked.where("copy"), marked.where("not copy")
     rollup = Rollup(spark, new_path(spark, "token-rollup"))

@@ -35,3 +35,15 @@ def test_null_and_repeated_ids_follow_the_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = {(x.source, x.lang, x.tokenizer, x.n_docs, x.n_tokens) for x in rollup.op3_token_rollup(spark, str(tmp_path)).collect()}
     assert got == set(con.sql(rollup.ORACLES["op3_token_rollup"]).fetchall())
+
+
+def test_empty_rollup_and_uncommitted_batches(spark, tmp_path):
+    r = rollup.Rollup(spark, new_path(spark, "rollup-test"))
+    assert totals(r) == {}
+    docs = spark.createDataFrame([(None, "a", "en", "one two", 9), (2, "a", "en", "x " * 200_000, 9), (2, "a", "en", "y", 9)], SCHEMA)
+    counts = rollup.count_documents(docs)
+    added = rollup.signed(counts, "w", new=F.col("words"))
+    added.groupBy(*rollup.KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{r.root}/batch=half")
+    assert totals(r) == {}
+    assert r.commit("half", added) and totals(r) == {("a", "en", "w"): (3, 200_003)}
+    assert not r.commit("half", added) and totals(r) == {("a", "en", "w"): (3, 200_003)}
