@@ -2,8 +2,10 @@
 
 Each task stores the distinct payloads of its rows as members of tar shards in the shared
 folder; a member is named by the SHA-256 of its payload and stored once in a shard. The
-index has a row for each document: digest, shard, offset and length. Metadata columns come
-from range reads of a member's header alone; whole members are read only for features.
+index has a row for each document: digest, shard, offset and length. Equal payloads that
+several tasks have stored are pointed to one of these members, which digests and places
+alone decide. Metadata columns come from range reads of a member's header alone; whole
+members are read only for features.
 
 A payload is the UTF-8 text with zero bytes up to a positive multiple of 64, kept losslessly
 as a grey 8-bit PNG of width 64. A retried task writes shards under new names and only the
@@ -23,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import slices
-from ledgerline.workdir import new_path, staged
+from ledgerline.workdir import discard, new_path, staged
 
 WIDTH = 64
 #: A shard is closed when it holds this many bytes.
@@ -128,7 +131,12 @@ def store(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c) for c in zip(*rows, strict=True))], names=[key, "digest", "n_bytes", "shard", "offset", "length"])
         shards.close()
 
-    return staged(docs.select(key, text).mapInArrow(run, f"{key} {kind}, {INDEX}"), "media-index")
+    stored = staged(docs.select(key, text).mapInArrow(run, f"{key} {kind}, {INDEX}"), "media-stored")
+    place = F.struct("shard", "offset", "length")
+    one = staged(stored.groupBy("digest").agg(F.min(place).alias("place")), "media-places")  # a table of its own, so that a hot digest can be split
+    out = staged(stored.select(key, "digest", "n_bytes").join(one, "digest").select(key, "digest", "n_bytes", "place.*"), "media-index")
+    discard(stored, one)
+    return out
 
 
 class _Reader:
@@ -181,8 +189,8 @@ def _features(raw: bytes) -> tuple:
 
 
 def features(index: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests and features of what is stored, from whole-member range reads."""
-    return _read_rows(index, [key, "n_bytes"], "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", _features, whole=True)
+    """Digests and features of what is stored, from whole-member range reads, beside the columns of the index."""
+    return _read_rows(index, [key, *(c for c in index.columns if c != key)], "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", _features, whole=True)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
