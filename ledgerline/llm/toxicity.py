@@ -146,7 +146,11 @@ def _train(labels: list[int], places: list[list[int]], vocabulary: list[str], gr
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row: 0 to 1, higher where label 1 is likelier; null and empty texts too."""
+    """(doc_id, score) of every row: 0 to 1, higher where label 1 is likelier.
+
+    Null and empty texts have the score of the bias alone; null ids pass; repeated rows give a
+    row each; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS weights at most, and the identity terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +177,20 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not predicted toxic; rows with a null doc_id stay."""
-    toxic = score(docs, model).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, F.col("doc_id") == F.col("_toxic"), "left_anti")
+    """The rows of ``docs`` whose text is not predicted toxic, scored and filtered in one pass.
+
+    Each row is judged by its own text, whatever its doc_id (null, repeated); null and empty
+    texts have the score of the bias alone; an empty table stays empty; all columns pass,
+    whatever their names.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS weights at most, and the identity terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches):
+            yield batch.filter(pa.array([own.score(t) < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
