@@ -18,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.tables import table
+from ledgerline.llm.tables import fresh, table
 from ledgerline.workdir import discard, staged
 
 SHINGLE, PERCENT = 5, 75
 BLOCKS = 11
 RADIUS = 2 * BLOCKS - 1
-#: Rows of item tables up to which these are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of an item table, by its own counts, up to which it is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 16 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (first bit, width) of each block of the 64.
 _SPLIT = [(64 * i // BLOCKS, 64 * (i + 1) // BLOCKS - 64 * i // BLOCKS) for i in range(BLOCKS)]
@@ -66,8 +66,8 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = _matches(texts, items.where(F.col("k") == k), k, n_shingles, n_items)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, n_windows long")
+        return texts.select("doc_id", *[F.lit(0).cast(kind).alias(name) for name, kind in (("item_id", "long"), ("similarity", "double"), ("first_word", "long"), ("n_windows", "long"))]).where("false")
     return found
 
 
@@ -109,35 +109,38 @@ def _matches(texts: DataFrame, items: DataFrame, k: int, n_shingles: int, n_item
     needed = F.ceil(F.lit(PERCENT) * (F.col("n") + F.least("m", "n")) / F.lit(100 + PERCENT))
     parts = items.select("item_id", "n", F.explode(F.array_distinct("shingles")).alias("h"))
     places = _hashed(texts, k).select("doc_id", "m", F.posexplode_outer("hashes").alias("place", "h")).where("h IS NOT NULL")  # outer: a filter inferred from an inner one would hash twice
-    shared = places.join(_small(parts, n_shingles), "h").where(100 * F.col("m") >= PERCENT * F.col("n")).select("doc_id", "item_id", "n", needed.alias("needed"), "place").distinct()
+    shared = places.join(_small(parts, 48 * n_shingles), "h").where(100 * F.col("m") >= PERCENT * F.col("n")).select("doc_id", "item_id", "n", needed.alias("needed"), "place").distinct()
 
     by = Window.partitionBy("doc_id", "item_id").orderBy("place")
     numbered = shared.withColumn("previous", F.lag("place").over(by)).withColumn("rank", F.row_number().over(by))
-    return _windows(texts, numbered, items, k, n_items)
+    return _windows(texts, numbered, items, k, n_shingles, n_items)
 
 
-def _windows(texts: DataFrame, numbered: DataFrame, items: DataFrame, k: int, n_items: int) -> DataFrame:
+def _windows(texts: DataFrame, numbered: DataFrame, items: DataFrame, k: int, n_shingles: int, n_items: int) -> DataFrame:
     # A window of n shingles with ``needed`` shared ones has its needed-th within n places of its first.
     key = ["doc_id", "item_id"]
     nth = numbered.select(*key, (F.col("rank") - F.col("needed") + 1).alias("rank"), F.col("place").alias("nth"))
     starts = numbered.join(nth, [*key, "rank"]).where("nth - place < n")
     low = F.greatest(F.coalesce(F.col("previous") + 1, F.lit(0)), F.col("nth") - F.col("n") + 1, F.lit(0))
-    starts = starts.select("doc_id", "n", F.explode(F.sequence(low.cast("long"), F.col("place").cast("long"))).alias("start")).distinct()
-    starts = staged(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n", "start")).alias("starts")), "window-starts")
+    starts = starts.select(*key, "n", F.explode(F.sequence(low.cast("long"), F.col("place").cast("long"))).alias("start")).distinct()
+    # A document's windows of one length are printed once and carry the items that they are held against.
+    starts = starts.groupBy("doc_id", "n", "start").agg(F.collect_list("item_id").alias("items"))
+    starts = staged(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n", "start", "items")).alias("starts")), "window-starts")
 
     hashed = _hashed(texts.join(starts, "doc_id"), k)
     windows = hashed.select("doc_id", "m", F.explode("starts").alias("w"), "hashes").where(f"w.start + w.n <= m OR (w.start = 0 AND m < w.n AND 100 * m >= {PERCENT} * w.n)")
-    windows = windows.select("doc_id", "w.n", F.col("w.start").alias("start"), F.slice("hashes", F.col("w.start").cast("int") + 1, F.col("w.n")).alias("own")).withColumn("print", simhash(F.col("own")))
+    windows = windows.select("doc_id", "w.n", F.col("w.start").alias("start"), "w.items", F.slice("hashes", F.col("w.start").cast("int") + 1, F.col("w.n")).alias("own")).withColumn("print", simhash(F.col("own")))
     windows = staged(windows, "window-prints")
 
     blocks = F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("print"), i).alias("value")) for i in range(BLOCKS)])
     near = F.array(*[F.struct(F.lit(i).alias("block"), value.alias("value")) for i in range(BLOCKS) for value in [_block(F.col("fingerprint"), i), *[_block(F.col("fingerprint"), i).bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(_SPLIT[i][1])]]])
-    index = items.select("item_id", "n", "fingerprint", F.explode(near).alias("x")).select("item_id", "n", "fingerprint", "x.block", "x.value")
-    probes = windows.select("doc_id", "n", "start", "print", F.explode(blocks).alias("x")).select("doc_id", "n", "start", "print", "x.block", "x.value")
-    retrieved = probes.join(_small(index, n_items * (64 + BLOCKS)), ["n", "block", "value"])
+    index = items.select("item_id", "fingerprint", F.explode(near).alias("x")).select("item_id", "fingerprint", "x.block", "x.value")
+    probes = windows.select("doc_id", "n", "start", "print", F.explode("items").alias("item_id")).select("doc_id", "n", "start", "print", "item_id", F.explode(blocks).alias("x")).select("doc_id", "n", "start", "print", "item_id", "x.block", "x.value")
+    # The item is part of the key: a window meets the blocks of the items that it may hold, not of all items of its length.
+    retrieved = probes.join(_small(index, 56 * n_items * (64 + BLOCKS)), ["item_id", "block", "value"])
     retrieved = retrieved.where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select("doc_id", "n", "start", "item_id").distinct()
 
-    judged = retrieved.join(windows.select("doc_id", "n", "start", "own"), ["doc_id", "n", "start"]).join(_small(items.select("item_id", "shingles"), n_items), "item_id")
+    judged = retrieved.join(windows.select("doc_id", "n", "start", "own"), ["doc_id", "n", "start"]).join(_small(items.select("item_id", "shingles"), 8 * n_shingles + 64 * n_items), "item_id")
     judged = judged.withColumn("similarity", weighted_similarity(F.col("own"), F.col("shingles"))).where(F.col("similarity") >= PERCENT / 100)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"), F.countDistinct("start").alias("n_windows"))
     out = best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"), "n_windows")
@@ -147,9 +150,16 @@ def _windows(texts: DataFrame, numbered: DataFrame, items: DataFrame, k: int, n_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; those with a null doc_id stay."""
-    leaked = matches(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark item.
+
+    Each row is judged by its own text, whatever its doc_id (null, repeated); null and empty
+    texts stay; an empty table stays empty, and an empty benchmark keeps all; all columns
+    pass, whatever their names.
+    """
+    row = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("tag"))  # rows of one doc_id are told apart by their texts
+    gone_id, gone_tag = fresh("gone_id", docs), fresh("gone_tag", docs)
+    leaked = matches(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id.doc_id").alias(gone_id), F.col("doc_id.tag").alias(gone_tag)).distinct()
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_tag)), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
