@@ -104,23 +104,17 @@ def decided(found: tuple[list, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.binary())], names=["bucket", "payload"])
 
 
-def settle(entries: DataFrame, buckets: int, widths: list[int], decide: Callable) -> DataFrame:
-    """(bucket, payload) by document: entries that ``decide`` picks from each bucket, and those settled before.
-
-    ``decide(doc_ids, positions, keys)`` gets all entries of a bucket and returns a mask.
-    """
+def _by_bucket(entries: DataFrame, buckets: int, widths: list[int], close: Callable, schema: str) -> DataFrame:
+    """``close(docs, places, keys)`` of all entries of each bucket, one bucket a task; settled rows pass as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         now = None
 
-        def close() -> pa.RecordBatch:
+        def whole() -> pa.RecordBatch:
             docs, places, keys = zip(*held, strict=True)
-            docs, places = np.concatenate(docs), np.concatenate(places)
-            keys = [np.concatenate(k) for k in zip(*keys, strict=True)]
             held.clear()
-            mask = decide(docs, places, keys)
-            return decided(settled_rows(docs[mask], places[mask], buckets))
+            return close(np.concatenate(docs), np.concatenate(places), [np.concatenate(k) for k in zip(*keys, strict=True)])
 
         for part in batches:
             done = part.filter(part.column("settled")).select(["bucket", "payload"])
@@ -129,13 +123,38 @@ def settle(entries: DataFrame, buckets: int, widths: list[int], decide: Callable
             part = part.filter(pc.invert(part.column("settled")))
             for bucket, payload in zip(part.column("bucket").to_pylist(), part.column("payload"), strict=True):
                 if bucket != now and held:
-                    yield close()
+                    yield whole()
                 now = bucket
                 held.append(unpack(payload.as_buffer(), widths))
         if held:
-            yield close()
+            yield whole()
+
+    return entries.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def settle(entries: DataFrame, buckets: int, widths: list[int], decide: Callable, carry: int = 0) -> DataFrame:
+    """(bucket, payload) by document: entries that ``decide`` picks from each bucket, and those settled before.
+
+    ``decide(doc_ids, positions, keys)`` gets all entries of a bucket and returns a mask. The
+    last ``carry`` keys are not compared but go on with the entries.
+    """
+
+    def close(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
+        own = len(keys) - carry
+        mask = decide(docs, places, keys[:own])
+        return decided(settled_rows(docs[mask], places[mask], buckets, [(k[mask], w) for k, w in zip(keys[own:], widths[own:], strict=True)]))
+
+    return _by_bucket(entries, buckets, widths, close, "bucket int, payload binary")
+
+
+def counted(entries: DataFrame, buckets: int, widths: list[int], decide: Callable) -> DataFrame:
+    """(doc_id, n): how many entries of each document ``decide`` picks in each bucket."""
+
+    def close(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
+        ids, n = np.unique(docs[decide(docs, places, keys)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n"])
 
-    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, payload binary")
+    return _by_bucket(entries, buckets, widths, close, "doc_id long, n long")
 
 
 def gathered(settled: DataFrame, buckets: int, name: str, widths: list[int] = []) -> DataFrame:  # noqa: B006
@@ -164,7 +183,7 @@ def gathered(settled: DataFrame, buckets: int, name: str, widths: list[int] = []
         if held:
             yield close()
 
-    return settled.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc_id long, {name} binary")
+    return settled.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc_id long, {name} binary")
 
 
 def positions_of(payload: bytes | None) -> np.ndarray:

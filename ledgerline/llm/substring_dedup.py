@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import postings
-from ledgerline.llm.tables import table
+from ledgerline.llm.tables import fresh, table
 from ledgerline.llm.words import Words, slices, spans
 from ledgerline.workdir import discard, release, staged
 
@@ -69,12 +69,12 @@ def _hits(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> np.nd
 
 
 def extensions(docs: DataFrame, buckets: int) -> DataFrame:
-    """Entries of the WIDTH-word windows that hold a hit; those a slice can decide are settled."""
+    """Entries of the WIDTH-word windows that hold a hit, each with its row's tag; those a slice can decide are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = Words.of(batch.column("text"))
-            counts, ids = words.counts(), batch.column("doc_id").to_numpy()
+            counts, ids, tags = words.counts(), batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
             chosen = np.zeros(len(words.starts), dtype=bool)
             for i, payloads in enumerate(batch.column("hits").to_pylist()):
                 hit = postings.positions_of(payloads)
@@ -88,13 +88,13 @@ def extensions(docs: DataFrame, buckets: int) -> DataFrame:
             take = chosen[at]
             one, two, at = one[take], two[take], at[take]
             owner = words.doc()[at]
-            place, doc = at - words.first[owner], ids[owner]
+            place, doc, tag = at - words.first[owner], ids[owner], tags[owner].astype(np.uint64)
             order, begin = postings.groups(one, two)
             least = postings.spread(np.minimum.reduceat(doc[order], begin), order, begin)
             later = least < doc
             part = np.flatnonzero(~later)  # each window goes on with its smallest document here
-            packed = postings.rows(_bucket(one[part], buckets), doc[part], place[part], [(one[part], 8), (two[part] & np.uint64(0xFFFFFFFF), 4)])
-            yield postings.batch(packed, postings.settled_rows(doc[later], place[later], buckets))
+            packed = postings.rows(_bucket(one[part], buckets), doc[part], place[part], [(one[part], 8), (two[part] & np.uint64(0xFFFFFFFF), 4), (tag[part], 4)])
+            yield postings.batch(packed, postings.settled_rows(doc[later], place[later], buckets, [(tag[later], 4)]))
 
     return docs.mapInArrow(run, postings.SCHEMA)
 
@@ -105,30 +105,51 @@ def _later(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> np.n
     return postings.spread(np.minimum.reduceat(docs[order], begin), order, begin) < docs
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id of documents whose whole text a smaller doc_id has."""
-    marked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"))
-    first = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
-    return marked.join(first, "digest").where("doc_id > first_id").select("doc_id").distinct()
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tag): the tag, 32 bits of a hash of the text, tells rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """Documents with ``copy`` (bool) and ``covers``: packed first words of the windows to remove.
+def copies(texts: DataFrame, least: int) -> DataFrame:
+    """(doc_id, copy_tags): tags of the rows of ``texts`` whose whole text of ``least`` bytes or more a smaller doc_id has."""
+    marked = texts.where(f"doc_id IS NOT NULL AND octet_length(text) >= {least}").select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
+    first = staged(first, "first-copies")  # a table of its own, so that a hot digest can be split
+    out = staged(marked.join(first, "digest").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("tag").alias("copy_tags")), "copies")
+    discard(first)
+    return out
 
-    Columns: doc_id, text, copy, covers. Nothing is settled for a null doc_id.
+
+def uncopied(texts: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of ``texts`` that are no copies."""
+    return texts.join(again, "doc_id", "left").where("copy_tags IS NULL OR NOT array_contains(copy_tags, tag)").drop("copy_tags")
+
+
+def marked(docs: DataFrame, covers: DataFrame, again: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with the columns ``names``: the row's tag, whether it is a copy, and the covers of its doc_id."""
+    tag, copy, cover = names
+    key = fresh("doc_key", docs)
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), tag: F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))})
+    joined = keyed.join(covers.select(F.col("doc_id").alias(key), F.col("covers").alias(cover)), key, "left").join(again.select(F.col("doc_id").alias(key), F.col("copy_tags").alias(copy)), key, "left")
+    return joined.withColumn(copy, F.coalesce(F.array_contains(copy, F.col(tag)), F.lit(False))).drop(key)
+
+
+def covered(docs: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with the columns ``names``: tag, copy (bool) and packed (first word, tag) of the windows to remove.
+
+    Nothing is settled for a null doc_id.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    again = staged(copies(texts), "copies").withColumn("copy", F.lit(True))
+    texts = tagged(docs)
+    again = copies(texts, 2 * WIDTH - 1)
     hits = staged(postings.settle(anchors(texts, buckets), buckets, [_ANCHOR_BYTES], _hits), "anchor-hits")
     release(spark)
-    found = postings.gathered(hits, buckets, "hits").join(again, "doc_id", "left_anti")
-    windows = postings.settle(extensions(texts.join(found, "doc_id"), buckets), buckets, [8, 4], _later)
-    covers = staged(windows, "covered-windows")
+    hit = uncopied(texts.join(postings.gathered(hits, buckets, "hits"), "doc_id"), again)
+    covers = staged(postings.settle(extensions(hit, buckets), buckets, [8, 4, 4], _later, carry=1), "covered-windows")
     discard(hits)
     release(spark)
-    return texts.join(postings.gathered(covers, buckets, "covers"), "doc_id", "left").join(again, "doc_id", "left")
+    return marked(docs, postings.gathered(covers, buckets, "covers", [4]), again, names)
 
 
 def _kept(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,22 +171,23 @@ def _kept(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _apply(docs: DataFrame, schema: T.StructType | str, measure) -> DataFrame:
-    """``measure(batch, words, keep)`` of each slice, ``keep`` marking the words that stay."""
+    """``measure(batch, words, keep)`` of each slice of ``docs``, ``keep`` marking the words that stay."""
+    names = tuple(fresh(n, docs) for n in ("tag", "copy", "covers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = Words.of(batch.column("text"))
             keep = np.ones(len(words.starts), dtype=bool)
-            for i, (copy, payloads) in enumerate(zip(batch.column("copy").to_pylist(), batch.column("covers").to_pylist(), strict=True)):
+            for i, (tag, copy, payloads) in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
                 a, b = words.first[i], words.first[i + 1]
                 if copy:
                     keep[a:b] = b - a < WIDTH
                 elif payloads:
-                    starts = postings.positions_of(payloads)
-                    keep[a:b] = ~spans(starts[starts <= b - a - WIDTH], WIDTH, b - a)
+                    starts, tags = np.frombuffer(payloads, dtype="<u4").astype(np.int64).reshape(-1, 2).T
+                    keep[a:b] = ~spans(starts[(tags == tag) & (starts <= b - a - WIDTH)], WIDTH, b - a)
             yield measure(batch, words, keep)
 
-    return docs.mapInArrow(run, schema)
+    return covered(docs, names).mapInArrow(run, schema)
 
 
 def _report(batch: pa.RecordBatch, words: Words, keep: np.ndarray) -> pa.RecordBatch:
@@ -174,39 +196,46 @@ def _report(batch: pa.RecordBatch, words: Words, keep: np.ndarray) -> pa.RecordB
     out, edge = _kept(words, keep)
     raw = out.tobytes()
     digests = [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no words; texts of fewer than WIDTH words lose none; repeats
-    inside one document stay; a null doc_id loses nothing. doc_id is a key: rows that repeat
-    it are judged as one document. An empty table gives no rows; other columns are ignored.
+    inside one document stay; a null doc_id loses nothing. Rows that repeat a doc_id are
+    judged each by its own text, against documents with a smaller doc_id only. An empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
-    return _apply(covered(docs), "doc_id long, n_words long, n_removed long, kept_sha256 string", _report)
+    return _apply(docs.select("doc_id", "text"), "doc_id long, n_words long, n_removed long, kept_sha256 string", _report)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut from their texts.
 
     A text that loses nothing is unchanged; otherwise its kept words are joined by one space.
-    Documents that keep no word go. ``n_chars`` follows the new text, where there is such a column.
+    Documents that lose all their words go. ``n_chars`` follows the new text, where there is such a
+    column of whole numbers. Null and repeated ids, and null, empty and long texts, are as in ``report``; all
+    columns pass, whatever their names; an empty table stays empty.
     """
-    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.StringType()), T.StructField("_changed", T.BooleanType())])
+    columns = docs.columns
 
     def measure(batch: pa.RecordBatch, words: Words, keep: np.ndarray) -> pa.RecordBatch:
+        changed = np.diff(np.r_[0, np.cumsum(~keep)][words.first]) > 0
+        batch = batch.select(columns)
+        if not changed.any():
+            return batch
         out, edge = _kept(words, keep)
         raw = out.tobytes()
-        changed = np.diff(np.r_[0, np.cumsum(~keep)][words.first]) > 0
-        texts = [raw[a : max(a, b - 1)].decode("utf-8") if c else None for a, b, c in zip(edge[:-1], edge[1:], changed.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(changed)], names=schema.names)
-
-    edits = _apply(covered(docs), schema, measure).where("_changed AND _id IS NOT NULL").dropDuplicates(["_id"])
-    joined = docs.join(edits, F.col("doc_id").cast("long") == F.col("_id"), "left").where("_id IS NULL OR _text <> ''")
-    text = F.when(F.col("_id").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    size = {"n_chars": F.when(F.col("_id").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return joined.withColumns({"text": text} | size).select(*docs.columns)
+        old = batch.column("text").to_pylist()
+        texts = [raw[a : max(a, b - 1)].decode("utf-8") if c else o for a, b, c, o in zip(edge[:-1], edge[1:], changed.tolist(), old, strict=True)]
+        new = {"text": pa.array(texts, batch.column("text").type)}
+        if "n_chars" in columns and pa.types.is_integer(batch.column("n_chars").type):
+            new["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed.tolist(), batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
+        stays = pa.array([not c or t != "" for t, c in zip(texts, changed.tolist(), strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], names=columns).filter(stays)
+
+    return _apply(docs, docs.schema, measure)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import postings
-from ledgerline.llm.substring_dedup import copies
+from ledgerline.llm.substring_dedup import copies, marked, tagged, uncopied
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import mix, slices, text_buffers
 from ledgerline.workdir import discard, release, staged
@@ -129,7 +129,7 @@ def stretches(docs: DataFrame, buckets: int) -> DataFrame:
             a, b = inside[edge], inside[np.r_[edge[1:] - 1, len(inside) - 1]] + WIDTH
             key = keys[edge]
             owner = np.searchsorted(offsets, a, "right") - 1
-            doc, start = batch.column("doc_id").to_numpy()[owner], a - offsets[owner]
+            doc, tag, start = batch.column("doc_id").to_numpy()[owner], batch.column("tag").to_numpy()[owner], a - offsets[owner]
             raw, first, send, done = data.tobytes(), {}, [], []
             for i, (x, y, d) in enumerate(zip(a.tolist(), b.tolist(), doc.tolist(), strict=True)):
                 (send if first.setdefault(raw[x:y], d) == d else done).append(i)
@@ -140,12 +140,12 @@ def stretches(docs: DataFrame, buckets: int) -> DataFrame:
             rows = []
             for part in np.split(send, cut[1:]):
                 text = b"".join([raw[x:y] for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)])
-                rows.append((int(bucket[part[0]]), False, doc[part].astype("<i8").tobytes(), start[part].astype("<u4").tobytes(), (b - a)[part].astype("<u4").tobytes(), (key[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), text))
-            for to, packed in zip(*postings.settled_rows(doc[done], start[done], buckets, [((b - a)[done] - WIDTH + 1, 4)]), strict=True):
-                rows.append((to, True, packed, None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 5), strict=True)], names=["bucket", "settled", "docs", "starts", "sizes", "keys", "bytes"])
+                rows.append((int(bucket[part[0]]), False, doc[part].astype("<i8").tobytes(), start[part].astype("<u4").tobytes(), (b - a)[part].astype("<u4").tobytes(), (key[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), tag[part].astype("<u4").tobytes(), text))
+            for to, packed in zip(*postings.settled_rows(doc[done], start[done], buckets, [((b - a)[done] - WIDTH + 1, 4), (tag[done], 4)]), strict=True):
+                rows.append((to, True, packed, None, None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], names=["bucket", "settled", "docs", "starts", "sizes", "keys", "tags", "bytes"])
 
-    return docs.mapInArrow(run, "bucket int, settled boolean, docs binary, starts binary, sizes binary, keys binary, bytes binary")
+    return docs.mapInArrow(run, "bucket int, settled boolean, docs binary, starts binary, sizes binary, keys binary, tags binary, bytes binary")
 
 
 class RunIndex:
@@ -230,8 +230,8 @@ class RunIndex:
         return out, begin
 
 
-def _judge(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, number of starts) of runs of windows that a smaller document has."""
+def _judge(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, number of starts, tag) of runs of windows that a smaller document has."""
     known: dict[bytes, int] = {}
     which = np.array([known.setdefault(t, len(known)) for t in texts], dtype=np.int64)
     least = np.full(len(known), np.iinfo(np.int64).max)
@@ -248,16 +248,16 @@ def _judge(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, texts: list[
     opens = np.flatnonzero(later & (edge | ~np.r_[False, later[:-1]]))
     closes = np.flatnonzero(later & np.r_[edge[1:] | ~later[1:], True]) + 1
     entry = np.searchsorted(base, opens, "right") - 1
-    return docs[entry], starts[entry] + opens - base[entry], closes - opens
+    return docs[entry], starts[entry] + opens - base[entry], closes - opens, tags[entry]
 
 
 def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, payload) by document: (start, number of starts) of covered windows."""
+    """(bucket, payload) by document: (start, number of starts, tag) of covered windows."""
 
     def close(held: list) -> Iterator[pa.RecordBatch]:
-        docs, starts, sizes, keys = (np.concatenate([np.frombuffer(h[i], dtype=t) for h in held]) for i, t in enumerate(("<i8", "<u4", "<u4", "<u4")))
+        docs, starts, sizes, keys, tags = (np.concatenate([np.frombuffer(h[i], dtype=t) for h in held]) for i, t in enumerate(("<i8", "<u4", "<u4", "<u4", "<u4")))
         starts, sizes = starts.astype(np.int64), sizes.astype(np.int64)
-        raw = b"".join(h[4] for h in held)
+        raw = b"".join(h[5] for h in held)
         held.clear()
         at = np.cumsum(sizes) - sizes
         order = np.argsort(keys, kind="stable")
@@ -268,15 +268,15 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
             before = total[group[i] - 1] if group[i] else 0
             j = max(i + 1, int(np.searchsorted(total[group[1:] - 1], before + _INDEX, "right")))
             part = order[group[i] : group[j]]
-            found = _judge(docs[part], starts[part], sizes[part], [raw[a : a + s] for a, s in zip(at[part].tolist(), sizes[part].tolist(), strict=True)])
+            found = _judge(docs[part], starts[part], sizes[part], tags[part], [raw[a : a + s] for a, s in zip(at[part].tolist(), sizes[part].tolist(), strict=True)])
             if len(found[0]):
-                yield postings.decided(postings.settled_rows(found[0], found[1], buckets, [(found[2], 4)]))
+                yield postings.decided(postings.settled_rows(found[0], found[1], buckets, [(found[2], 4), (found[3], 4)]))
             i = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for bucket, settled, *parts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for bucket, settled, *parts in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if settled:
                     yield postings.decided(([bucket], parts[:1]))
                     continue
@@ -287,35 +287,36 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from close(held)
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, payload binary")
+    return rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, payload binary")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, copy (bool) and covers: packed runs of windows to remove."""
+    """doc_id, text, tag, copy (bool) and covers: packed (start, number of starts, tag) of windows to remove."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    again = staged(copies(texts), "copies").withColumn("copy", F.lit(True))
+    texts = tagged(docs)
+    again = copies(texts, WIDTH)
     hits = staged(postings.settle(seeds(texts, buckets), buckets, [_KEY_BYTES], _shared), "seed-hits")
     release(spark)
-    found = postings.gathered(hits, buckets, "hits").join(again, "doc_id", "left_anti")
-    covers = staged(_resolve(stretches(texts.join(found, "doc_id"), buckets), buckets), "covered-runs")
+    hit = uncopied(texts.join(postings.gathered(hits, buckets, "hits"), "doc_id"), again)
+    covers = staged(_resolve(stretches(hit, buckets), buckets), "covered-runs")
     discard(hits)
     release(spark)
-    return texts.join(postings.gathered(covers, buckets, "covers", [4]), "doc_id", "left").join(again, "doc_id", "left")
+    return marked(docs.select("doc_id", "text"), postings.gathered(covers, buckets, "covers", [4, 4]), again, ("tag", "copy", "covers"))
 
 
-def _gone(size: int, copy: bool | None, payloads: bytes | None) -> np.ndarray | None:
+def _gone(size: int, tag: int, copy: bool, payloads: bytes | None) -> np.ndarray | None:
     """Mask of the bytes to remove; None if there are none."""
     if copy:
         return np.ones(size, dtype=bool) if size >= WIDTH else None
     if not payloads:
         return None
-    runs = np.frombuffer(payloads, dtype="<u4").astype(np.int64).reshape(-1, 2)
-    runs = runs[runs.sum(1) + WIDTH - 1 <= size]
+    start, n, tags = np.frombuffer(payloads, dtype="<u4").astype(np.int64).reshape(-1, 3).T
+    end = start + n + WIDTH - 1
+    own = (tags == tag) & (end <= size)
     change = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(change, runs[:, 0], 1)
-    np.add.at(change, runs.sum(1) + WIDTH - 1, -1)
+    np.add.at(change, start[own], 1)
+    np.add.at(change, end[own], -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -323,23 +324,24 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no bytes; texts under WIDTH bytes lose none; repeats inside one
-    document stay; a null doc_id loses nothing. doc_id is a key: rows that repeat it are judged
-    as one document. An empty table gives no rows; other columns are ignored.
+    document stay; a null doc_id loses nothing. Rows that repeat a doc_id are judged each by
+    its own text, against documents with a smaller doc_id only. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = text_buffers(batch.column("text"))
             rows = []
-            for i, (copy, payloads) in enumerate(zip(batch.column("copy").to_pylist(), batch.column("covers").to_pylist(), strict=True)):
+            for i, (tag, copy, payloads) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tag", "copy", "covers")), strict=True)):
                 own = data[offsets[i] : offsets[i + 1]]
-                gone = _gone(len(own), copy, payloads)
+                gone = _gone(len(own), tag, copy, payloads)
                 if gone is None:
                     rows.append((len(own), 0, 0, hashlib.sha256(own.tobytes()).hexdigest()))
                 else:
                     n_spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
                     rows.append((len(own), int(gone.sum()), n_spans, hashlib.sha256(own[~gone].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return covered(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -6,26 +6,31 @@ from ledgerline.llm import suffix_dedup as sd
 
 
 def brute(docs, width=50):
-    raw = {i: (t or "").encode() for i, t in docs}
+    """One result a row: rows of one id are judged each by their own text."""
+    raw = [(i, (t or "").encode()) for i, t in docs]
     first = {}
-    for i in sorted(raw):
-        for k in range(len(raw[i]) - width + 1):
-            first.setdefault(raw[i][k : k + width], i)
-    out = {}
-    for i, b in raw.items():
+    for i, b in raw:
+        for k in range(len(b) - width + 1) if i is not None else ():
+            first[b[k : k + width]] = min(i, first.get(b[k : k + width], i))
+    out = []
+    for i, b in raw:
         gone = np.zeros(len(b) + 1, dtype=bool)
-        for k in range(len(b) - width + 1):
+        for k in range(len(b) - width + 1) if i is not None else ():
             if first[b[k : k + width]] < i:
                 gone[k : k + width] = True
         gone = gone[: len(b)]
         kept = bytes(np.frombuffer(b, dtype=np.uint8)[~gone])
-        out[i] = (len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest())
+        out.append((i, len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest()))
     return out
 
 
+def order(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+
+
 def check(spark, docs, parts=3):
-    df = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, bucket int").repartition(parts)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.report(df).collect()} == brute(docs)
+    df = spark.createDataFrame([(i, t, 5, 6) for i, t in docs], "doc_id long, text string, bucket int, tag int").repartition(parts)
+    assert order([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.report(df).collect()]) == order(brute(docs))
 
 
 def test_given_documents(spark):
@@ -54,3 +59,13 @@ def test_run_index_rows_and_samples():
         for k in range(len(t) - 49):
             assert least[begin[i] + k] == min(d for d, u in zip([4, 3, 2, 1], texts) if t[k : k + 50] in u)
     assert len(index.heads) == len(index.samples) < sum(map(len, texts)) / 2
+
+
+def test_repeated_and_null_ids_keep_other_texts(spark):
+    a, b = ("".join(chr(97 + i) for i in np.random.default_rng(k).integers(0, 26, 150)) for k in (7, 8))
+    check(spark, [(1, a), (5, a), (5, b), (5, b), (5, "new" + a[:90]), (7, a[20:80] + b[30:100]), (None, a), (None, None), (0, a[:49])])
+
+
+def test_very_long_texts(spark):
+    long = "".join(chr(97 + i) for i in np.random.default_rng(9).integers(0, 26, 400_000))
+    check(spark, [(1, long), (2, "x" * 90 + long[100_000:200_000] + "y"), (4, long)], 2)
