@@ -76,3 +76,15 @@ def coverage_grid(chunks: DataFrame, categories: dict[str, str], text: str = "co
 def fingerprint(chunks: DataFrame) -> DataFrame:
     """Count and order-free checksum by company, to tell whether anything changed."""
     return chunks.groupBy("company").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("chunk_id", "content")).alias("mark"))
+
+
+def mention_families(chunks: DataFrame, families: dict[str, str], text: str = "content", samples: int = 3) -> DataFrame:
+    """(company, category, n, share, quotes, main): hits of each family's pattern, the first chunks that have one, and the family with most (ties by name)."""
+    counts = chunks.groupBy("company").agg(*[F.coalesce(F.sum(F.regexp_count(text, F.lit(p))), F.lit(0)).alias(c) for c, p in families.items()]).unpivot(["company"], list(families), "category", "n")
+    whole = Window.partitionBy("company")
+    counts = counts.withColumn("share", F.col("n") / F.greatest(F.sum("n").over(whole), F.lit(1))).withColumn("main", F.min(F.struct((-F.col("n")).alias("n"), "category")).over(whole)["category"])
+    hit = F.explode(F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(c)) for c, p in families.items()])))
+    by = Window.partitionBy("company", "category").orderBy("chunk_id")
+    first = chunks.select("company", "chunk_id", hit.alias("category")).withColumn("i", F.row_number().over(by)).where(F.col("i") <= samples)
+    quotes = first.groupBy("company", "category").agg(F.array_sort(F.collect_list("chunk_id")).cast("array<string>").alias("quotes"))
+    return counts.join(quotes, ["company", "category"], "left").withColumn("quotes", F.coalesce("quotes", F.array().cast("array<string>")))

@@ -38,29 +38,74 @@ def title_tokens(title: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))))
 
 
-def reprint_pairs(news: DataFrame, threshold: float = 0.55, days: int = 3) -> DataFrame:
-    """Pairs of items of similar titles (Jaccard over tokens) and near dates; items without a date pass.
+def similar_lists(items: DataFrame, threshold: float, *keys: str) -> DataFrame:
+    """(src, dst, jaccard) of items (id, ws and ``keys``) with equal keys and word lists at the threshold, src < dst.
 
-    Only rare tokens make pairs: of n tokens the n - ceil(threshold * n) + 1 rarest, one of
-    which two similar titles must share. Equal token lists meet through their smallest item.
+    ``ws`` holds distinct words. Only rare words make pairs: of n words the n - ceil(threshold * n) + 1
+    rarest, one of which two similar lists must share. Give every list once: equal lists all meet.
     """
-    items = news.select("input_pos", "published", title_tokens(F.col("title")).alias("ws")).where(F.size("ws") > 0)
-    each = items.select("input_pos", F.explode("ws").alias("w"))
-    df = each.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "w").groupBy("input_pos").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"))
+    each = items.select("id", *keys, F.explode("ws").alias("w"))
+    df = each.groupBy(*keys, "w").agg(F.count("*").alias("df"))
+    ranked = each.join(df, [*keys, "w"]).groupBy("id", *keys).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"))
     keep = F.size("r") - F.ceil(threshold * F.size("r")) + 1
-    prefix = ranked.select("input_pos", F.explode(F.slice("r", 1, keep.cast("int"))).alias("x")).select("input_pos", "x.w")
-    pairs = prefix.alias("a").join(prefix.alias("b"), "w").where("a.input_pos < b.input_pos").select(F.col("a.input_pos").alias("src"), F.col("b.input_pos").alias("dst")).distinct()
-    side = lambda n, p: items.select(F.col("input_pos").alias(n), F.col("published").alias(f"{p}_at"), F.col("ws").alias(f"{p}_ws"))
-    both = pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst")
-    jaccard = F.size(F.array_intersect("x_ws", "y_ws")) / F.size(F.array_union("x_ws", "y_ws"))
-    near = F.col("x_at").isNull() | F.col("y_at").isNull() | (F.abs(F.datediff("x_at", "y_at")) <= days)
-    return both.where(near & (jaccard >= threshold)).select("src", "dst", jaccard.alias("jaccard"))
+    prefix = ranked.select("id", *keys, F.size("r").alias("n"), F.explode(F.slice("r", 1, keep.cast("int"))).alias("x")).select("id", *keys, "n", "x.w")
+    left, right = prefix.select(F.col("id").alias("src"), F.col("n").alias("n_src"), *keys, "w"), prefix.select(F.col("id").alias("dst"), F.col("n").alias("n_dst"), *keys, "w")
+    sized = (F.least("n_src", "n_dst") >= threshold * F.greatest("n_src", "n_dst")) & (F.col("src") < F.col("dst"))
+    pairs = left.join(right, [*keys, "w"]).where(sized).select("src", "dst").distinct()
+    side = lambda n: items.select(F.col("id").alias(n), F.col("ws").alias(f"ws_{n}"))
+    both = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    jaccard = F.size(F.array_intersect("ws_src", "ws_dst")) / F.size(F.array_union("ws_src", "ws_dst"))
+    return both.select("src", "dst", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def _titles(news: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items (input_pos, published, title_id) and distinct token lists (id, ws); a list's id is its least input_pos."""
+    items = news.select("input_pos", "published", title_tokens(F.col("title")).alias("ws")).where(F.size("ws") > 0)
+    lists = items.groupBy("ws").agg(F.min("input_pos").alias("id"))
+    return items.join(lists, "ws").select("input_pos", "published", F.col("id").alias("title_id")), lists
+
+
+def reprint_pairs(news: DataFrame, threshold: float = 0.55, days: int = 3) -> DataFrame:
+    """All pairs of items of similar titles (Jaccard over tokens) and near dates; items without a date pass.
+
+    Titles are compared once for each distinct token list; the date is part of the join of
+    their items. The output holds every pair of a title's reprints: for clusters alone, ``reprint_edges`` is linear.
+    """
+    items, lists = _titles(news)
+    near = similar_lists(lists, threshold)
+    near = near.select("src", "dst", "jaccard").union(near.select("dst", "src", "jaccard")).union(lists.select("id", "id", F.lit(1.0)))
+    slot = F.floor(F.datediff("published", F.lit("1970-01-01").cast("date")) / max(days, 1))
+    side = lambda n, p: items.select(F.col("title_id").alias(n), F.col("input_pos").alias(f"{p}_pos"), F.col("published").alias(f"{p}_at"), slot.alias(f"{p}_slot"))
+    x, y = near.join(side("src", "x"), "src"), side("dst", "y")
+    dated = x.where("x_at IS NOT NULL").withColumn("y_slot", F.explode(F.array(*[F.col("x_slot") + i for i in (-1, 0, 1)]))).join(y, ["dst", "y_slot"]).where(F.abs(F.datediff("x_at", "y_at")) <= days)
+    loose = x.join(y, "dst").where("x_at IS NULL OR y_at IS NULL")
+    out = dated.select("x_pos", "y_pos", "jaccard").unionByName(loose.select("x_pos", "y_pos", "jaccard")).where("x_pos < y_pos")
+    return out.select(F.col("x_pos").alias("src"), F.col("y_pos").alias("dst"), "jaccard")
+
+
+def reprint_edges(news: DataFrame, threshold: float = 0.55, days: int = 3) -> DataFrame:
+    """(src, dst) that connect the same items as ``reprint_pairs``, in proportion to the items of similar titles.
+
+    Of one title, and of two similar ones together, items in the order of their dates are
+    linked to the next if it is near enough; every item is linked to its title's first undated one.
+    """
+    items, lists = _titles(news)
+    near = similar_lists(lists, threshold).select("src", "dst")
+    member = items.select(F.col("title_id").alias("t"), "input_pos", "published")
+    both = near.select("src", "dst", F.explode(F.array("src", "dst")).alias("t")).union(lists.select("id", "id", "id"))
+    met = both.join(member, "t")
+    by = Window.partitionBy("src", "dst").orderBy("published", "input_pos")
+    chain = met.where("published IS NOT NULL").withColumn("prev", F.lag("input_pos").over(by)).withColumn("prev_at", F.lag("published").over(by))
+    chain = chain.where(F.datediff("published", "prev_at") <= days).select("prev", "input_pos")
+    undated = member.where("published IS NULL").groupBy("t").agg(F.min("input_pos").alias("u"))
+    ends = both.select("src", "dst", "t").join(undated, "t").select("src", "dst", "u").distinct()
+    star = met.select("src", "dst", "input_pos").join(ends, ["src", "dst"]).where("u <> input_pos").select("u", "input_pos")
+    return chain.union(star).toDF("src", "dst").distinct()
 
 
 def merge_reprints(news: DataFrame, threshold: float = 0.55, days: int = 3) -> DataFrame:
     """(input_pos, cluster, kept): components of similar items; the best source type stays, then the longer title."""
-    labels = connected_components(reprint_pairs(news, threshold, days)).withColumnRenamed("node", "input_pos")
+    labels = connected_components(reprint_edges(news, threshold, days)).withColumnRenamed("node", "input_pos")
     rows = news.join(labels, "input_pos", "left").withColumn("cluster", F.coalesce("component", "input_pos"))
     by = Window.partitionBy("cluster").orderBy(_order(F.col("source_type"), PRIORITY), F.desc(F.length("title")), "input_pos")
     return rows.select("input_pos", "cluster", (F.row_number().over(by) == 1).alias("kept"))

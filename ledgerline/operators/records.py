@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.graph import kept_in_order
+
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order."""
@@ -91,6 +93,32 @@ def duplicate_classes(events: DataFrame, days: int = 30, ratio: float = 0.7, slo
     return same.unionByName(links)
 
 
+def amount_millions(value: Column, unit: Column) -> Column:
+    return value * F.when(unit == "billions", 1000.0).otherwise(1.0) / F.when(unit == "thousands", 1000.0).otherwise(1.0)
+
+
+def merge_events(events: DataFrame, authority: list[str], days: int = 30, ratio: float = 0.7) -> DataFrame:
+    """(id, n_sources, evidence) of canonical events (id, company, type, day, amount, doc_type).
+
+    Events are taken by authority, then id; one is absorbed by the first canonical event that
+    it duplicates (``duplicate_classes``), and its evidence (doc_type:id) is appended. Unknown
+    doc_types come last.
+    """
+    rank = F.array_position(F.array(*[F.lit(a) for a in authority]), F.col("doc_type"))
+    ranked = events.select("id", "doc_type", (F.when(rank == 0, len(authority) + 1).otherwise(rank) * F.lit(1 << 56) + F.col("id")).alias("turn"))
+    found = duplicate_classes(events, days, ratio)
+    # Classes of equal events stand for their first by authority; others of a class are absorbed by it.
+    member = ranked.join(found.where("link = 'same'").select(F.col("z").alias("id"), F.col("a").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    first = member.groupBy("class").agg(F.min("turn").alias("first"))
+    of = first.withColumnRenamed("class", "c")
+    near = found.where("link = 'near'").join(of.select(F.col("c").alias("a"), F.col("first").alias("src")), "a").join(of.select(F.col("c").alias("z"), F.col("first").alias("dst")), "z")
+    lost = kept_in_order(near).withColumnRenamed("node", "first")
+    placed = member.join(first, "class").join(lost, "first", "left").withColumn("home", F.coalesce("keeper", "first"))
+    line = F.struct("turn", F.concat_ws(":", "doc_type", F.col("id").cast("string")).alias("e"))
+    whole = placed.groupBy("home").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["e"]), " ").alias("evidence"))
+    return whole.select((F.col("home") % F.lit(1 << 56)).alias("id"), "n_sources", "evidence")
+
+
 def event_id(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])), 1, 16)
 
@@ -161,3 +189,82 @@ def evaluate(actual: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
     both = truth.join(actual, key, "left")
     error = F.abs(F.col("actual") - F.col("truth"))
     return both.agg(F.count("*").alias("n"), F.count_if(error < 0.1).alias("exact"), F.count_if(error <= 0.05 * F.abs("truth")).alias("close"), F.count_if(F.col("actual").isNull()).alias("missing"), F.round(F.avg(error / F.abs("truth")) * 100, 4).alias("error_pct"))
+
+
+def normalize_jobs(jobs: DataFrame, title_size: int = 200) -> DataFrame:
+    """Jobs with a label's prefix off the location, lengths capped, and a snippet ``location | department``."""
+    location = F.trim(F.regexp_replace(F.regexp_replace("location", r"(?i)^locations\s*", ""), r"(?i)^location\s*", ""))
+    rows = jobs.withColumn("title", F.substring(F.trim("title"), 1, title_size)).withColumn("location", F.substring(location, 1, 200)).withColumn("department", F.substring(F.trim("department"), 1, 100))
+    return rows.withColumn("snippet", F.regexp_replace(F.concat_ws(" | ", "location", "department"), r"^[ |]+|[ |]+$", ""))
+
+
+def classify_patents(rows: DataFrame) -> DataFrame:
+    """Rows (title, snippet, url) that look like patents, with ``patent_number`` where one is named."""
+    mark = "patent|uspto|patentscope|espacenet"
+    number = F.regexp_extract(F.concat_ws(" ", "title", "snippet"), r"US\s*(\d{7,})", 1)
+    return rows.where(F.lower("title").rlike(mark) | F.lower("url").rlike(mark)).withColumn("patent_number", F.when(number != "", F.concat(F.lit("US"), number)))
+
+
+def engagement_items(items: DataFrame) -> DataFrame:
+    """Items (content, lower-cased) with relevance (0.3 and 0.1 for words of two weights, 1 at most) and kind of contribution."""
+    has = lambda words: sum((F.col("content").contains(w).cast("int") for w in words), F.lit(0))
+    relevance = F.least(F.lit(1.0), 0.3 * has(["open compute", "ocp", "hyperscale", "data center hardware"]) + 0.1 * has(["server", "rack", "infrastructure", "manufacturing"]))
+    kind = F.when(F.col("content").contains("spec"), "Specification").when(F.col("content").contains("design"), "Design Contribution").when(F.col("content").contains("project"), "Project").when(F.col("content").rlike("member|partner"), "Membership").otherwise("General")
+    return items.withColumn("relevance", relevance).withColumn("contribution", kind)
+
+
+#: Weight of a membership.
+MEMBERSHIP = {"Platinum": 1.0, "Gold": 0.8, "Solution Provider": 0.6, "Contributor": 0.4, "Community": 0.2}
+
+
+def engagement_score(items: DataFrame, categories: list[tuple[str, list[str]]]) -> DataFrame:
+    """(company, score, level, categories, place): 30 x membership + 5 an item of news (30 at most) + 8 a contribution (40 at most)."""
+    weight = F.lit(0.1)
+    for name, w in MEMBERSHIP.items():
+        weight = F.when(F.col("status") == name, w).otherwise(weight)
+    hits = [F.when(F.bool_or(F.col("content").rlike("|".join(words))), F.lit(name)) for name, words in categories]
+    g = items.groupBy("company").agg(F.max("status").alias("status"), F.count_if(F.col("kind") == "news").alias("news"), F.count_if(F.col("kind") == "contribution").alias("made"), F.array_compact(F.array(*hits)).alias("categories"))
+    score = F.least(F.lit(100.0), weight * 30 + F.least(F.col("news") * 5, F.lit(30)) + F.least(F.col("made") * 8, F.lit(40)))
+    rows = g.withColumn("score", score)
+    level = F.when(F.col("score") >= 60, "High").when(F.col("score") >= 30, "Medium").otherwise("Low")
+    return rows.select("company", "score", level.alias("level"), "categories", F.rank().over(Window.orderBy(F.desc(F.round("score", 4)))).cast("long").alias("place"))  # one row a company
+
+
+def ratings_feed(actions: DataFrame, analyst: str | None = None) -> DataFrame:
+    """Actions of an analyst (or all) with the colour of their verbs."""
+    low = F.lower("action")
+    rows = actions.where(low.contains(analyst.lower())) if analyst else actions
+    return rows.withColumn("colour", F.when(low.rlike("raised|upgraded|initiates|buy|outperform|overweight"), "green").when(low.rlike("cut|lowered|downgraded|underweight|sell|underperform"), "red").otherwise("grey"))
+
+
+def coverage_matrix(roster: DataFrame, tickers: DataFrame, key: str) -> DataFrame:
+    """Every analyst of ``roster`` (analyst, key) by every row of ``tickers`` (key, consensus, ...): covered or not, consensus only where covered."""
+    grid = roster.select("analyst").distinct().join(F.broadcast(tickers))  # tickers are a list of companies
+    return grid.join(roster.distinct().withColumn("covered", F.lit(True)), ["analyst", key], "left").withColumn("covered", F.coalesce("covered", F.lit(False))).withColumn("consensus", F.when(F.col("covered"), F.col("consensus")))
+
+
+def merge_signals(rows: DataFrame, url: str, order: list[str], most: int) -> DataFrame:
+    """The first row of each url in an order, then the first ``most`` of these."""
+    first = latest(rows, [url], [F.col(c) for c in order]).orderBy(*order).limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # ``most`` rows
+
+
+def generate_calendar(companies: DataFrame, years: DataFrame) -> DataFrame:
+    """(company, fiscal_year, quarter, estimated): the third Monday of April, July, October, and of January of the next year."""
+    grid = companies.distinct().join(F.broadcast(years.distinct())).withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4))))  # some years
+    month = F.element_at(F.array(*[F.lit(m) for m in (4, 7, 10, 1)]), F.col("quarter"))
+    first = F.make_date(F.col("fiscal_year") + F.when(F.col("quarter") == 4, 1).otherwise(0), month, F.lit(1))
+    return grid.select("company", "fiscal_year", "quarter", F.date_add(F.next_day(F.date_sub(first, 1), "Mon"), 14).alias("estimated"))
+
+
+def upcoming_by_month(rows: DataFrame, month: int, year: int, ahead: int = 3) -> DataFrame:
+    """Rows (company, expected_month) within the next months, the year they fall in, and 30 days a month until then."""
+    diff = F.pmod(F.col("expected_month") - month, F.lit(12))
+    return rows.where(diff <= ahead).select("company", "expected_month", F.when(F.col("expected_month") >= month, year).otherwise(year + 1).alias("expected_year"), (diff * 30).alias("days_until"))
+
+
+def apply_event_updates(events: DataFrame, updates: DataFrame) -> DataFrame:
+    """Events (id, day, confirmed) with updates of the same columns: a new id is added, a non-null day moves, any confirmation stays."""
+    changes = updates.groupBy("id").agg(F.max("day").alias("new_day"), F.bool_or("confirmed").alias("sure"))
+    both = events.join(changes, "id", "full")
+    return both.select("id", F.coalesce("new_day", "day").alias("day"), (F.coalesce("confirmed", F.lit(False)) | F.coalesce("sure", F.lit(False))).alias("confirmed"))

@@ -143,3 +143,81 @@ def combine_scores(hits: DataFrame, scores: DataFrame, weight: float = 0.7) -> D
     """(1 - weight) * score + weight * a supplied score, or the score alone without one."""
     both = hits.join(scores.select("query_id", "doc_id", F.col("score").alias("other")), ["query_id", "doc_id"], "left")
     return both.withColumn("score", F.when(F.col("other").isNotNull(), (1 - weight) * F.col("score") + weight * F.col("other")).otherwise(F.col("score"))).drop("other")
+
+
+def _first(rows: DataFrame, keys: list, most: int) -> DataFrame:
+    by = Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).drop("_n")
+
+
+def table_search(hits: DataFrame, kind: Column, k: int) -> DataFrame:
+    """The k best table chunks of a kind among the 2k best table chunks of each query."""
+    return top_k(_first(hits.where("chunk_type = 'table'"), [], 2 * k).where(kind), k)
+
+
+def dedup_hits(hits: DataFrame, keys: list[str], content: str, prefix: int = 120) -> DataFrame:
+    """The best hit of each query, key and beginning of the content."""
+    return _first(hits, [*keys, F.substring(content, 1, prefix)], 1)
+
+
+def search_by_period(hits: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """The best hits of every asked (query_id, fiscal_year, quarter); a period without one has a null doc_id and ``missing``."""
+    found = _first(hits, ["fiscal_year", "quarter"], most).select("query_id", "fiscal_year", "quarter", "doc_id")
+    return asked.join(found, ["query_id", "fiscal_year", "quarter"], "left").withColumn("missing", F.col("doc_id").isNull())
+
+
+def search_scope(hits: DataFrame, scope: DataFrame, by: str, n: int, keys: list[str], content: str) -> DataFrame:
+    """Hits within each query's ``scope`` (query_id, ``by``): max(8, n / members + 2) of each member, without copies, then the n best."""
+    sized = scope.withColumn("_m", F.count("*").over(Window.partitionBy("query_id")))
+    inside = hits.join(sized, ["query_id", by])
+    ranked = inside.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", by).orderBy(F.desc("score"), "doc_id")))
+    merged = ranked.where(F.col("_n") <= F.greatest(F.lit(8), F.floor(F.lit(n) / F.col("_m")) + 2)).drop("_n", "_m")
+    return top_k(dedup_hits(merged, [by, *keys], content), n)
+
+
+def comparison_table(hits: DataFrame, scope: DataFrame, by: str) -> DataFrame:
+    """Results, tables, the three latest years and the two best documents of each member of a scope; members without hits are missing."""
+    best = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), 1, 2), lambda x: x["doc_id"].cast("string"))
+    years = F.slice(F.sort_array(F.collect_set("fiscal_year"), False), 1, 3)
+    found = hits.groupBy("query_id", by).agg(F.count("*").alias("n"), F.bool_or(F.col("chunk_type") == "table").alias("t"), F.array_join(years.cast("array<string>"), ", ").alias("y"), F.array_join(best, " ").alias("evidence"))
+    rows = scope.join(found, ["query_id", by], "left")
+    return rows.select("query_id", by, F.coalesce("n", F.lit(0)).alias("results"), F.coalesce("t", F.lit(False)).alias("has_tables"), F.coalesce("y", F.lit("N/A")).alias("years"), "evidence", F.col("n").isNull().alias("missing"))
+
+
+def recency(hits: DataFrame, most: float = 0.1, step: float = 0.005) -> DataFrame:
+    """Scores plus ``most`` for the newest period of a query's hits and ``step`` less for each place after it, 0 at least."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("fiscal_year") * 10 + F.col("quarter")), "doc_id")) - 1
+    return hits.withColumn("_i", place).withColumn("score", F.col("score") + F.greatest(F.lit(0.0), most - step * F.col("_i"))).drop("_i")
+
+
+def evidence_coverage(hits: DataFrame, scope: DataFrame, by: str, least: int = 2) -> DataFrame:
+    """Hits, tables and years of each member of a scope; fewer than ``least`` hits are a gap."""
+    found = hits.groupBy("query_id", by).agg(F.count("*").alias("n"), F.bool_or(F.col("chunk_type") == "table").alias("t"), F.array_join(F.sort_array(F.collect_set("fiscal_year")).cast("array<string>"), ",").alias("y"))
+    n = F.coalesce("n", F.lit(0))
+    return scope.join(found, ["query_id", by], "left").select("query_id", by, n.alias("n"), F.coalesce("t", F.lit(False)).alias("has_tables"), F.coalesce("y", F.lit("")).alias("years"), (n < least).alias("gap"))
+
+
+def focused_excerpt(text: Column, word: str, year: str, size: int = 2500, before: int = 500) -> Column:
+    """``size`` characters that begin ``before`` the first word or year, whichever comes first; else the beginning."""
+    k, y = F.instr(F.lower(text), word), F.instr(text, F.regexp_extract(text, year, 0))
+    at = F.least(F.when(k > 0, k), F.when(text.rlike(year), y))
+    return F.when(at.isNull(), F.substring(text, 1, size)).otherwise(F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(size)))
+
+
+def evidence_gate(hits: DataFrame, asked: DataFrame, least: float = 0.35) -> DataFrame:
+    """(query_id, passed, overlap) of hits (query_id, score, ws) and questions (query_id, terms): a score of ``least`` and one term in common."""
+    both = hits.join(asked, "query_id").withColumn("overlap", F.size(F.array_intersect("ws", "terms")))
+    return both.groupBy("query_id").agg((F.bool_or(F.col("score") >= least) & F.bool_or(F.col("overlap") >= 1)).alias("passed"), F.max("overlap").alias("overlap"))
+
+
+def grouped_context(hits: DataFrame) -> DataFrame:
+    """(query_id, context): hits by company, falling year, section, tables first, falling score."""
+    order = F.struct("company", (-F.col("fiscal_year")).alias("y"), "filing_type", (F.col("chunk_type") != "table").alias("t"), (-F.col("score")).alias("s"), "doc_id")
+    line = lambda x: F.concat_ws(" ", x["company"], (-x["y"]).cast("string"), x["filing_type"], x["doc_id"].cast("string"))
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), line), " | ").alias("context"))
+
+
+def pick_winner(answers: DataFrame, who: str, value: str) -> DataFrame:
+    """(query_id, winner): the least value where the question (query_id, question, ...) asks for it, else the greatest."""
+    low = F.lower("question").rlike("lowest|least|smallest|fewest")
+    return answers.groupBy("query_id", "question").agg(F.min_by(who, value).alias("lo"), F.max_by(who, value).alias("hi")).select("query_id", F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("winner"))

@@ -1,9 +1,9 @@
 """Registered queries of the library's own operators, each beside its SQL."""
 
-from ledgerline.queries import answers, filings, finance, records, search, text
+from ledgerline.queries import answers, briefs, filings, finance, records, search, text, topics
 from ledgerline.queries.base import ORACLES, QUERIES, table
 
-__all__ = ["ORACLES", "QUERIES", "answers", "filings", "finance", "flagship", "records", "search", "text"]
+__all__ = ["ORACLES", "QUERIES", "answers", "briefs", "filings", "finance", "flagship", "records", "search", "text", "topics"]
 
 
 def flagship(spark, sf_dir):

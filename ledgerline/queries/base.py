@@ -59,18 +59,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def register(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str | None = None, views: tuple[str, ...] = ()) -> None:
+    """Register a query that takes (spark, sf_dir), and its SQL (which may begin with more common tables) over ``views``."""
+    QUERIES[name] = build
+    if sql is None:
+        return
+    body = sql.strip().removeprefix("RECURSIVE ")
+    head = "WITH RECURSIVE " if sql.startswith("RECURSIVE ") else "WITH "
+    heads = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
+    if not heads:
+        ORACLES[name] = body if body.upper().startswith("SELECT") else head + body
+    else:
+        ORACLES[name] = f"{head}{heads}{' ' if body.upper().startswith('SELECT') else ', '}{body}"
+
+
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    """Register a query, and its SQL (which may begin with more common tables) over ``views``."""
+    """Register a function of the tables' reader as a query, with its SQL."""
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(lambda t: table(spark, sf_dir, t))
-        if sql is not None:
-            body = sql.strip()
-            heads = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
-            if not heads:
-                ORACLES[name] = body if body.upper().startswith("SELECT") else "WITH " + body
-            else:
-                ORACLES[name] = f"WITH {heads}{' ' if body.upper().startswith('SELECT') else ', '}{body}"
+        register(name, lambda spark, sf_dir: f(lambda t: table(spark, sf_dir, t)), sql, views)
         return f
 
     return add

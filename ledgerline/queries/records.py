@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import records as rc
-from ledgerline.queries.base import QUERIES, query, table
+from ledgerline.queries.base import query, register, table
 from ledgerline.sources import files as fl
 from ledgerline.streaming import jobs
 
@@ -249,21 +249,11 @@ def evl_02(t):
     return t("conversations").groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(F.lower("text").contains("the").cast("double")), 6).alias("accuracy"))
 
 
-def _stream(name, sql, build):
-    """A query that runs a stream over the files that are there."""
-
-    @query(name, sql)
-    def _(t):
-        raise NotImplementedError
-
-    QUERIES[name] = build
-
-
-_stream("str_01_ingest_stream", "SELECT event_id, user_id FROM events", lambda s, d: jobs.collect_stream(s, jobs.read_stream(s, d, "events").select("event_id", "user_id"), "ingest"))
-_stream("str_02_dedup_stream", "SELECT DISTINCT user_id, event_type FROM events", lambda s, d: jobs.collect_stream(s, jobs.dedup_stream(jobs.read_stream(s, d, "events"), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), "dedup"))
-_stream("str_03_window_counts_stream", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", lambda s, d: jobs.collect_stream(s, jobs.window_counts_stream(jobs.read_stream(s, d, "events"), "event_type", "ts", "1 day", "1 day", "0 seconds"), "windows", "append").unionByName(s.createDataFrame([], "start timestamp, event_type string, n long")).transform(lambda x: _open_days(s, d, x)))
-_stream("str_05_upsert_stream", "SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id", lambda s, d: jobs.upsert_stream(s, jobs.read_stream(s, d, "events").select("user_id", "ts"), ["user_id"], "ts", "latest").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts")))
-_stream("str_08_enrich_stream", "SELECT event_id, n_name FROM events LEFT JOIN nation ON user_id % 25 = n_nationkey", lambda s, d: jobs.collect_stream(s, jobs.enrich_stream(jobs.read_stream(s, d, "events").withColumn("n_nationkey", (F.col("user_id") % 25).cast("int")), table(s, d, "nation"), "n_nationkey").select("event_id", "n_name"), "enrich"))
+register("str_01_ingest_stream", lambda s, d: jobs.collect_stream(s, jobs.read_stream(s, d, "events").select("event_id", "user_id"), "ingest"), "SELECT event_id, user_id FROM events")
+register("str_02_dedup_stream", lambda s, d: jobs.collect_stream(s, jobs.dedup_stream(jobs.read_stream(s, d, "events"), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), "dedup"), "SELECT DISTINCT user_id, event_type FROM events")
+register("str_03_window_counts_stream", lambda s, d: jobs.collect_stream(s, jobs.window_counts_stream(jobs.read_stream(s, d, "events"), "event_type", "ts", "1 day", "1 day", "0 seconds"), "windows", "append").unionByName(s.createDataFrame([], "start timestamp, event_type string, n long")).transform(lambda x: _open_days(s, d, x)), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+register("str_05_upsert_stream", lambda s, d: jobs.upsert_stream(s, jobs.read_stream(s, d, "events").select("user_id", "ts"), ["user_id"], "ts", "latest").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts")), "SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id")
+register("str_08_enrich_stream", lambda s, d: jobs.collect_stream(s, jobs.enrich_stream(jobs.read_stream(s, d, "events").withColumn("n_nationkey", (F.col("user_id") % 25).cast("int")), table(s, d, "nation"), "n_nationkey").select("event_id", "n_name"), "enrich"), "SELECT event_id, n_name FROM events LEFT JOIN nation ON user_id % 25 = n_nationkey")
 
 
 def _open_days(spark, sf_dir, closed):

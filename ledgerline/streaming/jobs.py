@@ -6,6 +6,8 @@ and returns what it wrote, so that stream and batch results can be compared.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,45 @@ def upsert_stream(spark: SparkSession, stream: DataFrame, keys: list[str], at: s
 
     stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
     return latest(spark.read.parquet(out).drop("batch"), keys, [F.desc(at)])
+
+
+def alert_stream(spark: SparkSession, stream: DataFrame, live: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """One alert a key: rows whose key has no live alert and none of an earlier batch; a batch's own first row by ``order`` stands.
+
+    Batches land in folders of their ids, and a batch is held against those before it alone,
+    so a replay writes what it wrote before.
+    """
+    out = new_path(spark, f"alerts-{name}")
+    schema = stream.schema
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        earlier = [f"{out}/batch={i}" for i in range(batch_id)]
+        known = live.select(*keys)
+        if earlier:
+            known = known.union(batch.sparkSession.read.schema(schema).parquet(*earlier).select(*keys))
+        latest(batch.join(known.distinct(), keys, "left_anti"), keys, [F.col(order)]).select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+
+
+def late_rows(spark: SparkSession, arrivals: list[DataFrame], at: str, delay: timedelta) -> DataFrame:
+    """Rows that lie more than ``delay`` behind the newest row of the batches before theirs.
+
+    ``arrivals`` are written to a folder one after another and read as a stream, a file's batch
+    each; every batch is split and its late rows go to a side table.
+    """
+    root, out = new_path(spark, "arrivals"), new_path(spark, "late-rows")
+    schema = arrivals[0].schema
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        batch.select(F.max(at).alias(at)).write.mode("overwrite").parquet(f"{out}-seen/batch={batch_id}")
+        seen = spark.read.schema(f"{at} timestamp").parquet(*[f"{out}-seen/batch={i}" for i in range(batch_id)]).agg(F.max(at).alias("top")) if batch_id else None
+        late = batch.where("false") if seen is None else batch.join(F.broadcast(seen)).where(F.col(at) < F.col("top") - F.lit(delay)).drop("top")  # one row
+        late.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for rows in arrivals:
+        rows.write.mode("append").parquet(root)
+        stream = spark.readStream.schema(schema).parquet(root)
+        stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/batch=*")
