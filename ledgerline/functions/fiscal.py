@@ -72,3 +72,21 @@ def available_periods(chunks: DataFrame, n: int) -> DataFrame:
     """Newest n (fiscal_year, quarter) of each company."""
     by = Window.partitionBy("company").orderBy(F.desc("fiscal_year"), F.desc("quarter"))
     return chunks.select("company", "fiscal_year", "quarter").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= n)
+
+
+def mentioned_periods(text: Column) -> tuple[Column, Column, Column, Column]:
+    """(fiscal years, quarters, number of periods, quarterly or annual) that a question names, in English or Chinese.
+
+    ``FY23``, ``FY2024``; ``Q1 to Q3`` or a list of quarters; ``last three quarters``, ``past 4 years``; ``过去三年``, ``最近2个季度``.
+    """
+    years = F.transform(F.regexp_extract_all(text, F.lit(r"FY(\d{4}|\d{2})"), 1), lambda y: F.when(F.length(y) == 2, y.cast("int") + 2000).otherwise(y.cast("int")))
+    span = r"Q([1-4])\s*(?:to|-|–)\s*Q([1-4])"
+    lo, hi = (F.regexp_extract(text, span, i).try_cast("int") for i in (1, 2))
+    listed = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\bQ([1-4])\b"), 1), lambda q: q.cast("int"))))
+    quarters = F.when(lo.isNotNull() & (lo <= hi), F.sequence(lo, hi)).otherwise(listed)
+    names = {w: n for n, ws in enumerate([("one", "一"), ("two", "二", "两"), ("three", "三"), ("four", "四"), ("five", "五"), ("six", "六")], 1) for w in ws}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    word = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)(?:last|past)\s+(\w+)\s+(?:quarter|year)s?", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?:过去|最近)\s*([0-9一二两三四五六]+)\s*(?:个)?(?:季度|年)", 1), F.lit("")))
+    n = F.coalesce(word.try_cast("int"), F.try_element_at(known, F.lower(word)))
+    kind = F.when(text.rlike(r"(?i)quarter|\bQ[1-4]\b|季度"), "quarterly").when(text.rlike(r"(?i)years?\b|FY\d|年"), "annual")
+    return years, quarters, n, kind

@@ -168,3 +168,50 @@ def age_of(text: Column, as_of: Column) -> Column:
     relative = F.timestamp_seconds(F.unix_timestamp(as_of) - seconds)
     formats = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "MM/dd/yyyy"]
     return F.coalesce(relative, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def close_spaced(text: Column) -> Column:
+    """Runs of three and more single letters between blanks become words: ``S t o c k``."""
+    inside = r"(?<=\b[A-Za-z]) (?=[A-Za-z]\b)(?:(?<=\b[A-Za-z] [A-Za-z] )|(?=[A-Za-z] [A-Za-z]\b))"
+    return F.regexp_replace(text, inside, "")
+
+
+# Words that name a metric of a filing, before its amount.
+METRIC_WORDS = {
+    "revenue": "(?:total |net )?revenues?|net sales", "gross_profit": "gross profit", "operating_income": "operating income|income from operations", "net_income": "net income|net earnings",
+    "capex": "capital expenditures?|capex", "free_cash_flow": "free cash flow", "total_assets": "total assets", "total_debt": "total debt|long-term debt", "research_development": "research and development|r&d",
+}
+
+
+def metrics(text: Column) -> dict[str, Column]:
+    """The first amount after each metric's name, absolute and in units; null without one."""
+    out = {}
+    for name, words in METRIC_WORDS.items():
+        pattern = rf"(?i)(?:{words})\D{{0,20}}\$\s*\(?([\d,]+(?:\.\d+)?)\)?\s*(million|billion)"
+        number = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
+        out[name] = number * F.when(F.lower(F.regexp_extract(text, pattern, 2)) == "billion", 1e9).otherwise(1e6)
+    return out
+
+
+def phrases_present(text: Column, phrases: list[str]) -> Column:
+    """How many of the phrases a text holds."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return sum((low.contains(p).cast("int") for p in phrases), F.lit(0))
+
+
+def published(field: Column, title: Column, as_of: Column) -> Column:
+    """``age_of`` the field, or its RFC 2822 form, else a date that the title names."""
+    bare = F.regexp_replace(field, r"^[A-Za-z]{3}, | (?:GMT|UTC|[+]0000)$", "")
+    named = F.regexp_extract(title, r"((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4})", 1)
+    return F.coalesce(age_of(field, as_of), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss")), F.try_to_timestamp(named, F.lit("MMMM d, yyyy")))
+
+
+def expand(text: Column, synonyms: list[tuple[str, str]]) -> Column:
+    """The text and, after it, the synonyms of every word that it holds."""
+    return F.concat(text, *[F.when(F.lower(text).contains(w), F.lit(f" {more}")).otherwise("") for w, more in synonyms])
+
+
+def truncate(text: Column, words: int, characters: int, least: int = 20) -> Column:
+    """The first words, or of a text with ``least`` Chinese characters or more the first ``characters`` of these, with all between."""
+    many = F.regexp_count(text, F.lit(r"\p{IsHan}")) >= least
+    return F.when(many, F.regexp_extract(text, rf"^((?:[^\p{{IsHan}}]*\p{{IsHan}}){{1,{characters}}})", 1)).otherwise(truncate_words(text, words))

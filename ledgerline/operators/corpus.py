@@ -88,3 +88,49 @@ def mention_families(chunks: DataFrame, families: dict[str, str], text: str = "c
     first = chunks.select("company", "chunk_id", hit.alias("category")).withColumn("i", F.row_number().over(by)).where(F.col("i") <= samples)
     quotes = first.groupBy("company", "category").agg(F.array_sort(F.collect_list("chunk_id")).cast("array<string>").alias("quotes"))
     return counts.join(quotes, ["company", "category"], "left").withColumn("quotes", F.coalesce("quotes", F.array().cast("array<string>")))
+
+
+def value_counts(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(company, ``name``): ``value:n`` of every value, in its order, joined by commas."""
+    counts = rows.groupBy("company", F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("v", "n"))), lambda x: F.concat_ws(":", x["v"], x["n"].cast("string")))
+    return counts.groupBy("company").agg(F.array_join(pairs, ",").alias(name))
+
+
+def class_samples(classed: DataFrame, most: int = 3) -> DataFrame:
+    """(company, label, n, share, samples): chunks of each class, their share of the company's, and the first ids."""
+    by = Window.partitionBy("company", "label").orderBy("chunk_id")
+    rows = classed.withColumn("i", F.row_number().over(by))
+    first = F.array_sort(F.collect_list(F.when(F.col("i") <= most, F.struct("i", "chunk_id"))))
+    counts = rows.groupBy("company", "label").agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda x: x["chunk_id"].cast("string")), " ").alias("samples"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("company")))
+
+
+def topic_contexts(chunks: DataFrame, topics: dict[str, str], most: int) -> DataFrame:
+    """(company, topic, n, contexts): chunks that hold each topic's word, with the text around it in the first ones; one pass over the texts."""
+    from ledgerline.functions.text import snippet
+
+    hits = F.array_compact(F.array(*[F.when(F.lower("content").contains(w), F.struct(F.lit(k).alias("topic"), snippet(F.col("content"), w).alias("c"))) for k, w in topics.items()]))
+    each = chunks.select("company", "chunk_id", F.explode(hits).alias("h")).select("company", "chunk_id", "h.*")
+    rows = each.withColumn("i", F.row_number().over(Window.partitionBy("company", "topic").orderBy("chunk_id")))
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= most, F.struct("i", "c")))), lambda x: x["c"])
+    return rows.groupBy("company", "topic").agg(F.count("*").alias("n"), first.alias("contexts"))
+
+
+def grid_excerpts(chunks: DataFrame, categories: dict[str, str], most: int, size: int) -> DataFrame:
+    """(company, category, n, excerpts) for every company and category, 0 and null without a hit."""
+    hits = F.explode(F.array_compact(F.array(*[F.when(F.lower("content").contains(w), F.lit(k)) for k, w in categories.items()])))
+    each = chunks.select("company", "chunk_id", F.substring("content", 1, size).alias("e"), hits.alias("category"))
+    rows = each.withColumn("i", F.row_number().over(Window.partitionBy("company", "category").orderBy("chunk_id")))
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= most, F.struct("i", "e")))), lambda x: x["e"])
+    found = rows.groupBy("company", "category").agg(F.count("*").alias("n"), first.alias("excerpts"))
+    grid = chunks.select("company").distinct().select("company", F.explode(F.array(*[F.lit(k) for k in categories])).alias("category"))
+    return grid.join(found, ["company", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def top_themes(chunks: DataFrame, themes: dict[str, str], most: int) -> DataFrame:
+    """(company, theme, n, place): the themes whose word occurs most, ties by name."""
+    from ledgerline.functions.text import keyword_count
+
+    counts = chunks.groupBy("company").agg(*[F.sum(keyword_count(F.col("content"), [w])).alias(k) for k, w in themes.items()]).unpivot(["company"], list(themes), "theme", "n")
+    return top_by_key(counts.where("n > 0"), "company", "n", "theme", most)

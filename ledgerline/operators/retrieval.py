@@ -221,3 +221,10 @@ def pick_winner(answers: DataFrame, who: str, value: str) -> DataFrame:
     """(query_id, winner): the least value where the question (query_id, question, ...) asks for it, else the greatest."""
     low = F.lower("question").rlike("lowest|least|smallest|fewest")
     return answers.groupBy("query_id", "question").agg(F.min_by(who, value).alias("lo"), F.max_by(who, value).alias("hi")).select("query_id", F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("winner"))
+
+
+def vector_topk_where(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Cosine neighbours of queries (query_id, embedding, ``keys``) among rows (doc_id, embedding, ``keys``) of equal keys: an equality join, whatever the number of queries."""
+    q = queries.select("query_id", *keys, unit(F.col("embedding")).alias("q"))
+    v = corpus.select("doc_id", *keys, unit(F.col("embedding")).alias("v"))
+    return top_k(v.join(q, keys).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score")), k)
