@@ -90,3 +90,18 @@ def mentioned_periods(text: Column) -> tuple[Column, Column, Column, Column]:
     n = F.coalesce(word.try_cast("int"), F.try_element_at(known, F.lower(word)))
     kind = F.when(text.rlike(r"(?i)quarter|\bQ[1-4]\b|季度"), "quarterly").when(text.rlike(r"(?i)years?\b|FY\d|年"), "annual")
     return years, quarters, n, kind
+
+
+def recent_periods_of(companies: DataFrame, n: int) -> DataFrame:
+    """``recent_periods`` before each row's own date (company, fy_end_month, as_of)."""
+    back = companies.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    year, quarter = quarter_back(F.col("as_of"), F.col("fy_end_month"), F.col("k"))
+    return back.select("company", "k", year.alias("fiscal_year"), quarter.alias("quarter"))
+
+
+def years_to_fiscal(rows: DataFrame) -> DataFrame:
+    """Fiscal quarters that overlap the calendar year of each row (company, year, fy_end_month)."""
+    grid = rows.withColumn("fiscal_year", F.explode(F.array(F.col("year"), F.col("year") + 1))).withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    start = F.add_months(F.make_date(F.col("fiscal_year") - 1, F.lit(1), F.lit(1)), F.col("fy_end_month") + (F.col("quarter") - 1) * 3)
+    grid = grid.withColumn("start_d", start).withColumn("end_d", F.date_sub(F.add_months("start_d", 3), 1))
+    return grid.where((F.year("end_d") >= F.col("year")) & (F.year("start_d") <= F.col("year"))).select("company", "year", "fiscal_year", "quarter", "start_d", "end_d")

@@ -67,3 +67,27 @@ def first_available(rows: DataFrame, labels: list[str], keys: list[str]) -> Data
     """Magnitude under the first of ``labels`` that a key has (CapEx goes by several names)."""
     order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("metric"))
     return rows.where(F.col("metric").isin(labels)).groupBy(*keys).agg(F.abs(F.min_by("value", order)).alias("value"))
+
+
+def gaps_with_newest(requested: DataFrame, series: DataFrame, n: int) -> DataFrame:
+    """Requested (entity, fiscal_year, quarter) without a row, each with the newest n periods that there are."""
+    there = series.select("entity", "fiscal_year", "quarter").distinct()
+    by = Window.partitionBy("entity").orderBy(F.desc("fiscal_year"), F.desc("quarter"))
+    label = F.concat(F.lit("FY"), F.col("fiscal_year").cast("string"), F.lit(" Q"), F.col("quarter").cast("string"))
+    top = there.withColumn("i", F.row_number().over(by)).where(F.col("i") <= n).groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", label.alias("label")))), lambda x: x["label"]), ",").alias("newest"))
+    return requested.join(there, ["entity", "fiscal_year", "quarter"], "left_anti").join(top, "entity", "left")
+
+
+#: Outflows that are stored negative and shown positive.
+OUTFLOWS = ["capex", "dividends_paid", "share_repurchases"]
+
+
+def shown(value: Column, metric: Column) -> Column:
+    return F.when(metric.isin(OUTFLOWS), -value).otherwise(value)
+
+
+def series_payload(rows: DataFrame, n: int) -> DataFrame:
+    """(entity, metric, label, end_d, value, n): the newest n periods of each series with their fiscal labels."""
+    by = Window.partitionBy("entity", "metric").orderBy(F.desc("end_d"))
+    label = F.concat(F.lit("FY"), F.col("fiscal_year").cast("string"), F.lit(" Q"), F.col("quarter").cast("string"))
+    return rows.withColumn("n", F.row_number().over(by).cast("long")).where(F.col("n") <= n).select("entity", "metric", label.alias("label"), "end_d", "value", "n")

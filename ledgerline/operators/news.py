@@ -152,3 +152,104 @@ def stale_keys(ledger: DataFrame, wanted: DataFrame, key: str, at: str, hours: i
     """Wanted keys without a batch that is young enough."""
     fresh = ledger.groupBy(key).agg(F.max(at).alias("last")).where(F.col("last") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours)))
     return wanted.join(fresh, key, "left_anti")
+
+
+def filter_junk(news: DataFrame, source_type: str, domains: list[str], titles: list[str]) -> DataFrame:
+    """Items without those of one source type that lie on a listed host or have a listed part in the title."""
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#:]*)", 1)), r"^www\.", "")
+    junk = host.isin(domains)
+    for t in titles:
+        junk = junk | F.lower("title").contains(t)
+    return news.where(~((F.col("source_type") == source_type) & F.coalesce(junk, F.lit(False))))
+
+
+def filter_age_by(news: DataFrame, as_of: str, days: dict[str, int], default: int) -> DataFrame:
+    """Items of the last days, as many as their source type has; those without a date stay."""
+    most = F.lit(default)
+    for kind, n in days.items():
+        most = F.when(F.col("source_type") == kind, n).otherwise(most)
+    return news.where(F.col("published").isNull() | (F.datediff(F.lit(as_of).cast("date"), F.col("published").cast("date")) <= most))
+
+
+def newest(news: DataFrame, n: int) -> DataFrame:
+    """The n newest items with their ``place``; undated ones last, ties by input position."""
+    order = [F.desc_nulls_last("published"), F.col("input_pos")]
+    return news.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # n rows
+
+
+def aggregate_feed(parts: dict[str, DataFrame]) -> DataFrame:
+    """One feed of several, each row with the name of its part."""
+    out = None
+    for name, df in parts.items():
+        part = df.withColumn("feed", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def with_match_bonus(scored: DataFrame) -> DataFrame:
+    """Scores (0 for undated freshness) plus 0.2 for each match after the first, 0.6 at most."""
+    return scored.withColumn("score", F.col("score") + F.least(0.2 * F.greatest(F.col("match_count") - 1, F.lit(0)), F.lit(0.6)))
+
+
+def relevant(news: DataFrame, hosts: list[str], suffixes: list[str], terms: list[str]) -> DataFrame:
+    """Items on an official host or under one of its suffixes, or with a term as a whole phrase of the title."""
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#:]*)", 1)), r"^www\.", "")
+    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")), F.lit(" "))
+    hit = host.isin(hosts)
+    for s in suffixes:
+        hit = hit | host.endswith(s)
+    for t in terms:
+        hit = hit | padded.contains(f" {t} ")
+    return news.where(hit)
+
+
+def top_week(scored: DataFrame, key: str, as_of: str, days: int, per_domain: int, n: int) -> DataFrame:
+    """Valid items (title, http url) of the last days or undated, the first of each root domain by input, then the n best of each key."""
+    hours = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("published").cast("timestamp"))) / 3600
+    valid = scored.where((F.trim("title") != "") & F.col("url").startswith("http") & (F.col("published").isNull() | (hours <= 24 * days)))
+    first = Window.partitionBy(key, tx.root_domain(F.col("url"))).orderBy("input_pos")
+    capped = valid.withColumn("_d", F.row_number().over(first)).where(F.col("_d") <= per_domain).drop("_d")
+    by = Window.partitionBy(key).orderBy(F.desc("score"), "input_pos")
+    return capped.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= n)
+
+
+def fetch_diagnostics(fetches: DataFrame, key: str) -> DataFrame:
+    """Attempts, outcomes (ok, empty, failed) and items of each source."""
+    return fetches.groupBy(key).agg(F.count("*").alias("attempted"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("ok", "empty", "failed")], F.sum("items").alias("items"))
+
+
+def digest(news: DataFrame, key: str, least: int = 4, size: int = 200) -> DataFrame:
+    """(key, n, ready, fallback, status, set_key, lines): the summary, else the beginning of the description, else the title.
+
+    Fewer summaries than ``least`` fail; any fallback is told; items without text are left out.
+    The set's key is a digest of its positions.
+    """
+    line = F.coalesce(F.nullif("summary", F.lit("")), F.nullif(F.substring("description", 1, size), F.lit("")), F.nullif("title", F.lit("")))
+    rows = news.withColumn("line", line).where("line IS NOT NULL").withColumn("ok", F.coalesce(F.col("summary") != "", F.lit(False)))
+    ordered = F.array_sort(F.collect_list(F.struct("input_pos", "line")))
+    g = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if("ok").alias("ready"), ordered.alias("o"))
+    fallback = F.col("n") - F.col("ready")
+    status = F.when(F.col("ready") < least, "failed").when(fallback > 0, "fallback_used").otherwise("ready")
+    return g.select(key, "n", "ready", fallback.alias("fallback"), status.alias("status"), F.sha2(F.array_join(F.transform("o", lambda x: x["input_pos"].cast("string")), ","), 256).alias("set_key"), F.transform("o", lambda x: x["line"]).alias("lines"))
+
+
+def filter_feed(news: DataFrame, companies: list[str], preset: list[str], terms: str, n: int) -> DataFrame:
+    """The newest n items a company with any preset keyword and any comma-separated term in title or description."""
+    text = F.lower(F.concat_ws(" ", "title", "description"))
+
+    def any_of(words: list[str]) -> Column:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | text.contains(w)
+        return hit
+
+    rows = news.where(F.col("company").isin(companies) & any_of(preset) & any_of([w.strip().lower() for w in terms.split(",") if w.strip()]))
+    by = Window.partitionBy("company").orderBy(F.desc_nulls_last("published"), "input_pos")
+    return rows.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= n)
+
+
+def repair(news: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Stored items re-keyed: canonical url, one item a url with the intents of all, age filter; ``changed`` tells whether url or intents differ."""
+    keyed = news.where("trim(title) <> ''").withColumn("was", F.col("url")).withColumn("url", tx.canonical_url(F.col("url")))
+    kept = filter_age(dedup_exact(keyed), as_of, days)
+    return kept.withColumn("changed", (F.col("was") != F.col("url")) | (F.array_join("intents", ",") != F.col("intent")))

@@ -22,7 +22,7 @@ VIEWS = {
  CAST(sum(v) OVER (PARTITION BY entity, y ORDER BY q) AS DOUBLE) AS val, CASE WHEN q = 4 THEN '10-K' ELSE '10-Q' END AS form
  FROM (SELECT c.c_mktsegment AS entity, CAST(year(o.o_orderdate) AS INT) AS y, CAST(quarter(o.o_orderdate) AS INT) AS q, sum(CAST(o.o_totalprice AS DECIMAL(18, 2))) AS v
  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment, year(o.o_orderdate), quarter(o.o_orderdate)) t""",
-    "calendar": """SELECT * FROM (VALUES ('AUTOMOBILE', 3), ('BUILDING', 8), ('FURNITURE', 12), ('HOUSEHOLD', 9), ('MACHINERY', 6)) AS t(company, fy_end_month)""",
+    "calendar": """SELECT DISTINCT c_mktsegment AS company, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 3 WHEN 'BUILDING' THEN 8 WHEN 'FURNITURE' THEN 12 WHEN 'HOUSEHOLD' THEN 9 ELSE 6 END AS fy_end_month FROM customer""",
     "news": """SELECT u.page_id * 2 + u.copy AS input_pos, u.url, u.title, e.ts AS published,
  CASE u.page_id % 3 WHEN 0 THEN 'brave' WHEN 1 THEN 'company_news_rss' ELSE 'market_commentary_rss' END AS source_type,
  CASE (u.page_id + u.copy) % 4 WHEN 0 THEN 'official_name' WHEN 1 THEN 'stock_news' WHEN 2 THEN 'industry_news' ELSE 'supporting_query' END AS intent
@@ -47,7 +47,7 @@ VIEWS = {
  CASE o.o_orderstatus WHEN 'O' THEN 'cashflow' ELSE 'income' END AS statement, last_day(CAST(o.o_orderdate AS DATE)) AS end_d, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS value
  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment, o.o_orderstatus, last_day(CAST(o.o_orderdate AS DATE))""",
 }
-_NEEDS = {"chunks": ["documents"], "facts": ["orders", "customer"], "calendar": [], "news": ["pages", "events"], "metric_text": ["lineitem"], "facilities": ["supplier", "nation", "region"], "alerts": ["events"], "questions": ["nation"], "yearly": ["orders", "customer"], "metric_values": ["orders", "customer"]}
+_NEEDS = {"chunks": ["documents"], "facts": ["orders", "customer"], "calendar": ["customer"], "news": ["pages", "events"], "metric_text": ["lineitem"], "facilities": ["supplier", "nation", "region"], "alerts": ["events"], "questions": ["nation"], "yearly": ["orders", "customer"], "metric_values": ["orders", "customer"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
