@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of queries up to which these are broadcast to the corpus; more are shuffled by the caller's blocks.
 MAX_QUERIES = 10_000
+#: Distinct words of all queries up to which these are broadcast.
+MAX_TERMS = 500_000
 
 
 def unit(vector: Column) -> Column:
@@ -26,12 +28,8 @@ def top_k(hits: DataFrame, k: int, score: str = "score", tie: str = "doc_id") ->
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Exact cosine neighbours of a stated set of queries (query_id, embedding) in (doc_id, embedding)."""
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"pass at most {MAX_QUERIES} queries at a time; they are broadcast")
-    q = F.broadcast(queries.select("query_id", unit(F.col("embedding")).alias("q")))
-    hits = corpus.select("doc_id", unit(F.col("embedding")).alias("v")).join(q).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
-    return top_k(hits, k)
+    """Exact cosine neighbours of a stated set of queries (query_id, embedding) in (doc_id, embedding), in blocks of queries."""
+    return top_k(vector_scores(queries, corpus.select("doc_id", "embedding")).select("query_id", "doc_id", "score"), k)
 
 
 def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -73,25 +71,37 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
+def _terms(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """(query_id, term) of the queries' distinct words, and whether they are few enough to be broadcast."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return terms, terms.count() <= MAX_TERMS
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi scores of (query_id, text) over (doc_id, text); only the queries' terms are looked up."""
+    """Okapi scores of (query_id, text) over (doc_id, text); only the queries' terms are looked up.
+
+    Up to MAX_TERMS terms are broadcast: a document's words meet them where it lies and only its
+    counts of wanted terms are shuffled, by document. More terms are joined by a shuffle.
+    """
+    terms, few = _terms(queries)
+    small = F.broadcast if few else (lambda df: df)
     sized = docs.select("doc_id", tokens(F.col("text")).alias("ws")).withColumn("dl", F.size("ws"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
+    stats = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    wanted = small(terms.select("term").distinct())
     tf = sized.select("doc_id", "dl", F.explode("ws").alias("term")).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = small(tf.groupBy("term").agg(F.count("*").alias("df")))  # a row a term of the queries
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
     rows = tf.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", part.alias("part"))
-    return top_k(terms.join(rows, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).where("score > 0").withColumn("score", F.round("score", 9)), k)
+    return top_k(rows.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).where("score > 0").withColumn("score", F.round("score", 9)), k)
 
 
 def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Share of a query's distinct terms that a document has."""
-    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("ws")).withColumn("n", F.size("ws")).select("query_id", "n", F.explode("ws").alias("term"))
+    """Share of a query's distinct terms that a document has; terms are broadcast as in ``bm25``."""
+    terms, few = _terms(queries)
+    q = terms.join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
     d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = d.join(q, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("c"))
+    hits = d.join(F.broadcast(q) if few else q, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("c"))
     return top_k(hits.select("query_id", "doc_id", (F.col("c") / F.col("n")).alias("score")), k)
 
 

@@ -6,41 +6,19 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import news as nw
 from ledgerline.operators import retrieval as rt
-from ledgerline.queries.base import AS_OF, query
+from ledgerline.queries.base import AS_OF, ORACLES, QUERIES, query
 
-_VEC = "q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20), v AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id >= 20), hits AS (SELECT query_id, doc_id, label, list_cosine_similarity(q.e, v.e) AS score FROM q, v)"
+# The queries of a search are all rows whose id is divisible by 100; they are held against all rows.
+_VEC_ALL = "q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), hits AS (SELECT query_id, doc_id, label, list_cosine_similarity(q.e, v.e) AS score FROM q, v)"
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place"
 _TOK = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')"
 _BM = f"tk AS MATERIALIZED (SELECT doc_id, {_TOK} AS ws FROM documents), qq AS MATERIALIZED (SELECT DISTINCT query_id, unnest(ws) AS term FROM (SELECT item_id AS query_id, {_TOK} AS ws FROM benchmark) b0), dd AS (SELECT * FROM (SELECT doc_id, unnest(ws) AS term, len(ws) AS dl FROM tk) d0 WHERE term IN (SELECT term FROM qq)), st AS MATERIALIZED (SELECT count(*) AS n, avg(len(ws)) AS mean FROM tk), tf AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM dd GROUP BY ALL), df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term), bm AS MATERIALIZED (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM qq JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)"
 
 
-def _vectors(t):
-    e = t("embeddings")
-    return e.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), e.where("vec_id >= 20").withColumnRenamed("vec_id", "doc_id")
-
-
-def _hits(t, k=10):
-    return rt.vector_topk(*_vectors(t), k)
-
-
-def _labelled(t, k=30):
-    return _hits(t, k).join(_vectors(t)[1].select("doc_id", "label"), "doc_id")
-
-
 def _texts(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), "text"), t("documents").select("doc_id", "text")
 
 
-@query("ret_01_vector_topk", f"{_VEC} SELECT query_id, doc_id, round(score, 5) AS score, {_TOP} FROM hits QUALIFY place <= 10")
-def ret_01(t):
-    return _hits(t).withColumn("score", F.round("score", 5))
-
-
-@query("ret_02_vector_topk_lsh")
-def ret_02(t):
-    return rt.vector_topk_lsh(*_vectors(t), 10)
-
-
 @query("ret_03_filter_chunks", "SELECT chunk_id FROM chunks WHERE filing_type IN ('10-K', '8-K') AND quarter = 2 AND contains(content, 'tion')", ("chunks",))
 def ret_03(t):
     return rt.filter_chunks(t("chunks"), {"filing_type": ["10-K", "8-K"], "quarter": 2}, "tion").select("chunk_id")
@@ -56,13 +34,6 @@ def ret_05(t):
     return rt.keyword_overlap(*_texts(t), 5).withColumn("score", F.round("score", 6))
 
 
-@query("ret_07_rrf", f"{_VEC}, a AS (SELECT query_id, doc_id, {_TOP} FROM hits QUALIFY place <= 20), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS place FROM hits QUALIFY place <= 20), u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + place)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, doc_id, round(score, 9) AS score, {_TOP} FROM u QUALIFY place <= 10")
-def ret_07(t):
-    a = _hits(t, 20)
-    b = _vectors(t)[0].select("query_id").join(F.broadcast(_vectors(t)[1].orderBy("doc_id").limit(20).select("doc_id")))
-    return rt.rrf([a, rt.top_k(b.withColumn("score", -F.col("doc_id")), 20)], 10).withColumn("score", F.round("score", 9))
-
-
 @query("ret_08_hybrid_search", f"{_BM}, x AS (SELECT query_id, doc_id, {_TOP} FROM bm QUALIFY place <= 20), a AS (SELECT item_id AS query_id, list_distinct({_TOK}) AS ws FROM benchmark), b AS (SELECT query_id, len(ws) AS n, unnest(ws) AS term FROM a), d AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT query_id, doc_id, count(*) / n AS score FROM d JOIN b USING (term) GROUP BY query_id, doc_id, n), y AS (SELECT query_id, doc_id, {_TOP} FROM h QUALIFY place <= 20), u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + place)), 12) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL) SELECT query_id, doc_id, round(score, 9) AS score, {_TOP} FROM u QUALIFY place <= 10")
 def ret_08(t):
     return rt.rrf([rt.bm25(*_texts(t), 20), rt.keyword_overlap(*_texts(t), 20)], 10).withColumn("score", F.round("score", 9))
@@ -74,40 +45,11 @@ def ret_09(t):
     return rt.time_decay(rows, "2024-01-31", {"view": 0.5, "error": 2.0}, 1.0).select("event_id", F.round("score", 6).alias("score"))
 
 
-@query("ret_10_boost", f"{_VEC}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 30) SELECT query_id, doc_id, round(score + CASE WHEN label % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN place <= 3 THEN 0.1 ELSE 0 END, 5) AS score FROM t")
-def ret_10(t):
-    return rt.boost(_labelled(t), [(F.col("label") % 2 == 0, 0.15), (F.col("place") <= 3, 0.1)]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
-
-
-@query("ret_11_align_evidence", f"{_VEC}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 30), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) AS n FROM t QUALIFY n <= 2) SELECT query_id, label, count(*) AS n, min(place) AS best FROM b GROUP BY ALL")
-def ret_11(t):
-    return rt.balance(_labelled(t), "label", 2).groupBy("query_id", "label").agg(F.count("*").alias("n"), F.min("place").alias("best"))
-
-
-@query("ret_12_expand_parents", f"{_VEC}, t AS (SELECT query_id, doc_id - doc_id % 3 AS parent_id, {_TOP} FROM hits QUALIFY place <= 30), p AS (SELECT query_id, parent_id, min(place) AS best FROM t GROUP BY ALL) SELECT query_id, parent_id, best, row_number() OVER (PARTITION BY query_id ORDER BY best, parent_id) AS place FROM p QUALIFY place <= 5")
-def ret_12(t):
-    chunks = _vectors(t)[1].select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") - F.col("doc_id") % 3).alias("parent_id"))
-    return rt.expand_parents(_hits(t, 30), chunks, 5)
-
-
 @query("ret_14_dedup_hits", "SELECT company, fiscal_year, substring(content, 1, 40) AS head, max(chunk_id) AS best FROM chunks GROUP BY company, fiscal_year, substring(content, 1, 40)", ("chunks",))
 def ret_14(t):
     return t("chunks").groupBy("company", "fiscal_year", F.substring("content", 1, 40).alias("head")).agg(F.max("chunk_id").alias("best"))
 
 
-@query("ret_15_search_by_period", f"{_VEC}, l AS (SELECT query_id, label, doc_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) AS n FROM hits QUALIFY n <= 2) SELECT query_id, label, doc_id FROM l")
-def ret_15(t):
-    rows = _hits(t, 10**9).join(_vectors(t)[1].select("doc_id", "label"), "doc_id")
-    return rt.balance(rows, "label", 2).select("query_id", "label", "doc_id")
-
-
-@query("ret_16_inject", f"{_VEC}, t AS (SELECT query_id, doc_id, score, {_TOP} FROM hits QUALIFY place <= 10), u AS (SELECT query_id, doc_id, score FROM t UNION ALL SELECT query_id, doc_id, 0.4 FROM q, v WHERE doc_id < 25) SELECT query_id, doc_id, round(max(score), 5) AS score FROM u GROUP BY ALL")
-def ret_16(t):
-    q, v = _vectors(t)
-    extra = q.select("query_id").join(F.broadcast(v.where("doc_id < 25").select("doc_id"))).withColumn("score", F.lit(0.4))
-    return rt.inject(_hits(t), extra).withColumn("score", F.round("score", 5))
-
-
 @query("ret_17_keyword_near_number", r"SELECT l_orderkey, l_linenumber, regexp_matches(content, '(?is)expenditures.{0,300}\$\d|\$\d.{0,300}expenditures') AS near FROM metric_text", ("metric_text",))
 def ret_17(t):
     return t("metric_text").select("l_orderkey", "l_linenumber", F.col("content").rlike(r"(?is)expenditures.{0,300}\$\d|\$\d.{0,300}expenditures").alias("near"))
@@ -119,27 +61,6 @@ def ret_18(t):
     return t("documents").select("doc_id", F.when(at > 0, F.substring(F.col("text"), F.greatest(at - 100, F.lit(1)), F.lit(200))).alias("excerpt"))
 
 
-@query("ret_20_evidence_gate", f"{_VEC}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 5) SELECT query_id, bool_or(score >= 0.35) AS passed FROM t GROUP BY query_id")
-def ret_20(t):
-    return _hits(t, 5).groupBy("query_id").agg(F.bool_or(F.col("score") >= 0.35).alias("passed"))
-
-
-@query("ret_21_combine_scores", f"{_VEC}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 10) SELECT query_id, doc_id, round(CASE WHEN doc_id % 2 = 0 THEN 0.3 * score + 0.7 * 0.5 ELSE score END, 5) AS score FROM t")
-def ret_21(t):
-    hits = _hits(t)
-    return rt.combine_scores(hits, hits.where("doc_id % 2 = 0").withColumn("score", F.lit(0.5))).select("query_id", "doc_id", F.round("score", 5).alias("score"))
-
-
-@query("ret_22_assemble_context", f"{_VEC}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 10) SELECT query_id, string_agg(label || ':' || doc_id, ' ' ORDER BY label, place) AS context FROM t GROUP BY query_id")
-def ret_22(t):
-    parts = F.sort_array(F.collect_list(F.struct("label", "place", "doc_id")))
-    return _labelled(t, 10).groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["label"].cast("string"), x["doc_id"].cast("string"))), " ").alias("context"))
-
-
-# The searches above over the contract's queries: every row whose id is divisible by 100, against all rows.
-_VEC_ALL = _VEC.replace("vec_id < 20", "vec_id % 100 = 0").replace(" WHERE vec_id >= 20", "")
-
-
 def _all_queries(t):
     return t("embeddings").where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
 
@@ -225,6 +146,13 @@ def ret_22_all(t):
     return _all_hits(t, 10).groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["label"].cast("string"), x["doc_id"].cast("string"))), " ").alias("context"))
 
 
+# Both names of a search are the same query.
+for _name in [n for n in QUERIES if n.startswith("ret_") and n.endswith("_all")]:
+    QUERIES[_name.removesuffix("_all")] = QUERIES[_name]
+    if _name in ORACLES:
+        ORACLES[_name.removesuffix("_all")] = ORACLES[_name]
+
+
 _N = "n1 AS (SELECT input_pos, {canon} AS url, title, published, source_type, intent FROM news)"
 _CANON = "lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][\\w+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:]+://([^/?]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:]+://[^/?]*([^?]*)', 1), '/+$', '') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\\?.*)$', 1)"
 _N = _N.format(canon=_CANON)
