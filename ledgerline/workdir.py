@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and every executor can reach."""
+    """URI of the folder that the driver and every executor can reach; a cluster must name it in spark.checkpoint.dir."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     configured = configured or spark.conf.get("spark.checkpoint.dir", "")
+    if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (configured or LOCAL_DEFAULT).rstrip("/")
 
 
