@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import filings as fg
+from ledgerline.operators import chunking as ch
 from ledgerline.operators import passages as ps
 from ledgerline.operators import xbrl as xb
 from ledgerline.queries.base import QUERIES, VIEWS, query
@@ -198,3 +199,15 @@ def txt_14(t):
 @query("txt_15_facility_lines", r"l AS (SELECT s_suppkey, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT s_suppkey, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM place_lines) q), a AS (SELECT s_suppkey, i, s, lower(string_agg(s, ' ') OVER (PARTITION BY s_suppkey ORDER BY i ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING)) AS around FROM l), c AS (SELECT *, trim(regexp_extract(lower(s), '^([^,(–—-]*)', 1)) AS city FROM a WHERE NOT contains(lower(s), 'privacy') AND NOT contains(lower(s), 'subscribe') AND length(s) BETWEEN 3 AND 80 AND NOT regexp_matches(s, '^[\d ]+$')) SELECT s_suppkey, c.city, CASE WHEN regexp_matches(around, 'headquarter|corporate office') THEN 'Headquarters' WHEN regexp_matches(around, 'design|r&d|innovation') THEN 'Design Center' WHEN regexp_matches(around, 'warehouse|logistics|distribution') THEN 'Logistics/Repair' ELSE 'Manufacturing' END AS kind FROM c JOIN (SELECT DISTINCT lower(n_name) AS city FROM nation) g ON g.city = c.city QUALIFY row_number() OVER (PARTITION BY s_suppkey, c.city ORDER BY i) = 1", ("place_lines",))
 def txt_15(t):
     return ps.facility_lines(t("place_lines"), "s_suppkey", "content", _gazetteer(t), ["Privacy", "Subscribe"])
+
+
+VIEWS["table_pages"] = """SELECT o_orderkey, concat('<h1>Report</h1><p>', CAST(o_custkey AS STRING), '</p>', CASE o_orderkey % 3 WHEN 0 THEN '<h2>Cash <i>flow</i></h2>' WHEN 1 THEN '' ELSE '<h3>Total &amp; parts</h3>' END, '<table>', CASE WHEN o_orderkey % 4 = 0 THEN '<caption>In millions</caption>' ELSE '' END, '<tr><th>item</th><th>amount</th></tr><tr><td>total</td><td> ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ' </td></tr></table>',
+ CASE WHEN o_orderkey % 5 = 0 THEN '<table><tr><td>one row</td></tr></table>' ELSE '' END, CASE WHEN o_orderkey % 7 = 0 THEN '<h2>Second</h2><table><tr><td>a</td></tr><tr><td>b</td></tr><tr><td></td></tr></table>' ELSE '' END) AS html FROM orders"""
+_NEEDS["table_pages"] = ["orders"]
+
+
+@query("chk_12_tables_with_context", "SELECT o_orderkey, 0 AS table_idx, CASE WHEN o_orderkey % 4 = 0 THEN 'In millions' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'Cash flow' WHEN 1 THEN 'Report' ELSE 'Total & parts' END END AS context, 'item,amount;total,' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS cells FROM orders UNION ALL SELECT o_orderkey, 1, 'Second', 'a;b;' FROM orders WHERE o_orderkey % 7 = 0")
+def chk_12_context(t):
+    """Tables of two rows and more with their caption, else the heading before them."""
+    found = ch.extract_tables(t("table_pages"), "o_orderkey", "html")
+    return found.select("o_orderkey", "table_idx", "context", F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
