@@ -31,8 +31,8 @@ WIDTH, GRAM = 50, 24
 _GRAMS = WIDTH - GRAM + 1
 #: Bytes of a minimizer's hash that an entry carries beside its bucket.
 _KEY_BYTES = 4
-#: Bytes of text whose minimizers are found at once, and that one index holds unless one minimizer has more.
-_PIECE, _INDEX = 1 << 20, 1 << 20
+#: Bytes of text whose minimizers are found at once, and of stretches that are judged at once unless one minimizer has more.
+_PIECE, _INDEX = 1 << 16, 3 << 20
 
 _BYTE = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _A = 0xD1342543DE82EF95
@@ -41,33 +41,40 @@ _DOWN = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_PIECE + WIDTH, pow(_
 
 
 def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each string of WIDTH bytes: where its minimizer is (leftmost of equals), and that one's hash."""
+    """For each string of WIDTH bytes: where its minimizer is (leftmost of equals); and the hash of each GRAM bytes."""
     n = max(0, len(data) - WIDTH + 1)
-    where, keys = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.uint64)
-    for a in range(0, n, _PIECE):
+    where, hashes = np.empty(n, dtype=np.int64), np.empty(n + _GRAMS - 1 if n else 0, dtype=np.uint64)
+    place = np.arange(_PIECE + _GRAMS - 1, dtype=np.uint64)
+    for a in range(0, n, _PIECE):  # pieces that stay in a core's cache
         part = data[a : a + _PIECE + WIDTH - 1]
         total = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[part] * _UP[: len(part)], out=total[1:])
         h = mix((total[GRAM:] - total[:-GRAM]) * _DOWN[: len(part) - GRAM + 1])
-        least = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        least = (h & ~np.uint64(0xFFFFFFFF)) | place[: len(h)]
         size = 1
         while 2 * size <= _GRAMS:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
         if _GRAMS > size:
             least = np.minimum(least[: len(least) - (_GRAMS - size)], least[_GRAMS - size :])
-        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        where[a : a + len(at)], keys[a : a + len(at)] = at + a, h[at]
-    return where, keys
+        where[a : a + len(least)] = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) + a
+        hashes[a : a + len(h)] = h
+    return where, hashes
 
 
-def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, document offsets, and of each window: its start, its minimizer's place and hash."""
+def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, document offsets, and of each run of windows that share a minimizer: its first and last window, the minimizer's place and hash."""
     data, offsets = text_buffers(batch.column("text"))
-    where, keys = minimizers(data)
-    room = np.repeat(offsets[1:], np.diff(offsets))[: len(where)] - np.arange(len(where))
-    inside = np.flatnonzero(room >= WIDTH)
-    return data, offsets, inside, where[inside], keys[inside]
+    where, hashes = minimizers(data)
+    inside = np.ones(len(where), dtype=bool)
+    for edge in offsets[1:-1].tolist():  # windows that cross the end of a document
+        inside[max(0, edge - WIDTH + 1) : edge] = False
+    other = where[1:] != where[:-1]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= other | ~inside[:-1]
+    last[:-1] &= other | ~inside[1:]
+    start = np.flatnonzero(first)
+    return data, offsets, start, np.flatnonzero(last), where[start], hashes[where[start]]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -80,11 +87,9 @@ def seeds(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             batch = batch.filter(batch.column("doc_id").is_valid())
-            _, offsets, _, where, keys = _windows(batch)
+            _, offsets, _, _, where, key = _runs(batch)
             if not len(where):
                 continue
-            new = np.r_[True, where[1:] != where[:-1]]
-            where, key = where[new], keys[new]
             owner = np.searchsorted(offsets, where, "right") - 1
             place, doc = where - offsets[owner], batch.column("doc_id").to_numpy()[owner]
             order, begin = postings.groups(key)
@@ -116,18 +121,15 @@ def stretches(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))
-            data, offsets, inside, where, keys = _windows(batch)
+            data, offsets, start, stop, where, key = _runs(batch)
             hit = np.zeros(len(data), dtype=bool)
             for i, payloads in enumerate(batch.column("hits").to_pylist()):
                 places = postings.positions_of(payloads) + offsets[i]
                 hit[places[places < offsets[i + 1]]] = True
-            chosen = hit[where] if len(where) else np.empty(0, dtype=bool)
-            inside, where, keys = inside[chosen], where[chosen], keys[chosen]
-            if not len(inside):
+            chosen = hit[where]
+            if not chosen.any():
                 continue
-            edge = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (inside[1:] != inside[:-1] + 1)])
-            a, b = inside[edge], inside[np.r_[edge[1:] - 1, len(inside) - 1]] + WIDTH
-            key = keys[edge]
+            a, b, key = start[chosen], stop[chosen] + WIDTH, key[chosen]
             owner = np.searchsorted(offsets, a, "right") - 1
             doc, tag, start = batch.column("doc_id").to_numpy()[owner], batch.column("tag").to_numpy()[owner], a - offsets[owner]
             raw, first, send, done = data.tobytes(), {}, [], []
@@ -230,15 +232,28 @@ class RunIndex:
         return out, begin
 
 
-def _judge(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, number of starts, tag) of runs of windows that a smaller document has."""
+def _judge(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tags: np.ndarray, keys: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, number of starts, tag) of runs of windows that a smaller document has.
+
+    Equal stretches are one string with its smallest document. A string that is alone with its
+    minimizer shares no window with another; the rest is indexed and streamed.
+    """
     known: dict[bytes, int] = {}
     which = np.array([known.setdefault(t, len(known)) for t in texts], dtype=np.int64)
     least = np.full(len(known), np.iinfo(np.int64).max)
     np.minimum.at(least, which, docs)
     own = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-    index = RunIndex(np.frombuffer(b"".join(known), dtype=np.uint8), own, least)
-    smallest, begin = index.stream()
+    minimizer = np.empty(len(known), dtype=keys.dtype)
+    minimizer[which] = keys
+    counts = own - WIDTH + 1
+    begin = np.cumsum(counts) - counts
+    smallest = np.repeat(least, counts)
+    _, at, several = np.unique(minimizer, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(several[at] > 1)
+    if len(rest):
+        strings = list(known)
+        found, from_ = RunIndex(np.frombuffer(b"".join([strings[i] for i in rest.tolist()]), dtype=np.uint8), own[rest], least[rest]).stream()
+        smallest[np.repeat(begin[rest] - from_, counts[rest]) + np.arange(len(found))] = found
     n = sizes - WIDTH + 1
     base = np.cumsum(n) - n
     flat = np.arange(int(n.sum())) - np.repeat(base, n)
@@ -268,7 +283,7 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
             before = total[group[i] - 1] if group[i] else 0
             j = max(i + 1, int(np.searchsorted(total[group[1:] - 1], before + _INDEX, "right")))
             part = order[group[i] : group[j]]
-            found = _judge(docs[part], starts[part], sizes[part], tags[part], [raw[a : a + s] for a, s in zip(at[part].tolist(), sizes[part].tolist(), strict=True)])
+            found = _judge(docs[part], starts[part], sizes[part], tags[part], keys[part], [raw[a : a + s] for a, s in zip(at[part].tolist(), sizes[part].tolist(), strict=True)])
             if len(found[0]):
                 yield postings.decided(postings.settled_rows(found[0], found[1], buckets, [(found[2], 4), (found[3], 4)]))
             i = j
