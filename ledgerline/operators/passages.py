@@ -50,7 +50,7 @@ def location_mentions(docs: DataFrame, key: str, text: str, gazetteer: DataFrame
 
 def facility_lines(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, skip: list[str]) -> DataFrame:
     """(key, city, kind): lines that are a place name (to the first comma, bracket or dash), once each, the kind from two lines before to three after."""
-    lines = docs.select(key, F.posexplode(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")).alias("i", "s"))
+    lines = docs.select(key, F.posexplode(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")).alias("i", "s"))
     around = F.lower(F.array_join(F.collect_list("s").over(Window.partitionBy(key).orderBy("i").rowsBetween(-2, 3)), " "))
     skipped = F.lit(False)
     for w in skip:
