@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,9 +105,16 @@ def _later(docs: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> np.n
     return postings.spread(np.minimum.reduceat(docs[order], begin), order, begin) < docs
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, tag): the tag, 32 bits of a hash of the text, tells rows of one doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
+def row_tag(docs: DataFrame) -> Column:
+    """32 bits of a hash of the text, which tell rows of one doc_id apart; 0 for all where no doc_id repeats, as it then costs no bytes."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return F.lit(0).cast("long")
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def tagged(docs: DataFrame, tag: Column) -> DataFrame:
+    """(doc_id, text, tag) of all rows."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag.alias("tag"))
 
 
 def copies(texts: DataFrame, least: int) -> DataFrame:
@@ -125,11 +132,11 @@ def uncopied(texts: DataFrame, again: DataFrame) -> DataFrame:
     return texts.join(again, "doc_id", "left").where("copy_tags IS NULL OR NOT array_contains(copy_tags, tag)").drop("copy_tags")
 
 
-def marked(docs: DataFrame, covers: DataFrame, again: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    """``docs`` with the columns ``names``: the row's tag, whether it is a copy, and the covers of its doc_id."""
+def marked(docs: DataFrame, value: Column, covers: DataFrame, again: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with the columns ``names``: the row's tag (``value``), whether it is a copy, and the covers of its doc_id."""
     tag, copy, cover = names
     key = fresh("doc_key", docs)
-    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), tag: F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))})
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), tag: value})
     joined = keyed.join(covers.select(F.col("doc_id").alias(key), F.col("covers").alias(cover)), key, "left").join(again.select(F.col("doc_id").alias(key), F.col("copy_tags").alias(copy)), key, "left")
     return joined.withColumn(copy, F.coalesce(F.array_contains(copy, F.col(tag)), F.lit(False))).drop(key)
 
@@ -141,7 +148,8 @@ def covered(docs: DataFrame, names: tuple[str, str, str]) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = tagged(docs)
+    tag = row_tag(docs)
+    texts = tagged(docs, tag)
     again = copies(texts, 2 * WIDTH - 1)
     hits = staged(postings.settle(anchors(texts, buckets), buckets, [_ANCHOR_BYTES], _hits), "anchor-hits")
     release(spark)
@@ -149,7 +157,7 @@ def covered(docs: DataFrame, names: tuple[str, str, str]) -> DataFrame:
     covers = staged(postings.settle(extensions(hit, buckets), buckets, [8, 4, 4], _later, carry=1), "covered-windows")
     discard(hits)
     release(spark)
-    return marked(docs, postings.gathered(covers, buckets, "covers", [4]), again, names)
+    return marked(docs, tag, postings.gathered(covers, buckets, "covers", [4]), again, names)
 
 
 def _kept(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import postings
-from ledgerline.llm.substring_dedup import copies, marked, tagged, uncopied
+from ledgerline.llm.substring_dedup import copies, marked, row_tag, tagged, uncopied
 from ledgerline.llm.tables import table
 from ledgerline.llm.words import mix, slices, text_buffers
 from ledgerline.workdir import discard, release, staged
@@ -142,12 +142,13 @@ def stretches(docs: DataFrame, buckets: int) -> DataFrame:
             rows = []
             for part in np.split(send, cut[1:]):
                 text = b"".join([raw[x:y] for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)])
-                rows.append((int(bucket[part[0]]), False, doc[part].astype("<i8").tobytes(), start[part].astype("<u4").tobytes(), (b - a)[part].astype("<u4").tobytes(), (key[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), tag[part].astype("<u4").tobytes(), text))
+                packed = postings.pack(doc[part], start[part], [((b - a)[part], 4), (key[part] & np.uint64(0xFFFFFFFF), 4), (tag[part], 4)])
+                rows.append((int(bucket[part[0]]), False, packed, text))
             for to, packed in zip(*postings.settled_rows(doc[done], start[done], buckets, [((b - a)[done] - WIDTH + 1, 4), (tag[done], 4)]), strict=True):
-                rows.append((to, True, packed, None, None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], names=["bucket", "settled", "docs", "starts", "sizes", "keys", "tags", "bytes"])
+                rows.append((to, True, packed, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "settled", "payload", "bytes"])
 
-    return docs.mapInArrow(run, "bucket int, settled boolean, docs binary, starts binary, sizes binary, keys binary, tags binary, bytes binary")
+    return docs.mapInArrow(run, "bucket int, settled boolean, payload binary, bytes binary")
 
 
 class RunIndex:
@@ -270,9 +271,10 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, payload) by document: (start, number of starts, tag) of covered windows."""
 
     def close(held: list) -> Iterator[pa.RecordBatch]:
-        docs, starts, sizes, keys, tags = (np.concatenate([np.frombuffer(h[i], dtype=t) for h in held]) for i, t in enumerate(("<i8", "<u4", "<u4", "<u4", "<u4")))
-        starts, sizes = starts.astype(np.int64), sizes.astype(np.int64)
-        raw = b"".join(h[5] for h in held)
+        docs, starts, parts = zip(*[postings.unpack(h[0], [4, 4, 4]) for h in held], strict=True)
+        docs, starts, (sizes, keys, tags) = np.concatenate(docs), np.concatenate(starts), [np.concatenate(k) for k in zip(*parts, strict=True)]
+        sizes = sizes.astype(np.int64)
+        raw = b"".join(h[1] for h in held)
         held.clear()
         at = np.cumsum(sizes) - sizes
         order = np.argsort(keys, kind="stable")
@@ -291,7 +293,7 @@ def _resolve(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for bucket, settled, *parts in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for bucket, settled, *parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if settled:
                     yield postings.decided(([bucket], parts[:1]))
                     continue
@@ -309,7 +311,8 @@ def covered(docs: DataFrame) -> DataFrame:
     """doc_id, text, tag, copy (bool) and covers: packed (start, number of starts, tag) of windows to remove."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = tagged(docs)
+    tag = row_tag(docs)
+    texts = tagged(docs, tag)
     again = copies(texts, WIDTH)
     hits = staged(postings.settle(seeds(texts, buckets), buckets, [_KEY_BYTES], _shared), "seed-hits")
     release(spark)
@@ -317,7 +320,7 @@ def covered(docs: DataFrame) -> DataFrame:
     covers = staged(_resolve(stretches(hit, buckets), buckets), "covered-runs")
     discard(hits)
     release(spark)
-    return marked(docs.select("doc_id", "text"), postings.gathered(covers, buckets, "covers", [4, 4]), again, ("tag", "copy", "covers"))
+    return marked(docs.select("doc_id", "text"), tag, postings.gathered(covers, buckets, "covers", [4, 4]), again, ("tag", "copy", "covers"))
 
 
 def _gone(size: int, tag: int, copy: bool, payloads: bytes | None) -> np.ndarray | None:
