@@ -3,8 +3,10 @@
 Every task counts sequences of word ids in a ``HatTrie``: hash containers below a shallow trie
 of word ids. A container that grows too large bursts into one for each next word; when the trie
 holds too much, whole subtrees leave it as sorted runs. A run goes to the prefix partition of
-its first two words, where all runs of the partition are merged and summed, so that everything
-that begins alike meets in one place, and a frequent prefix sends one entry a run only.
+its first word, where all runs of the partition are merged and summed; what begins with one of
+the few words that would fill a quarter of a partition is dealt by its first two words. So
+everything that begins with the same two words meets in one place, and a sequence sends one
+entry a run, however frequent it is.
 
 A sequence is as frequent as its parts at most. So words are counted first, then pairs of
 frequent words, then windows of three to MAX_WORDS words all of whose pairs are frequent. What
@@ -34,10 +36,10 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Bits of the map of what is frequent, and of the pieces in which it is put together (8 MB in 8 kB).
 MAP_BITS, PIECE_BITS = 26, 16
 #: Entries that a task's trie holds before it spills, and entries at which a container bursts.
-ENTRIES, BURST = 1 << 20, 1 << 13
+ENTRIES, BURST = 1 << 19, 1 << 13
 #: Distinct words that a task counts before it hands them on.
 WORDS_HELD = 1 << 19
-_RUNS = "part int, width int, payload binary"
+_RUNS = "part int, payload binary"
 _SEED = 0x51ED270B
 
 #: A-Z in lower case, and what ends a piece as a line feed.
@@ -59,8 +61,8 @@ class _Node:
 class HatTrie:
     """Counts of sequences of ``width`` word ids (zeros pad shorter ones), by prefix partition."""
 
-    def __init__(self, width: int, parts: int, limit: int = ENTRIES, burst: int = BURST) -> None:
-        self.width, self.parts, self.limit, self.burst = width, parts, limit, burst
+    def __init__(self, width: int, parts: int, hot: np.ndarray, limit: int = ENTRIES, burst: int = BURST) -> None:
+        self.width, self.parts, self.hot, self.limit, self.burst = width, parts, hot, limit, burst
         self.roots: dict[int, _Node] = defaultdict(_Node)
         self.size = 0
 
@@ -68,7 +70,8 @@ class HatTrie:
         """Count windows, a row each."""
         if not len(windows):
             return
-        part = (pair_hash(windows[:, 0], windows[:, 1]) % np.uint64(self.parts)).astype(np.int64)
+        first = windows[:, 0]
+        part = (np.where(np.isin(first, self.hot), pair_hash(first, windows[:, 1]), mix(first)) % np.uint64(self.parts)).astype(np.int64)
         order = np.lexsort((*windows.T[::-1], part))
         windows, part = windows[order], part[order]
         edge = np.flatnonzero(np.r_[True, (windows[1:] != windows[:-1]).any(axis=1)])
@@ -114,9 +117,8 @@ class HatTrie:
             node = self.roots.pop(part)
             self.size -= node.size
             entries = sorted(self._entries(node))
-            keys = np.frombuffer(b"".join(k for k, _ in entries), dtype=np.uint8).reshape(len(entries), -1)
-            counts = np.fromiter((n for _, n in entries), dtype="<u8", count=len(entries)).view(np.uint8).reshape(-1, 8)
-            yield part, np.hstack([keys, counts]).T.tobytes()  # planes of bytes, which compress
+            keys = np.frombuffer(b"".join(k for k, _ in entries), dtype=">u8").astype(np.uint64).reshape(len(entries), -1)
+            yield part, write_run(keys, np.fromiter((n for _, n in entries), dtype=np.int64, count=len(entries)))
 
     def _entries(self, node: _Node) -> Iterator[tuple[bytes, int]]:
         yield from node.box.items()
@@ -129,11 +131,23 @@ def _packed(sequences: np.ndarray) -> list[bytes]:
     return np.ascontiguousarray(sequences.astype(">u8")).view(f"V{8 * sequences.shape[1]}").ravel().tolist()
 
 
-def read_run(payload: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def write_run(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted windows and their counts: the ids that occur, and planes of bytes of places among them, which compress."""
+    ids, at = np.unique(keys, return_inverse=True)
+    columns = np.column_stack([at.reshape(keys.shape), counts]).astype(np.int64)
+    columns[1:, 0] -= columns[:-1, 0].copy()
+    planes = columns.astype("<i8").view(np.uint8).reshape(len(keys), -1).T
+    return np.array([len(ids), len(keys)], dtype="<i8").tobytes() + ids.astype("<u8").tobytes() + planes.tobytes()
+
+
+def read_run(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Windows and counts of a run."""
-    planes = np.frombuffer(payload, dtype=np.uint8).reshape(8 * width + 8, -1)
-    keys = np.ascontiguousarray(planes[: 8 * width].T).view(">u8").astype(np.uint64)
-    return keys, np.ascontiguousarray(planes[8 * width :].T).view("<u8").ravel().astype(np.int64)
+    n_ids, n = np.frombuffer(payload, dtype="<i8", count=2).tolist()
+    ids = np.frombuffer(payload, dtype="<u8", offset=16, count=n_ids)
+    planes = np.frombuffer(payload, dtype=np.uint8, offset=16 + 8 * n_ids).reshape(-1, n)
+    columns = np.array(planes.T, order="C").view("<i8")
+    columns[:, 0] = np.cumsum(columns[:, 0])
+    return ids[columns[:, :-1]], columns[:, -1]
 
 
 def merged(runs: list[tuple[np.ndarray, np.ndarray]], least: int, min_count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -231,7 +245,7 @@ def _bit_map(keys: DataFrame, words: int):
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, limit: int = WORDS_HELD) -> DataFrame:
     """(lang, word, f): occurrences of every word in every language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +260,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text:
                     held["und" if lang is None else lang].update(text.encode().translate(_TRANSLATE).split())
-            if sum(map(len, held.values())) > WORDS_HELD:
+            if sum(map(len, held.values())) > limit:
                 yield from out()
         yield from out()
 
@@ -267,16 +281,16 @@ def _with_ids(words: DataFrame, seed: int) -> DataFrame:
     return words.mapInArrow(run, "lang string, word string, f long, key binary")
 
 
-def sequences(docs: DataFrame, read: Callable, bits, seed: int, width: int, least: int, min_count: int = MIN_COUNT, limit: int = ENTRIES) -> DataFrame:
+def sequences(docs: DataFrame, read: Callable, bits, hot: np.ndarray, seed: int, width: int, least: int, min_count: int = MIN_COUNT, limit: int = ENTRIES) -> DataFrame:
     """(key, len, f): sequences of ``least`` to ``width`` words that begin ``min_count`` of the windows that ``read`` picks."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie(width, parts, limit)
+        trie = HatTrie(width, parts, hot, limit)
 
         def runs(down_to: int) -> Iterator[pa.RecordBatch]:
             for part, payload in trie.spill(down_to):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([width], pa.int32()), pa.array([payload], pa.binary())], names=["part", "width", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([payload], pa.binary())], names=["part", "payload"])
 
         for batch in slices(batches):
             ids, joined = _read(batch, seed)
@@ -300,7 +314,7 @@ def sequences(docs: DataFrame, read: Callable, bits, seed: int, width: int, leas
                 if part != now and held:
                     yield from out()
                 now = part
-                held.append(read_run(payload.as_buffer(), width))
+                held.append(read_run(payload.as_buffer()))
         if held:
             yield from out()
 
@@ -308,17 +322,17 @@ def sequences(docs: DataFrame, read: Callable, bits, seed: int, width: int, leas
     return found.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(merge, "key binary, len int, f long")
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, limit: int = ENTRIES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to MAX_WORDS words.
 
     A null language is ``und``; null and empty texts have no words; repeated rows count each;
     words may be of any length; an empty table gives no rows; other columns are ignored,
     whatever their names. Ties of scores go by ``a``, then by the phrase in UTF-8 order. A
     phrase goes if a longer one holds it and is as frequent: one word more is enough to look
-    at, as counts only fall from there.
+    at, as counts only fall from there. ``limit`` is what a task counts before it spills.
     """
     spark, docs = docs.sparkSession, docs.select("lang", "text")
-    counted = staged(word_counts(docs), "word-counts")
+    counted = staged(word_counts(docs, limit), "word-counts")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     for seed in (0, 1):
         words = staged(_with_ids(counted.where(F.col("f") >= min_count), seed), "frequent-words")
@@ -327,9 +341,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
         discard(words)
     else:
         raise ValueError("two frequent words share their ids under both seeds")
-    pairs = staged(sequences(docs, _pairs, _bit_map(words, 1), seed, 2, 2, min_count), "frequent-pairs")
+    share = F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    often = words.join(totals.agg(F.sum("n").alias("all")).hint("broadcast"), F.col("f") * share >= F.col("all"))  # as many words as ``share`` at most
+    hot = np.frombuffer(b"".join(r["key"] for r in often.select("key").toLocalIterator()), dtype=">u8").astype(np.uint64)
+    pairs = staged(sequences(docs, _pairs, _bit_map(words, 1), hot, seed, 2, 2, min_count, limit), "frequent-pairs")
     release(spark)
-    longer = staged(sequences(docs, _windows, _bit_map(pairs, 2), seed, MAX_WORDS, 3, min_count), "frequent-phrases")
+    longer = staged(sequences(docs, _windows, _bit_map(pairs, 2), hot, seed, MAX_WORDS, 3, min_count, limit), "frequent-phrases")
     release(spark)
 
     phrases = pairs.unionByName(longer)
