@@ -51,8 +51,8 @@ def scaled(value: Column) -> tuple[Column, Column]:
     return F.when(size >= 1e9, value / 1e9).when(size >= 1e6, value / 1e6).when(size >= 1e3, value / 1e3).otherwise(value), unit
 
 
-def pivot_metric(rows: DataFrame, key: str, column: str, value: str, columns: list) -> DataFrame:
-    """Keys by columns; holes are null."""
+def pivot_metric(rows: DataFrame, key: str, column: str, value: str, columns: list | None = None) -> DataFrame:
+    """Keys by columns, those that the rows have (years, labels: a pivot takes 10,000 at most) unless they are named; holes are null."""
     return rows.groupBy(key).pivot(column, columns).agg(F.first(value, ignorenulls=True))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import filings as fg
+from ledgerline.operators.patterns import occurrences
 
 
 def capex_candidates(docs: DataFrame, key: str, text: str, label: str, about: int = 2, least: float = 10, most: float = 1e6) -> DataFrame:
@@ -37,11 +38,9 @@ def best_window(docs: DataFrame, key: str, text: str, labels: list[str], words:
 
 
 def location_mentions(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, about: int = 100) -> DataFrame:
-    """(key, city, at, kind, context, confidence): every mention of a place (city, lower-cased) as a whole word."""
+    """(key, city, at, kind, context, confidence): every mention of a place (city, lower-cased) as a whole word; ``key`` tells rows apart."""
     low = docs.select(key, F.col(text).alias("t"), F.lower(text).alias("low"))
-    met = low.join(F.broadcast(gazetteer.select("city").distinct()), F.col("low").contains(F.col("city")))  # a gazetteer has some thousand places
-    pattern = F.concat(F.lit(r"\b\Q"), F.col("city"), F.lit(r"\E\b"))
-    each = met.select(key, "t", "city", F.explode(fg.places(F.col("low"), pattern, F.length("city"))).alias("at"))
+    each = occurrences(low, [key], "low", gazetteer.select("city")).withColumnRenamed("pattern", "city")
     context = F.substring("t", F.greatest(F.col("at") - about, F.lit(1)), F.least(F.col("at") - 1, F.lit(about)) + F.length("city") + about)
     each = each.withColumn("context", context)
     sure = F.lower("context").contains("facility") | F.lower("context").contains("plant")
@@ -58,7 +57,7 @@ def facility_lines(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, s
     short = lines.withColumn("around", around).where(~skipped & F.length("s").between(3, 80) & ~F.col("s").rlike(r"^[\d ]+$"))
     named = short.withColumn("city", F.trim(F.regexp_extract(F.lower("s"), r"^([^,(–—-]*)", 1)))
     kind = F.when(F.col("around").rlike("headquarter|corporate office"), "Headquarters").when(F.col("around").rlike("design|r&d|innovation"), "Design Center").when(F.col("around").rlike("warehouse|logistics|distribution"), "Logistics/Repair").otherwise("Manufacturing")
-    found = named.join(F.broadcast(gazetteer.select("city").distinct()), "city")
+    found = named.join(gazetteer.select("city").distinct(), "city")
     return found.groupBy(key, "city").agg(F.min_by(kind, "i").alias("kind"))
 
 

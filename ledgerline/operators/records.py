@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.graph import kept_in_order
+from ledgerline.operators.patterns import occurrences
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -33,25 +34,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return added.unionByName(removed)
 
 
-def duplicate_events(events: DataFrame, days: int = 30, ratio: float = 0.7) -> DataFrame:
-    """Pairs of events of a company and type within some days and a ratio of amounts.
-
-    Dates fall into buckets of ``days``: each event meets its own bucket and the next only.
-    """
-    bucket = F.floor(F.datediff(F.col("day"), F.lit("1970-01-01").cast("date")) / days)
-    rows = events.withColumn("b", bucket)
-    left = rows.select("company", "type", F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("slot"), F.col("id").alias("a"), F.col("day").alias("a_day"), F.col("amount").alias("a_amount"), F.col("b").alias("a_b"))
-    right = rows.select("company", "type", F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("slot"), F.col("id").alias("z"), F.col("day").alias("z_day"), F.col("amount").alias("z_amount"), F.col("b").alias("z_b"))
-    pairs = left.join(right, ["company", "type", "slot"]).where((F.col("a") < F.col("z")) & (F.col("slot") == F.greatest("a_b", "z_b")))
-    near = (F.abs(F.datediff("a_day", "z_day")) <= days) & (F.least("a_amount", "z_amount") >= ratio * F.greatest("a_amount", "z_amount"))
-    return pairs.where(near).select("a", "z")
-
-
 #: Events of a slot that meet in one task; slots with more are salted.
 SLOT_ROWS = 2000
 
 
-def duplicate_classes(events: DataFrame, days: int = 30, ratio: float = 0.7, slot_rows: int = SLOT_ROWS) -> DataFrame:
+def duplicate_links(events: DataFrame, days: int = 30, ratio: float = 0.7, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Duplicate events as (a, z, link): classes, and links between their representatives.
 
     ``same``: z is one of the class of a, the smallest id among events of one company (in any
@@ -101,12 +88,12 @@ def merge_events(events: DataFrame, authority: list[str], days: int = 30, ratio:
     """(id, n_sources, evidence) of canonical events (id, company, type, day, amount, doc_type).
 
     Events are taken by authority, then id; one is absorbed by the first canonical event that
-    it duplicates (``duplicate_classes``), and its evidence (doc_type:id) is appended. Unknown
+    it duplicates (``duplicate_links``), and its evidence (doc_type:id) is appended. Unknown
     doc_types come last.
     """
     rank = F.array_position(F.array(*[F.lit(a) for a in authority]), F.col("doc_type"))
     ranked = events.select("id", "doc_type", (F.when(rank == 0, len(authority) + 1).otherwise(rank) * F.lit(1 << 56) + F.col("id")).alias("turn"))
-    found = duplicate_classes(events, days, ratio)
+    found = duplicate_links(events, days, ratio)
     # Classes of equal events stand for their first by authority; others of a class are absorbed by it.
     member = ranked.join(found.where("link = 'same'").select(F.col("z").alias("id"), F.col("a").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
     first = member.groupBy("class").agg(F.min("turn").alias("first"))
@@ -300,11 +287,13 @@ def refresh_status(rows: DataFrame, key: str, failed: Column) -> DataFrame:
 
 
 def suggest(queries: DataFrame, registry: DataFrame, most: int) -> DataFrame:
-    """(w, id, precedence): companies whose ticker (1), name (2) or alias (3) holds the typed letters, the best first."""
-    hit = F.when(F.lower("ticker").contains(F.col("w")), 1).when(F.lower("name").contains(F.col("w")), 2).when(F.exists("aliases", lambda a: F.lower(a).contains(F.col("w"))), 3)
-    found = queries.join(F.broadcast(registry)).withColumn("precedence", hit).where("precedence IS NOT NULL")  # a registry is a list of companies
+    """(w, id, precedence): companies whose ticker (1), name (2) or alias (3) holds the typed letters, the best first; nothing typed finds nothing."""
+    fields = F.concat(F.array(F.struct(F.lit(1).alias("precedence"), F.lower("ticker").alias("s")), F.struct(F.lit(2).alias("precedence"), F.lower("name").alias("s"))), F.transform(F.coalesce("aliases", F.array()), lambda a: F.struct(F.lit(3).alias("precedence"), F.lower(a).alias("s"))))
+    each = registry.select("id", F.explode(fields).alias("f")).select("id", "f.*").distinct()
+    found = occurrences(each, ["id", "precedence", "s"], "s", queries.select("w"), whole=False)
+    best = found.groupBy(F.col("pattern").alias("w"), "id").agg(F.min("precedence").alias("precedence"))
     by = Window.partitionBy("w").orderBy("precedence", "id")
-    return found.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).select("w", "id", "precedence")
+    return best.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).select("w", "id", "precedence")
 
 
 def extract_events(docs: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -114,6 +114,15 @@ def rrf(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return top_k(rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 12).alias("score")), k)
 
 
+def hybrid(vector: DataFrame, lexical: DataFrame, k: int, constant: int = 60) -> DataFrame:
+    """The fused top k of a vector and a lexical ranking, and which of them found each (vector, lexical or both)."""
+    fused = rrf([vector, lexical], k, constant)
+    seen = vector.select("query_id", "doc_id", F.lit(1).alias("bit")).unionByName(lexical.select("query_id", "doc_id", F.lit(2).alias("bit")))
+    bits = seen.groupBy("query_id", "doc_id").agg(F.sum("bit").alias("bits"))
+    found_by = F.element_at(F.array(F.lit("vector"), F.lit("lexical"), F.lit("both")), F.col("bits").cast("int"))
+    return fused.join(bits, ["query_id", "doc_id"]).withColumn("found_by", found_by).drop("bits")
+
+
 def time_decay(hits: DataFrame, as_of: str, rates: dict[str, float], default: float, kind: str = "kind", at: str = "at") -> DataFrame:
     """score * exp(-rate * days / 365), the rate by kind of document."""
     rate = F.lit(default)

@@ -6,20 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fiscal as fi
-
-#: Vocabularies and registries up to this many rows are broadcast to the questions.
-MAX_VOCABULARY = 100_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_VOCABULARY else df
+from ledgerline.operators.patterns import occurrences
 
 
 def resolve_metric(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query_id, metric): the longest alias (alias, metric) that a question has as whole words."""
-    hit = F.concat(F.lit(" "), F.lower("question"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
-    found = questions.join(_small(vocabulary), hit)
-    by = Window.partitionBy("query_id").orderBy(F.desc(F.length("alias")), "alias")
+    """(query_id, metric): the longest alias (alias, metric) that a question has as whole words; among equals the first by ``place``, if the vocabulary has one, then by name."""
+    place = F.col("place") if "place" in vocabulary.columns else F.lit(0)
+    named = vocabulary.select(F.lower("alias").alias("pattern"), "metric", place.alias("place"))
+    asked = questions.select("query_id", F.lower("question").alias("low"))
+    found = occurrences(asked, ["query_id"], "low", named.select("pattern")).select("query_id", "pattern").distinct().join(named, "pattern")
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.length("pattern")), "place", "pattern")
     return found.withColumn("_n", F.row_number().over(by)).where("_n = 1").select("query_id", "metric")
 
 

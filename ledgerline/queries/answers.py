@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import metric_names as mn
 from ledgerline.functions import text as tx
 from ledgerline.operators import corpus as co
 from ledgerline.operators import news as nw
 from ledgerline.plans import answers as an
 from ledgerline.queries.base import query
 
-_ALIASES = [("revenue", "revenue"), ("capex", "capex"), ("gross profit", "operating_income"), ("free cash flow", "capex")]
-_V = "vo(alias, metric) AS (VALUES " + ", ".join(f"('{a}', '{m}')" for a, m in _ALIASES) + "), rm AS (SELECT query_id, metric FROM questions JOIN vo ON contains(' ' || lower(question) || ' ', ' ' || alias || ' ') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, alias) = 1), reg AS (SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS company FROM nation), rcs AS (SELECT DISTINCT query_id, company FROM (SELECT query_id, unnest(regexp_extract_all(upper(question), '[A-Z0-9_]+')) AS name FROM questions) w JOIN reg USING (name)), fin AS (SELECT query_id, company, metric FROM rm JOIN rcs USING (query_id) JOIN questions q USING (query_id) WHERE NOT regexp_matches(lower(q.question), 'summar|outlook|explain|why'))"
+_VOCABULARY = [(alias, metric, place) for alias, metric, _, _, place in mn.vocabulary()]
+#: Every spelling of every metric, and the longest that a question holds as whole words.
+VOCABULARY_SQL = "vo(alias, metric, place) AS (VALUES " + ", ".join("('{}', '{}', {})".format(a.replace("'", "''"), m, p) for a, m, p in _VOCABULARY) + ")"
+METRIC_SQL = "rm AS (SELECT query_id, metric FROM {} JOIN vo ON regexp_matches(lower(question), '\\b' || regexp_escape(alias) || '\\b') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, place) = 1)"
+_V = VOCABULARY_SQL + ", " + METRIC_SQL.format("questions") + ", reg AS (SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS company FROM nation), rcs AS (SELECT DISTINCT query_id, company FROM (SELECT query_id, unnest(regexp_extract_all(upper(question), '[A-Z0-9_]+')) AS name FROM questions) w JOIN reg USING (name)), fin AS (SELECT query_id, company, metric FROM rm JOIN rcs USING (query_id) JOIN questions q USING (query_id) WHERE NOT regexp_matches(lower(q.question), 'summar|outlook|explain|why'))"
 
 
-def _vocabulary(t):
-    return t("nation").sparkSession.createDataFrame(_ALIASES, "alias string, metric string")
+def vocabulary(t):
+    return t("nation").sparkSession.createDataFrame(_VOCABULARY, "alias string, metric string, place int")
 
 
 def _registry(t):
@@ -26,7 +30,7 @@ def _registry(t):
 
 @query("met_11_resolve_metric", f"{_V} SELECT query_id, metric FROM rm", ("questions",))
 def met_11(t):
-    return an.resolve_metric(t("questions"), _vocabulary(t))
+    return an.resolve_metric(t("questions"), vocabulary(t))
 
 
 @query("met_12_resolve_companies", f"{_V} SELECT query_id, company FROM rcs", ("questions",))
@@ -36,12 +40,13 @@ def met_12(t):
 
 @query("met_13_financial_intents", f"{_V} SELECT query_id, company, metric FROM fin", ("questions",))
 def met_13(t):
-    return an.financial_intents(t("questions"), _vocabulary(t), _registry(t))
+    return an.financial_intents(t("questions"), vocabulary(t), _registry(t))
 
 
-@query("met_14_answer_metrics", f"{_V}, la AS (SELECT entity AS company, metric, max(end_d) AS end_d, max_by(value, end_d) AS value FROM metric_values GROUP BY ALL) SELECT f.query_id, f.company, f.metric, la.end_d, round(la.value, 2) AS value FROM fin f LEFT JOIN la USING (company, metric)", ("questions", "metric_values"))
+@query("met_14_answer_metrics", f"{_V}, la AS (SELECT entity AS company, metric, max(end_d) AS end_d, max_by(value, end_d) AS value FROM (SELECT entity, CASE metric WHEN 'revenue' THEN 'Total Revenue' WHEN 'capex' THEN 'Capital Expenditure' ELSE 'Operating Income' END AS metric, end_d, value FROM metric_values) n GROUP BY ALL) SELECT f.query_id, f.company, f.metric, la.end_d, round(la.value, 2) AS value FROM fin f LEFT JOIN la USING (company, metric)", ("questions", "metric_values"))
 def met_14(t):
-    return an.answer_metrics(an.financial_intents(t("questions"), _vocabulary(t), _registry(t)), t("metric_values")).select("query_id", "company", "metric", "end_d", F.round("value", 2).alias("value"))
+    named = F.when(F.col("metric") == "revenue", "Total Revenue").when(F.col("metric") == "capex", "Capital Expenditure").otherwise("Operating Income")
+    return an.answer_metrics(an.financial_intents(t("questions"), vocabulary(t), _registry(t)), t("metric_values").withColumn("metric", named)).select("query_id", "company", "metric", "end_d", F.round("value", 2).alias("value"))
 
 
 @query("alr_03_strategic_alerts", "k AS (SELECT company, chunk_id, w.word, row_number() OVER (PARTITION BY company, w.word ORDER BY chunk_id) AS n FROM chunks, (VALUES ('tion'), ('heit')) w(word) WHERE contains(lower(content), w.word)) SELECT company, word, chunk_id FROM k WHERE n = 1", ("chunks",))

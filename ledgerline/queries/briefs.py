@@ -105,10 +105,10 @@ def ana_29(t):
     return rows.withColumn("sentiment", F.round("sentiment", 6)).withColumn("share", F.round("share", 4))
 
 
-@query("ana_31_company_dynamics", (f"{_MEASURES}, hd AS (SELECT company, string_agg(CAST(chunk_id AS VARCHAR), ' ' ORDER BY i) AS titles FROM (SELECT company, chunk_id, row_number() OVER (PARTITION BY company ORDER BY fiscal_year * 10 + quarter DESC, chunk_id) AS i FROM chunks WHERE filing_type = '8-K') z WHERE i <= 3 GROUP BY company), mv AS (SELECT coalesce(lang, 'none') AS company, CAST(sum(n_chars) AS DOUBLE) AS value FROM documents WHERE doc_id % 7 = 0 GROUP BY 1) SELECT c.company, coalesce(outlook, 'unknown') AS outlook, coalesce(titles, 'no headline') AS headlines, coalesce(value, 0) AS value, outlook IS NOT NULL AND titles IS NOT NULL AND value IS NOT NULL AS complete FROM (SELECT DISTINCT company FROM chunks) c LEFT JOIN vo USING (company) LEFT JOIN hd USING (company) LEFT JOIN mv USING (company)").replace("FROM chunks", "FROM lchunks"), ("lchunks",))
+@query("ana_31_company_dynamics", (f"{_MEASURES}, hd AS (SELECT company, string_agg(CAST(chunk_id AS VARCHAR), ' ' ORDER BY i) AS titles FROM (SELECT company, chunk_id, row_number() OVER (PARTITION BY company ORDER BY fiscal_year * 10 + quarter DESC, chunk_id) AS i FROM chunks WHERE filing_type = '8-K') z WHERE i <= 3 GROUP BY company), mv AS (SELECT lang AS company, CAST(sum(n_chars) AS DOUBLE) AS value FROM documents WHERE lang IS NOT NULL GROUP BY 1) SELECT c.company, coalesce(outlook, 'unknown') AS outlook, coalesce(titles, 'no headline') AS headlines, coalesce(value, 0) AS value, outlook IS NOT NULL AND titles IS NOT NULL AND value IS NOT NULL AS complete FROM (SELECT DISTINCT company FROM chunks) c LEFT JOIN vo USING (company) LEFT JOIN hd USING (company) LEFT JOIN mv USING (company)").replace("FROM chunks", "FROM lchunks"), ("lchunks",))
 def ana_31(t):
     heads = t("lchunks").where("filing_type = '8-K'").select("company", (F.col("fiscal_year") * 10 + F.col("quarter")).alias("at"), F.col("chunk_id").alias("id"), F.col("chunk_id").cast("string").alias("title"))
-    metrics = t("documents").where("doc_id % 7 = 0").groupBy(F.coalesce("lang", F.lit("none")).alias("company")).agg(F.sum("n_chars").cast("double").alias("value"))
+    metrics = t("documents").where("lang IS NOT NULL").groupBy(F.col("lang").alias("company")).agg(F.sum("n_chars").cast("double").alias("value"))
     return br.company_dynamics(t("lchunks"), br.outlook(_trends(_lang(t))), heads, metrics).withColumn("headlines", F.array_join("headlines", " "))
 
 
@@ -247,13 +247,14 @@ def cal_07(t):
     return rc.apply_event_updates(known, moved.unionByName(sure).unionByName(added))
 
 
-_GUIDE = "ac AS (SELECT entity AS company, max(CASE WHEN year = 1998 THEN value END) AS actual, max(CASE WHEN year = 1999 THEN value END) AS forecast FROM yearly GROUP BY entity), re AS (SELECT company, actual, CASE WHEN forecast IS NULL OR (actual IS NOT NULL AND forecast <= actual) THEN NULL ELSE forecast END AS forecast FROM ac)"
+_GUIDE = "rk AS (SELECT entity AS company, value, row_number() OVER (PARTITION BY entity ORDER BY year DESC) AS n FROM yearly), ac AS (SELECT company, max(CASE WHEN n = 2 THEN value END) AS actual, max(CASE WHEN n = 1 THEN value END) AS forecast FROM rk GROUP BY company), re AS (SELECT company, actual, CASE WHEN forecast IS NULL OR (actual IS NOT NULL AND forecast <= actual) THEN NULL ELSE forecast END AS forecast FROM ac)"
 
 
 def _guided(t):
-    rows = t("yearly")
-    at = lambda y, name: rows.where(F.col("year") == y).select(F.col("entity").alias("company"), F.col("value").alias(name))
-    return br.reconcile_guidance(at(1998, "actual"), at(1999, "forecast"))
+    """The newest year of each company is its forecast, the one before it its actual."""
+    rows = t("yearly").withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("year"))))
+    at = lambda n, name: rows.where(F.col("n") == n).select(F.col("entity").alias("company"), F.col("value").alias(name))
+    return br.reconcile_guidance(at(2, "actual"), at(1, "forecast"))
 
 
 @query("hyp_02_reconcile_guidance", f"{_GUIDE} SELECT company, round(actual, 2) AS actual, round(forecast, 2) AS forecast, round(CASE WHEN actual > 0 AND forecast IS NOT NULL THEN (forecast - actual) / actual * 100 END, 6) AS growth_pct FROM re", ("yearly",))

@@ -212,10 +212,10 @@ def met_06(t):
     return t("metric_values").select("entity", "metric", "end_d", number.alias("number"), unit.alias("unit"))
 
 
-@query("met_07_pivot_metric", "SELECT entity, " + ", ".join(f"round(max(CASE WHEN year = {y} THEN value END), 2) AS y{y}" for y in range(1995, 2000)) + " FROM yearly GROUP BY entity", ("yearly",))
+@query("met_07_pivot_metric", "SELECT * FROM (PIVOT (SELECT entity, 'y' || year AS y, round(value, 2) AS value FROM yearly) ON y USING max(value) GROUP BY entity)", ("yearly",))
 def met_07(t):
-    wide = me.pivot_metric(t("yearly"), "entity", "year", "value", list(range(1995, 2000)))
-    return wide.select("entity", *[F.round(str(y), 2).alias(f"y{y}") for y in range(1995, 2000)])
+    wide = me.pivot_metric(t("yearly"), "entity", "year", "value")
+    return wide.select("entity", *[F.round(c, 2).alias(f"y{c}") for c in wide.columns[1:]])
 
 
 @query("met_08_series_table", "SELECT entity, year, round(value, 2) AS value, 'FY' || year AS label FROM yearly", ("yearly",))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators import duplicates as du
 from ledgerline.operators import records as rc
 from ledgerline.queries.base import query, register, table
 from ledgerline.sources import files as fl
@@ -72,14 +73,16 @@ def evt_02(t):
     return t("events").select("event_id", rc.event_id(F.col("user_id"), F.col("event_type"), F.lit(None)).alias("id"))
 
 
-@query("evt_04_duplicate_events", f"{_EV} SELECT x.id AS a, y.id AS z FROM ev x JOIN ev y ON x.company = y.company AND x.type = y.type AND x.id < y.id AND abs(x.day - y.day) <= 2 WHERE least(x.amount, y.amount) >= 0.95 * greatest(x.amount, y.amount)")
+@query("evt_04_duplicate_events", f"{_EV}, p AS (SELECT x.id, count(*) AS n FROM ev x JOIN ev y ON x.company = y.company AND x.type = y.type AND x.id <> y.id AND abs(x.day - y.day) <= 30 WHERE least(x.amount, y.amount) >= 0.7 * greatest(x.amount, y.amount) GROUP BY x.id) SELECT ev.id, coalesce(p.n, 0) AS n_links FROM ev LEFT JOIN p ON p.id = ev.id")
 def evt_04(t):
-    return rc.duplicate_events(_events(t), 2, 0.95)
+    """How many events each event duplicates."""
+    return du.duplicate_classes(_events(t)).select("id", "n_links")
 
 
 @query("evt_04_duplicate_classes")
 def evt_04_classes(t):
-    return rc.duplicate_classes(_events(t))
+    """All events with the number of their duplicates and their component."""
+    return du.duplicate_classes(_events(t))
 
 
 @query("evt_06_aggregate_events", "g AS (SELECT l_suppkey AS company, sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice ELSE 0 END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0 END) AS n, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) SELECT company, round(a, 2) AS A, round(n, 2) AS N, round(total, 2) AS total, round(a / total, 6) AS share FROM g")

@@ -34,11 +34,6 @@ def ret_05(t):
     return rt.keyword_overlap(*_texts(t), 5).withColumn("score", F.round("score", 6))
 
 
-@query("ret_08_hybrid_search", f"{_BM}, x AS (SELECT query_id, doc_id, {_TOP} FROM bm QUALIFY place <= 20), a AS (SELECT item_id AS query_id, list_distinct({_TOK}) AS ws FROM benchmark), b AS (SELECT query_id, len(ws) AS n, unnest(ws) AS term FROM a), d AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT query_id, doc_id, count(*) / n AS score FROM d JOIN b USING (term) GROUP BY query_id, doc_id, n), y AS (SELECT query_id, doc_id, {_TOP} FROM h QUALIFY place <= 20), u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + place)), 12) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL) SELECT query_id, doc_id, round(score, 9) AS score, {_TOP} FROM u QUALIFY place <= 10")
-def ret_08(t):
-    return rt.rrf([rt.bm25(*_texts(t), 20), rt.keyword_overlap(*_texts(t), 20)], 10).withColumn("score", F.round("score", 9))
-
-
 @query("ret_09_time_decay", "SELECT event_id, round(value * exp(-(CASE event_type WHEN 'view' THEN 0.5 WHEN 'error' THEN 2.0 ELSE 1.0 END) * date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') / 365), 6) AS score FROM events")
 def ret_09(t):
     rows = t("events").select("event_id", F.col("event_type").alias("kind"), F.col("ts").alias("at"), F.col("value").alias("score"))
@@ -94,6 +89,14 @@ def ret_07_all(t):
     return rt.rrf([_all_hits(t, 20), rt.bm25(asked, docs, 20)], 10).withColumn("score", F.round("score", 9))
 
 
+@query("ret_08_hybrid_search", f"{_VEC_ALL}, {_BM_ALL}, a AS (SELECT query_id, doc_id, {_TOP} FROM hits QUALIFY place <= 20), b AS (SELECT query_id, doc_id, {_TOP} FROM bm QUALIFY place <= 20), u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + place)), 12) AS score, CASE sum(bit) WHEN 1 THEN 'vector' WHEN 2 THEN 'lexical' ELSE 'both' END AS found_by FROM (SELECT *, 1 AS bit FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY ALL) SELECT query_id, doc_id, round(score, 9) AS score, found_by, {_TOP} FROM u QUALIFY place <= 10")
+def ret_08(t):
+    """Vectors and BM25 over the text under the query's id, fused."""
+    docs = t("documents").select("doc_id", "text")
+    asked = docs.join(_all_queries(t).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    return rt.hybrid(_all_hits(t, 20), rt.bm25(asked, docs, 20), 10).withColumn("score", F.round("score", 9))
+
+
 @query("ret_10_boost_all", f"{_VEC_ALL}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 30) SELECT query_id, doc_id, round(score + CASE WHEN label % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN place <= 3 THEN 0.1 ELSE 0 END, 5) AS score FROM t")
 def ret_10_all(t):
     return rt.boost(_all_hits(t, 30), [(F.col("label") % 2 == 0, 0.15), (F.col("place") <= 3, 0.1)]).select("query_id", "doc_id", F.round("score", 5).alias("score"))

@@ -73,11 +73,12 @@ def met_06_display(t):
     return stored.select("entity", "metric", "end_d", number.alias("number"), unit.alias("unit"))
 
 
-@query("met_07_pivot_years", "y AS (SELECT DISTINCT year FROM yearly) SELECT entity, " + ", ".join(f"CASE WHEN {n} IN (SELECT year FROM y) THEN coalesce(CAST(CAST(floor(max(CASE WHEN year = {n} THEN value END)) AS BIGINT) AS VARCHAR), 'N/A') ELSE 'N/A' END AS y{n}" for n in range(1994, 2004)) + " FROM yearly GROUP BY entity", ("yearly",))
+@query("met_07_pivot_years", "SELECT * FROM (PIVOT (SELECT e.entity, 'y' || y.year AS y, coalesce(CAST(CAST(floor(v.value) AS BIGINT) AS VARCHAR), 'N/A') AS shown FROM (SELECT DISTINCT entity FROM yearly) e CROSS JOIN (SELECT DISTINCT year FROM yearly) y LEFT JOIN yearly v ON v.entity = e.entity AND v.year = y.year AND (length(e.entity) + y.year) % 3 <> 0) ON y USING max(shown) GROUP BY entity)", ("yearly",))
 def met_07_years(t):
-    """Every year of the ten that the tables may have; holes say N/A."""
-    wide = me.pivot_metric(t("yearly"), "entity", "year", "value", list(range(1994, 2004)))
-    return wide.select("entity", *[F.coalesce(F.floor(str(y)).cast("bigint").cast("string"), F.lit("N/A")).alias(f"y{y}") for y in range(1994, 2004)])
+    """Every year that the tables have; holes (a third of the values is taken out) say N/A."""
+    held = t("yearly").withColumn("value", F.when((F.length("entity") + F.col("year")) % 3 != 0, F.col("value")))
+    wide = me.pivot_metric(held, "entity", "year", "value")
+    return wide.select("entity", *[F.coalesce(F.floor(c).cast("bigint").cast("string"), F.lit("N/A")).alias(f"y{c}") for c in wide.columns[1:]])
 
 
 @query("met_08_series_payload", f"{_LAB} SELECT entity, metric, 'FY' || fiscal_year || ' Q' || quarter AS label, end_d, value, row_number() OVER (PARTITION BY entity, metric ORDER BY end_d DESC) AS n FROM lab QUALIFY n <= 12", ("metric_values", "calendar"))

@@ -13,6 +13,7 @@ from ledgerline.operators import corpus as co
 from ledgerline.operators import passages as ps
 from ledgerline.operators import retrieval as rt
 from ledgerline.plans import answers as an
+from ledgerline.queries.answers import METRIC_SQL, VOCABULARY_SQL, vocabulary
 from ledgerline.queries.base import _NEEDS, VIEWS, query
 from ledgerline.queries.briefs import _MEASURES, _lang, _trends
 from ledgerline.queries.filings import _SECTIONS
@@ -69,11 +70,10 @@ def fis_07_variants(t):
     return t("chunks").where(fi.year_of_label(F.when(F.col("chunk_id") % 7 == 0, "").otherwise(label)) == 2023).select("chunk_id")
 
 
-@query("met_13_intents_with_periods", "v(alias, metric) AS (VALUES ('revenue', 'revenue'), ('margins', 'margin'), ('quarters', 'x')), r AS (SELECT query_id, metric FROM period_questions JOIN v ON contains(' ' || lower(question) || ' ', ' ' || alias || ' ') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, alias) = 1), n AS (SELECT s_suppkey AS query_id, n_name AS company FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT query_id, company, metric, CASE WHEN query_id % 8 IN (0, 1, 5, 6) THEN 'quarterly' WHEN query_id % 8 IN (2, 3, 4) THEN 'annual' ELSE 'annual' END AS period_type, CASE query_id % 8 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 4 END AS periods FROM r JOIN n USING (query_id) JOIN period_questions q USING (query_id) WHERE NOT regexp_matches(lower(question), 'breakdown|by segment|summar|outlook|explain|why')", ("period_questions",))
+@query("met_13_intents_with_periods", VOCABULARY_SQL + ", " + METRIC_SQL.format("period_questions") + ", n AS (SELECT s_suppkey AS query_id, n_name AS company FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT query_id, company, metric, CASE WHEN query_id % 8 IN (0, 1, 5, 6) THEN 'quarterly' WHEN query_id % 8 IN (2, 3, 4) THEN 'annual' ELSE 'annual' END AS period_type, CASE query_id % 8 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 4 END AS periods FROM rm JOIN n USING (query_id) JOIN period_questions q USING (query_id) WHERE NOT regexp_matches(lower(question), 'breakdown|by segment|summar|outlook|explain|why')", ("period_questions",))
 def met_13_periods(t):
-    vocabulary = t("nation").sparkSession.createDataFrame([("revenue", "revenue"), ("margins", "margin"), ("quarters", "x")], "alias string, metric string")
     registry = t("nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("company"))
-    return an.intents_with_periods(t("period_questions"), vocabulary, registry)
+    return an.intents_with_periods(t("period_questions"), vocabulary(t), registry)
 
 
 _NINE = ["revenue", "gross_profit", "operating_income", "net_income", "capex", "free_cash_flow", "total_assets", "total_debt", "research_development"]
