@@ -32,8 +32,8 @@ from ledgerline.workdir import discard, release, staged
 
 #: Files of tokenizers over this many bytes are refused, as they are sent to every task.
 MAX_FILE_BYTES = 64 << 20
-#: Bytes of text whose pairs are listed together.
-BLOCK = 16 << 20
+#: Bytes of text whose pairs are listed together, and bytes that are aligned at once.
+BLOCK, PIECE = 8 << 20, 1 << 20
 #: Neighbours of the middle that are asked before all ends of an interval are.
 _NEAR = 3
 #: Pairs of a group that are written out one by one; those of larger groups are counted by id first.
@@ -267,7 +267,7 @@ def _encoded(docs: DataFrame, shared) -> DataFrame:
             yield _batch([[block], *([None] for _ in range(6)), [_planes(distinct, 4) + _planes(n, 4)], [True]])
             rows.clear(), keys.clear(), counts.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, size_of=PIECE):
             found = worker.align(batch.column("text"))
             pairs, times = found.pairs(n_b)
             size = np.diff(np.searchsorted(pairs >> 32, np.arange(batch.num_rows + 1)))
@@ -343,7 +343,7 @@ def groups(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _Worker(shared.value)
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
-        for batch in slices(batches):
+        for batch in slices(batches, size_of=PIECE):
             found = worker.align(batch.column("text"))
             sides = [[x.tolist() for x in np.split(ids, cuts + 1)[:-1]] for ids, cuts in ((found.a, found.cuts_a), (found.b, found.cuts_b))]
             whole = [{"a": a, "b": b} for a, b in zip(*sides, strict=True)]

@@ -45,8 +45,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds SLICE bytes of text, or one longer document."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size_of: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds ``size_of`` bytes of text, or one longer document."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -55,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + size_of, "right")))
             yield batch.slice(at, to - at)
             at = to
 
