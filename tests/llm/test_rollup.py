@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerline.llm import rollup
+from ledgerline.llm import rollup as ru
 from ledgerline.workdir import new_path
 
 SCHEMA = "doc_id long, source string, lang string, text string, words int"
@@ -47,3 +48,71 @@ def test_empty_rollup_and_uncommitted_batches(spark, tmp_path):
     assert totals(r) == {}
     assert r.commit("half", added) and totals(r) == {("a", "en", "w"): (3, 200_003)}
     assert not r.commit("half", added) and totals(r) == {("a", "en", "w"): (3, 200_003)}
+
+
+def _rows(rollup):
+    return {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+
+
+def _change(spark, source, docs, tokens):
+    return spark.createDataFrame([(source, None, "t", docs, tokens)], "source string, lang string, tokenizer string, d_docs long, d_tokens long")
+
+
+def test_a_residue_of_tokens_shows(spark, tmp_path):
+    rollup = ru.Rollup(spark, f"file://{tmp_path}/r")
+    rollup.commit("a", _change(spark, "s", 1, 5))
+    rollup.commit("b", _change(spark, "s", -1, -3))
+    assert _rows(rollup) == {("s", None, "t"): (0, 2)}
+    rollup.commit("c", _change(spark, "s", 0, -2))
+    assert _rows(rollup) == {}
+
+
+def test_compaction_keeps_totals_and_ids(spark, tmp_path):
+    root = tmp_path / "r"
+    rollup = ru.Rollup(spark, f"file://{root}")
+    assert not rollup.compact()
+    for i in range(4):
+        assert rollup.commit(f"b{i}", _change(spark, "s", 1, i))
+    want = _rows(rollup)
+    assert rollup.compact() and not rollup.compact() and _rows(rollup) == want == {("s", None, "t"): (4, 6)}
+    assert sorted(p.name for p in root.iterdir()) == ["compact=000000001"]
+    assert not rollup.commit("b2", _change(spark, "s", 1, 2)) and _rows(rollup) == want
+    assert rollup.commit("b4", _change(spark, "q", 1, 1)) and rollup.compact()
+    assert _rows(rollup) == want | {("q", None, "t"): (1, 1)} and not rollup.commit("b4", _change(spark, "q", 1, 1))
+
+
+def test_a_crash_around_the_rename_changes_nothing(spark, tmp_path, monkeypatch):
+    import shutil
+
+    root = tmp_path / "r"
+    rollup = ru.Rollup(spark, f"file://{root}")
+    rollup.commit("a", _change(spark, "s", 1, 5))
+    with monkeypatch.context() as m:
+        m.setattr(rollup, "_take", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        try:
+            rollup.compact()
+        except KeyboardInterrupt:
+            pass
+    assert _rows(rollup) == {("s", None, "t"): (1, 5)}
+    shutil.copytree(root / "batch=a", tmp_path / "kept")
+    assert rollup.compact()
+    shutil.copytree(tmp_path / "kept", root / "batch=a")  # as if it had not been deleted
+    assert _rows(rollup) == {("s", None, "t"): (1, 5)}
+
+
+def test_bpe_rollup_counts_as_tiktoken(spark):
+    import base64
+    from collections import Counter
+
+    import public_tokenizers as public
+    import tiktoken
+
+    with open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    path, docs, tokens = "/root/testdata/sf0.001", Counter(), Counter()
+    for r in spark.read.parquet(f"{path}/documents.parquet").collect():
+        docs[r.source, r.lang] += 1
+        tokens[r.source, r.lang] += len(own.encode_ordinary(r.text or ""))
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in ru.bpe_rollup(spark, path).collect()}
+    assert got == {k: (docs[k], tokens[k]) for k in docs}
