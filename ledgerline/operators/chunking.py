@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,27 +29,57 @@ def outline(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
     return _lines(df, key, text, header).where("head").select(key, F.col("i").cast("long").alias("i"), "line")
 
 
-def _fold(parts: Column, most: int, separator: str, merge_below: bool) -> Column:
-    """Greedy packing of strings by words: a fold that carries (what is done, what is open, its words)."""
-    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+_PARAGRAPH, _SENTENCE, _WORD = (re.compile(p, re.ASCII) for p in (r"\n\s*\n", r"(?<=[.!?])\s+", r"\S+"))
+_BLANKS = re.compile(r"\s+", re.ASCII)
 
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.when(acc["open"] == "", x).otherwise(F.concat(acc["open"], F.lit(separator), x))
-        full = acc["n"] >= most if merge_below else (acc["n"] > 0) & (acc["n"] + words(x) > most)
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, x).otherwise(joined).alias("open"), F.when(full, words(x)).otherwise(acc["n"] + words(x)).alias("n"))
 
-    return F.aggregate(F.filter(parts, lambda x: F.trim(x) != ""), zero, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+def packed(parts: list[str], most: int, separator: str, merge_below: bool) -> list[str]:
+    """Greedy packing of strings that are not blank: runs of at most ``most`` words (a longer string stands alone), or runs that end with their ``most``-th word (``merge_below``).
+
+    The end of a run is found by bisecting the running numbers of words, so a run costs the
+    logarithm of the parts, and every part is joined once.
+    """
+    parts = [p for p in parts if p.strip(" ")]
+    if not parts:
+        return []
+    total = np.cumsum([sum(1 for _ in _WORD.finditer(p)) for p in parts])
+    out, i, before = [], 0, 0
+    while i < len(parts):
+        if merge_below:
+            end = int(np.searchsorted(total, before + most, "left")) + 1
+        else:  # the first part with words is in, whatever its length
+            end = max(int(np.searchsorted(total, before, "right")) + 1, int(np.searchsorted(total, before + most, "right")))
+        end = min(max(end, i + 1), len(parts))
+        out.append(separator.join(parts[i:end]))
+        i, before = end, int(total[end - 1])
+    return out
+
+
+def _runs(df: DataFrame, key: str, text: str, names: list[str], run_of) -> DataFrame:
+    """A row for each run of each text: its places by ``names`` and the run itself, the last of them."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, value in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows = run_of(value) if value else []
+                for a in range(0, len(rows), 1000):  # one text may have many runs
+                    part = rows[a : a + 1000]
+                    columns = [pa.array(c, pa.string() if n == names[-1] else pa.int32()) for n, c in zip(names, zip(*part, strict=True), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(ident, len(part)), *columns], names=[key, *names])
+
+    schema = ", ".join([f"`{key}` {kind}", *[f"{n} int" for n in names[:-1]], f"{names[-1]} string"])
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 def merge_paragraphs(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """Paragraphs between blank lines, merged while they hold fewer than ``least`` words."""
-    return df.select(key, F.posexplode(_fold(F.split(text, r"\n\s*\n"), least, "\n\n", True)).alias("idx", "paragraph"))
+    return _runs(df, key, text, ["idx", "paragraph"], lambda t: list(enumerate(packed(_PARAGRAPH.split(t), least, "\n\n", True))))
 
 
 def pack_sentences(df: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """Sentences packed into runs of at most ``most`` words (a longer one stands alone)."""
-    return df.select(key, F.posexplode(_fold(F.split(text, r"(?<=[.!?])\s+"), most, " ", False)).alias("idx", "chunk"))
+    return _runs(df, key, text, ["idx", "chunk"], lambda t: list(enumerate(packed(_SENTENCE.split(t), most, " ", False))))
 
 
 def chunk_words(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
@@ -58,9 +91,22 @@ def chunk_words(df: DataFrame, key: str, text: str, size: int, overlap: int) ->
 
 def parent_child(df: DataFrame, key: str, text: str, parent: int = 800, child: int = 375, least: int = 50) -> DataFrame:
     """Parents of whole paragraphs up to ``parent`` words, each with its children of packed sentences of ``least`` words or more."""
-    parents = df.select(key, F.posexplode(_fold(F.split(text, r"\n\s*\n"), parent, "\n\n", False)).alias("parent_idx", "parent"))
-    children = parents.select(key, "parent_idx", F.posexplode(_fold(F.split("parent", r"(?<=[.!?])\s+"), child, " ", False)).alias("child_idx", "child"))
-    return children.where(F.size(F.split("child", r"\s+")) >= least)
+
+    def both(value: str) -> list[tuple]:
+        parents = packed(_PARAGRAPH.split(value), parent, "\n\n", False)
+        return [(i, p, j, c) for i, p in enumerate(parents) for j, c in enumerate(packed(_SENTENCE.split(p), child, " ", False)) if len(_BLANKS.split(c)) >= least]
+
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, value in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows = both(value) if value else []
+                for a in range(0, len(rows), 1000):
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 1000], strict=True), (pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(ident, len(columns[0])), *columns], names=[key, "parent_idx", "parent", "child_idx", "child"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, parent_idx int, parent string, child_idx int, child string")
 
 
 def chunk_key(*parts: Column) -> Column:

@@ -54,11 +54,40 @@ def class_mix(classed: DataFrame) -> DataFrame:
     return out.withColumn("focus", F.when(F.col("share") >= 60, "a").when(F.col("share") <= 40, "b").otherwise("balanced"))
 
 
-def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The element at n // 2 (from 0) of the sorted values: the upper median of an even number."""
-    by = Window.partitionBy(*keys).orderBy(value)
-    at = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(by)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return at.where("_i = floor(_n / 2) + 1").select(*keys, F.col(value).alias("median"))
+#: Bins of a histogram of ``upper_median``.
+BINS = 4096
+
+
+def _binned(rows: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """``rows`` (with ``_t``, the place wanted) cut to the bin of their key that holds the place, which becomes one within the bin."""
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    named = {k: f"_{k}" for k in keys}
+    v = F.col(value).cast("double")
+    finite = F.when(F.abs(v) != float("inf"), v)
+    ends = rows.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi")).withColumnsRenamed(named)
+    share = F.when(F.col("_hi") > F.col("_lo"), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    place = F.when(v == float("inf"), bins).when(v == float("-inf"), -1).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1))).cast("int")
+    cut = rows.join(ends, same).withColumn("_bin", place).drop("_lo", "_hi", *named.values())
+    counts = cut.groupBy(*keys, "_t", "_bin").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))  # ``bins`` + 2 rows a key at most
+    home = counts.withColumn("_upto", upto).where("_t < _upto AND _t >= _upto - _n").select(*keys, F.col("_bin").alias("_home"), (F.col("_t") - F.col("_upto") + F.col("_n")).alias("_next"))
+    home = home.withColumnsRenamed(named)
+    return cut.drop("_t").join(home, [*same, F.col("_bin") == F.col("_home")]).withColumnRenamed("_next", "_t").drop("_bin", "_home", *named.values())
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFrame:
+    """The element at n // 2 (from 0) of the sorted values: the upper median of an even number; nulls and NaN are no values.
+
+    Two passes of histograms find the bin that holds the place, so that only what is in it is
+    sorted, equal values as one: a key with all rows is counted by many tasks.
+    """
+    known = rows.select(*keys, value).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    sizes = known.groupBy(*keys).agg(F.floor(F.count("*") / 2).alias("_t")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    asked = known.join(sizes, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+    near = _binned(_binned(asked, keys, value, bins), keys, value, bins)
+    counts = near.groupBy(*keys, "_t", value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
+    return counts.withColumn("_upto", upto).where("_t < _upto AND _t >= _upto - _n").select(*keys, F.col(value).alias("median"))
 
 
 def top_by_key(rows: DataFrame, key: str, value: str, tie: str, n: int) -> DataFrame:

@@ -287,13 +287,13 @@ register("str_04_session_stream", lambda s, d: jobs.collect_stream(s, jobs.sessi
 
 
 def _alert_stream(spark, sf_dir):
-    """One alert a user and type while it is not dismissed; views of every fifth user are live already."""
-    events = jobs.read_stream(spark, sf_dir, "events").where("value > 60").select("user_id", "event_type", "event_id")
+    """One alert a user and type while it is not dismissed: a value under 5 dismisses; views of every fifth user are live already."""
+    events = jobs.read_stream(spark, sf_dir, "events").where("value > 60 OR value < 5").select("user_id", "event_type", "event_id", F.expr("value < 5").alias("dismissed"))
     live = table(spark, sf_dir, "events").where("event_type = 'view' AND user_id % 5 = 0").select("user_id", "event_type").distinct()
     return jobs.alert_stream(spark, events, live, ["user_id", "event_type"], "event_id", "alerts")
 
 
-register("str_06_alert_stream", _alert_stream, "SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE value > 60 AND NOT (event_type = 'view' AND user_id % 5 = 0) GROUP BY user_id, event_type")
+register("str_06_alert_stream", _alert_stream, "r AS (SELECT user_id, event_type, event_id, value < 5 AS gone FROM events WHERE value > 60 OR value < 5), b AS (SELECT *, lag(gone) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM r) SELECT user_id, event_type, event_id FROM b WHERE NOT gone AND coalesce(before, NOT (event_type = 'view' AND user_id % 5 = 0))")
 
 
 def _late_rows(spark, sf_dir):

@@ -8,7 +8,9 @@ from ledgerline.operators import duplicates as du
 from ledgerline.operators import records as rc
 from ledgerline.queries.base import query, register, table
 from ledgerline.sources import files as fl
+from ledgerline.sources.keyed import KeyedTable, refresh_partitions
 from ledgerline.streaming import jobs
+from ledgerline.workdir import new_path
 
 _EV = "ev AS (SELECT event_id AS id, 'Company' || (user_id % 6) AS company, event_type AS type, CAST(ts AS DATE) AS day, value AS amount FROM events)"
 
@@ -52,9 +54,32 @@ def _halves(t):
     return e.where("event_id % 10 < 7"), e.where("event_id % 10 > 2").withColumn("value", F.col("value") + 1)
 
 
-@query("src_11_upsert", "SELECT event_id, ts, round(CASE WHEN event_id % 10 > 2 THEN value + 1 ELSE value END, 6) AS value FROM events")
-def src_11(t):
-    return rc.upsert(*_halves(t), ["event_id"], "ts").select("event_id", "ts", F.round("value", 6).alias("value"))
+def _keyed(spark, sf_dir):
+    """Two batches of rows, the second after a compaction and twice, in a stored table."""
+    old, new = _halves(lambda name: table(spark, sf_dir, name))
+    held = KeyedTable(spark, new_path(spark, "snapshots"), ", ".join(f"`{c}` {t}" for c, t in old.dtypes), ["event_id"], "ts", 8)
+    held.upsert("first", old)
+    held.compact()
+    held.upsert("second", new)
+    held.upsert("second", new)
+    return held.read().select("event_id", "ts", F.round("value", 6).alias("value"))
+
+
+register("src_11_upsert", _keyed, "SELECT event_id, ts, round(CASE WHEN event_id % 10 > 2 THEN value + 1 ELSE value END, 6) AS value FROM events")
+
+
+def _refreshed(spark, sf_dir):
+    """Views by company are there; then errors of four companies arrive, of which one has failed and one in part."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 6).cast("int").alias("company"))
+    failed = F.when((F.col("company") == 3) | ((F.col("company") == 2) & (F.col("event_id") % 2 == 0)), "timeout")
+    path = new_path(spark, "partitions")
+    refresh_partitions(spark, path, rows.where("event_type = 'view'"), "company")
+    done = refresh_partitions(spark, path, rows.where("event_type = 'error' AND company < 4").withColumn("failed", failed), "company", "failed")
+    held = spark.read.parquet(path).groupBy("company").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return held.join(done, "company", "left").select("company", "n", "ids", "status", "rows_written")
+
+
+register("src_12_refresh_partitions", _refreshed, "r AS (SELECT event_id, event_type, user_id % 6 AS company FROM events), b AS (SELECT *, company = 3 OR (company = 2 AND event_id % 2 = 0) AS bad FROM r WHERE event_type = 'error' AND company < 4), d AS (SELECT company, CASE WHEN bool_and(bad) THEN 'error' WHEN bool_or(bad) THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (NOT bad) AS rows_written FROM b GROUP BY company), h AS (SELECT company, event_id FROM b WHERE NOT bad UNION ALL SELECT company, event_id FROM r WHERE event_type = 'view' AND company NOT IN (SELECT company FROM b WHERE NOT bad)) SELECT CAST(h.company AS INT) AS company, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, d.status, d.rows_written FROM h LEFT JOIN d ON d.company = h.company GROUP BY h.company, d.status, d.rows_written")
 
 
 @query("src_12_refresh_partition", "SELECT user_id, event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') UNION ALL SELECT user_id, event_id FROM events WHERE event_type = 'error'")

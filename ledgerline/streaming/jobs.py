@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from ledgerline.operators.records import latest
+from ledgerline.sources.keyed import KeyedTable
 from ledgerline.workdir import new_path
 
+#: Batches of an upsert stream between two compactions.
+COMPACT_EVERY = 10
+
 
 def read_stream(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A folder's table as a stream of files, each taken once; times without zone become UTC."""
@@ -48,49 +53,103 @@ def collect_stream(spark: SparkSession, stream: DataFrame, name: str, mode: str
 
 
 def upsert_stream(spark: SparkSession, stream: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
-    """Latest row a key: batches land in folders of their ids (a replay overwrites its own), the view picks the latest."""
+    """Latest row a key: every batch is an upsert of a keyed table under its own id, so a replay changes nothing."""
     out = new_path(spark, f"upsert-{name}")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    held = KeyedTable(spark, out, schema, keys, at)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, keys, [F.desc(at)]).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        held.upsert(str(batch_id), batch)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            held.compact()
 
     stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
-    return latest(spark.read.parquet(out).drop("batch"), keys, [F.desc(at)])
-
-
-def alert_stream(spark: SparkSession, stream: DataFrame, live: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """One alert a key: rows whose key has no live alert and none of an earlier batch; a batch's own first row by ``order`` stands.
-
-    Batches land in folders of their ids, and a batch is held against those before it alone,
-    so a replay writes what it wrote before.
+    return held.read()
+
+
+class _OncePerKey(StatefulProcessor):
+    """Lets a key's first row through while it has no live alert; a dismissal ends the alert, and so does its time."""
+
+    def __init__(self, order: str, columns: list[str], dismissed: str, at: str | None, days: int) -> None:
+        self.order, self.columns, self.dismissed, self.at, self.span = order, columns, dismissed, at, days * 86_400_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.live = handle.getValueState("live", "until long")
+
+    def _until(self, when) -> int:
+        return 0 if self.at is None else int(pd.Timestamp(when).value // 1_000_000) + self.span
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        # Rows of one key in one trigger, by their order.
+        whole = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        times = whole[self.at].tolist() if self.at else [None] * len(whole)
+        until, out = (self.live.get()[0] if self.live.exists() else None), []
+        for i, (gone, when) in enumerate(zip(whole[self.dismissed].tolist(), times, strict=True)):
+            if until and self.at and int(pd.Timestamp(when).value // 1_000_000) >= until:
+                until = None
+            if gone:
+                until = None
+            elif until is None:
+                out.append(i)
+                until = self._until(when)
+        if until is None:
+            self.live.clear()
+        else:
+            self.live.update((until,))
+            if until:
+                self.handle.registerTimer(until)
+        yield whole.iloc[out][self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        if self.live.exists() and 0 < self.live.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.live.clear()
+        return iter([])
+
+    def handleInitialState(self, key, rows, timerValues):  # noqa: N802, N803
+        self.live.update((0,))
+
+    def close(self) -> None:
+        pass
+
+
+def alert_stream(spark: SparkSession, stream: DataFrame, live: DataFrame, keys: list[str], order: str, name: str, dismissed: str = "dismissed", at: str | None = None, days: int = 60, delay: str = "0 seconds") -> DataFrame:
+    """One alert a key while it is not dismissed: rows whose key has no live alert, by ``order`` within a trigger.
+
+    A row with ``dismissed`` set ends its key's alert, so the next row alerts again; with ``at``
+    an alert also ends after ``days``, and a timer drops its state once the watermark is there.
+    ``live`` are the keys whose alert stands at the start, without an end. What is held is one
+    value a live key; no batch reads an earlier one. Rows of one key within a trigger are taken
+    together: bound a trigger by its files.
     """
-    out = new_path(spark, f"alerts-{name}")
-    schema = stream.schema
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        earlier = [f"{out}/batch={i}" for i in range(batch_id)]
-        known = live.select(*keys)
-        if earlier:
-            known = known.union(batch.sparkSession.read.schema(schema).parquet(*earlier).select(*keys))
-        latest(batch.join(known.distinct(), keys, "left_anti"), keys, [F.col(order)]).select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+    columns = [c for c in stream.columns if c != dismissed]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields if f.name != dismissed)
+    setting, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, store)
+    try:
+        rows = stream.withWatermark(at, delay) if at else stream
+        alerts = rows.groupBy(*keys).transformWithStateInPandas(_OncePerKey(order, columns, dismissed, at, days), schema, "Append", "EventTime" if at else "None", initialState=live.select(*keys).distinct().groupBy(*keys))
+        return collect_stream(spark, alerts, f"alerts-{name}")
+    finally:
+        spark.conf.set(setting, before)
 
 
 def late_rows(spark: SparkSession, arrivals: list[DataFrame], at: str, delay: timedelta) -> DataFrame:
     """Rows that lie more than ``delay`` behind the newest row of the batches before theirs.
 
     ``arrivals`` are written to a folder one after another and read as a stream, a file's batch
-    each; every batch is split and its late rows go to a side table.
+    each; every batch is split and its late rows go to a side table. A batch leaves the newest
+    time of all batches so far, so the next one reads that alone.
     """
     root, out = new_path(spark, "arrivals"), new_path(spark, "late-rows")
     schema = arrivals[0].schema
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.max(at).alias(at)).write.mode("overwrite").parquet(f"{out}-seen/batch={batch_id}")
-        seen = spark.read.schema(f"{at} timestamp").parquet(*[f"{out}-seen/batch={i}" for i in range(batch_id)]).agg(F.max(at).alias("top")) if batch_id else None
-        late = batch.where("false") if seen is None else batch.join(F.broadcast(seen)).where(F.col(at) < F.col("top") - F.lit(delay)).drop("top")  # one row
+        seen = spark.read.schema(f"{at} timestamp").parquet(f"{out}-seen/batch={batch_id - 1}") if batch_id else spark.createDataFrame([(None,)], f"{at} timestamp")
+        batch.select(at).union(seen).agg(F.max(at).alias(at)).write.mode("overwrite").parquet(f"{out}-seen/batch={batch_id}")
+        top = seen.select(F.col(at).alias("top"))
+        late = batch.join(F.broadcast(top)).where(F.col(at) < F.col("top") - F.lit(delay)).drop("top")  # one row
         late.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     for rows in arrivals:

@@ -87,3 +87,20 @@ def test_tables_of_pages(spark):
     df = spark.createDataFrame([(1, two), (2, None), (3, "no table"), (4, "<table><tr><td>broken")], "k long, html string")
     got = {(r.k, r.table_idx): (r.context, r.rows) for r in ch.extract_tables(df, "k", "html").collect()}
     assert got == {(1, 0): ("Cash flow", [["a", "b"], ["1", "2"]]), (1, 1): ("Cash flow", [["u"], ["v"]])}
+
+
+def test_a_text_of_a_million_sentences(spark):
+    import time
+
+    text = "One two three. Four! Five six? " * 333_334
+    began = time.time()
+    got = ch.packed(ch._SENTENCE.split(text), 60, " ", False)
+    assert time.time() - began < 30 and sum(x.count(" ") + 1 for x in got) == 333_334 * 6 and max(x.count(" ") + 1 for x in got) == 60
+    assert got[:50] == pack(sentences(text[:40_000]), 60, " ", False)[:50]
+
+
+def test_parts_without_words_and_long_parts():
+    parts = ["\t", "a b c", " ", "d", "\t", "e f g h i j", "\n", "k"]
+    for most in (1, 2, 3, 4, 100):
+        for merge in (True, False):
+            assert ch.packed(parts, most, "|", merge) == pack(parts, most, "|", merge)
