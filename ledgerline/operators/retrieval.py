@@ -1,4 +1,4 @@
-"""Search over chunks and vectors: exact and hashed nearest neighbours, BM25, fusion, expansion."""
+"""Search over chunks and vectors: exact nearest neighbours, BM25, fusion, expansion."""
 
 from __future__ import annotations
 
@@ -45,20 +45,6 @@ def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return out
 
 
-def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 8, width: float = 0.5) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors; scores of what is retrieved are exact."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def shaped(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col(key), unit(F.col("embedding")).alias("u")).withColumn("features", array_to_vector("u"))
-
-    left, right = shaped(queries, "query_id"), shaped(corpus, "doc_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=1).fit(right)
-    near = model.approxSimilarityJoin(left, right, 1.5)
-    return top_k(near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"), dot(F.col("datasetA.u"), F.col("datasetB.u")).alias("score")), k)
-
-
 def filter_chunks(chunks: DataFrame, where: dict, contains: str | None = None) -> DataFrame:
     """Equality and membership on columns, and a substring of the content."""
     out = chunks

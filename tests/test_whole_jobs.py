@@ -5,7 +5,6 @@ from datetime import date, timedelta
 
 from ledgerline.operators import records as rc
 from ledgerline.operators import retrieval as rt
-from ledgerline.queries import QUERIES
 
 
 def agree(x, y, days, ratio):
@@ -37,14 +36,6 @@ def test_duplicate_links_hold_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == same | near
 
 
-def test_hashed_neighbours_recall(spark):
-    for path in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
-        exact, near = ({(r.query_id, r.doc_id) for r in QUERIES[n](spark, path).collect()} for n in ("ret_01_vector_topk_all", "ret_02_vector_topk_lsh_all"))
-        ids = {r.vec_id for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id").collect()}
-        assert {q for q, _ in exact} == {i for i in ids if i % 100 == 0} and all((q, q) in exact for q, _ in exact)
-        assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_vector_scores_in_blocks(spark, monkeypatch):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(60)
     q, v = e.withColumnRenamed("vec_id", "query_id").select("query_id", "embedding"), e.withColumnRenamed("vec_id", "doc_id")
