@@ -84,28 +84,46 @@ def table_name(context: Column) -> Column:
     return F.when(F.coalesce(context, F.lit("")) == "", "Unnamed Table").otherwise(F.coalesce(*[F.initcap(x) for x in found], F.trim(F.substring(context, 1, 50))))
 
 
-def fiscal_name(name: Column, content: Column) -> tuple[Column, Column]:
+# Patterns of file names with their groups of year and quarter, in order of precedence; then a month and a
+# year, a date, a quarter before its year; and what a content says of a year that has ended.
+NAME_FAMILIES = [(r"[Ff][Yy](\d{2,4})[_\-]?[Qq](\d)", 1, 2), (r"[Qq](\d)[_\-]?[Ff][Yy](\d{2,4})", 2, 1), (r"(\d{4}).*[Qq](\d)", 1, 2), (r"(\d{2})[Qq](\d)", 1, 2)]
+MONTH_YEAR, DATED, QUARTER_FIRST = r"(?:8[Kk]|10[Kk]|10[Qq])_(\d{2})(\d{2})", r"(\d{4})-(\d{2})-(\d{2})", r"[Qq](\d)[_\-](\d{4})"
+YEARS_ENDED = [
+    r"(?is)fiscal\s*year\s*ended\s*.*?(20\d{2})",
+    r"(?i)year\s*ended\s*(?:january|february|march|april|may|june|july|august|september|october|november|december)\s*\d{1,2}\s*,?\s*(20\d{2})",
+    r"(?is)for\s*the\s*year\s*ended\s*.*?(20\d{2})",
+    r"(?is)quarterly\s*(?:report|period)\s*ended\s*.*?(20\d{2})",
+]
+#: Quarter of a fiscal year that ends in March, by the month in which its report is filed.
+FILED_IN = {7: 1, 8: 1, 10: 2, 11: 2, 1: 3, 2: 3, 5: 4, 6: 4}
+
+
+def fiscal_name(name: Column, content: Column, company: Column | None = None, filed: tuple[str, ...] = (), period_end: tuple[str, ...] = ()) -> tuple[Column, Column]:
     """(``FYyy``, ``Qn``) of a file's name, else of its content; Unknown and an empty quarter without one.
 
     In this order: FY22Q3, Q3-FY26, 2023...Q2, 25Q2, 8K_0824 (month and year, years that begin in
-    February), a date of the period's end, Q1-2025; then a year that the content says has ended.
+    February), a date, Q1-2025; then a year that the content says has ended. What a date means
+    depends on the company: those of ``filed`` have fiscal years that end in March and name the
+    day of filing, those of ``period_end`` calendar years and the day that ends the period; for
+    all others a date says nothing.
     """
     part = lambda p, i: F.regexp_extract(name, p, i)
-    families = [(r"[Ff][Yy](\d{2,4})[_\-]?[Qq](\d)", 1, 2), (r"[Qq](\d)[_\-]?[Ff][Yy](\d{2,4})", 2, 1), (r"(\d{4}).*[Qq](\d)", 1, 2), (r"(\d{2})[Qq](\d)", 1, 2)]
-    month_year, dated, reverse = r"(?:8[Kk]|10[Kk]|10[Qq])_(\d{2})(\d{2})", r"(\d{4})-(\d{2})-(\d{2})", r"[Qq](\d)[_\-](\d{4})"
-    month = part(month_year, 1).try_cast("int")
+    month = part(MONTH_YEAR, 1).try_cast("int")
     shifted = F.floor(F.pmod(month - 2, F.lit(12)) / 3).cast("int") + 1
-    year, quarter = F.lit(None).cast("string"), F.lit(None).cast("string")
+    one_of = lambda names: F.coalesce(company.isin(*names), F.lit(False)) if company is not None and names else F.lit(False)
+    y, m = part(DATED, 1).try_cast("int"), part(DATED, 2).try_cast("int")
+    filing = F.create_map(*[F.lit(x) for pair in FILED_IN.items() for x in pair])
     head = F.substring(F.coalesce(content, F.lit("")), 1, 10000)
-    ended = F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in (r"(?is)fiscal\s*year\s*ended\s*.*?(20\d{2})", r"(?is)for\s*the\s*year\s*ended\s*.*?(20\d{2})", r"(?is)quarterly\s*(?:report|period)\s*ended\s*.*?(20\d{2})")])
+    ended = F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in YEARS_ENDED])
     year, quarter = F.when(ended.isNotNull(), F.right(ended, F.lit(2))), F.lit(None).cast("string")
-    for has, y, q in [
-        (reverse, part(reverse, 2), part(reverse, 1)),
-        (dated, part(dated, 1), F.ceil(part(dated, 2).try_cast("int") / 3).cast("string")),
-        (month_year, part(month_year, 2), F.when(month.between(1, 12), shifted.cast("string")).otherwise("")),
-        *[(p, part(p, i), part(p, j)) for p, i, j in reversed(families)],
+    for has, of_year, of_quarter in [
+        (name.rlike(QUARTER_FIRST), part(QUARTER_FIRST, 2), part(QUARTER_FIRST, 1)),
+        (name.rlike(DATED) & one_of(period_end), part(DATED, 1), F.when(m.between(1, 12), F.ceil(m / 3).cast("string")).otherwise("")),
+        (name.rlike(DATED) & one_of(filed), (y + F.when(m >= 4, 1).otherwise(0)).cast("string"), F.coalesce(F.try_element_at(filing, m).cast("string"), F.lit(""))),
+        (name.rlike(MONTH_YEAR), part(MONTH_YEAR, 2), F.when(month.between(1, 12), shifted.cast("string")).otherwise("")),
+        *[(name.rlike(p), part(p, i), part(p, j)) for p, i, j in reversed(NAME_FAMILIES)],
     ]:
-        year, quarter = F.when(name.rlike(has), F.right(y, F.lit(2))).otherwise(year), F.when(name.rlike(has), q).otherwise(quarter)
+        year, quarter = F.when(has, F.right(of_year, F.lit(2))).otherwise(year), F.when(has, of_quarter).otherwise(quarter)
     return F.coalesce(F.concat(F.lit("FY"), year), F.lit("Unknown")), F.when(F.coalesce(quarter, F.lit("")) != "", F.concat(F.lit("Q"), quarter)).otherwise("")
 
 

@@ -109,10 +109,11 @@ def src_16(t):
 
 
 @query("fis_03_filename_families", rf"""p AS (SELECT o_orderkey, name, content, regexp_extract(name, '[Ff][Yy](\d{{2,4}})[_\-]?[Qq](\d)', ['y', 'q']) AS a, regexp_extract(name, '[Qq](\d)[_\-]?[Ff][Yy](\d{{2,4}})', ['q', 'y']) AS b, regexp_extract(name, '(\d{{4}}).*[Qq](\d)', ['y', 'q']) AS c, regexp_extract(name, '(\d{{2}})[Qq](\d)', ['y', 'q']) AS d, regexp_extract(name, '(?:8[Kk]|10[Kk]|10[Qq])_(\d{{2}})(\d{{2}})', ['m', 'y']) AS e, regexp_extract(name, '(\d{{4}})-(\d{{2}})-(\d{{2}})', ['y', 'm', 'x']) AS f, regexp_extract(name, '[Qq](\d)[_\-](\d{{4}})', ['q', 'y']) AS g, regexp_extract(content, '(?is)fiscal\s*year\s*ended\s*.*?(20\d{{2}})', 1) AS h FROM dated_names),
-r AS (SELECT o_orderkey, CASE WHEN a.y <> '' THEN a.y WHEN b.y <> '' THEN b.y WHEN c.y <> '' THEN c.y WHEN d.y <> '' THEN d.y WHEN e.y <> '' THEN e.y WHEN f.y <> '' THEN f.y WHEN g.y <> '' THEN g.y WHEN h <> '' THEN h END AS y, CASE WHEN a.y <> '' THEN a.q WHEN b.y <> '' THEN b.q WHEN c.y <> '' THEN c.q WHEN d.y <> '' THEN d.q WHEN e.y <> '' THEN CAST((TRY_CAST(e.m AS INT) + 10) % 12 // 3 + 1 AS VARCHAR) WHEN f.y <> '' THEN CAST((TRY_CAST(f.m AS INT) + 2) // 3 AS VARCHAR) WHEN g.y <> '' THEN g.q END AS q FROM p)
+r AS (SELECT o_orderkey, CASE WHEN a.y <> '' THEN a.y WHEN b.y <> '' THEN b.y WHEN c.y <> '' THEN c.y WHEN d.y <> '' THEN d.y WHEN e.y <> '' THEN e.y WHEN f.y <> '' AND o_orderkey % 3 = 0 THEN CAST(TRY_CAST(f.y AS INT) + CASE WHEN TRY_CAST(f.m AS INT) >= 4 THEN 1 ELSE 0 END AS VARCHAR) WHEN f.y <> '' AND o_orderkey % 3 = 1 THEN f.y WHEN g.y <> '' THEN g.y WHEN h <> '' THEN h END AS y, CASE WHEN a.y <> '' THEN a.q WHEN b.y <> '' THEN b.q WHEN c.y <> '' THEN c.q WHEN d.y <> '' THEN d.q WHEN e.y <> '' THEN CAST((TRY_CAST(e.m AS INT) + 10) % 12 // 3 + 1 AS VARCHAR) WHEN f.y <> '' AND o_orderkey % 3 = 0 THEN CASE WHEN TRY_CAST(f.m AS INT) IN (7, 8) THEN '1' WHEN TRY_CAST(f.m AS INT) IN (10, 11) THEN '2' WHEN TRY_CAST(f.m AS INT) IN (1, 2) THEN '3' WHEN TRY_CAST(f.m AS INT) IN (5, 6) THEN '4' END WHEN f.y <> '' AND o_orderkey % 3 = 1 THEN CAST((TRY_CAST(f.m AS INT) + 2) // 3 AS VARCHAR) WHEN g.y <> '' THEN g.q END AS q FROM p)
 SELECT o_orderkey, coalesce('FY' || right(y, 2), 'Unknown') AS fy, coalesce('Q' || q, '') AS quarter FROM r""", ("dated_names",))
 def fis_03_families(t):
-    fy, quarter = fg.fiscal_name(F.col("name"), F.col("content"))
+    company = F.concat(F.lit("C"), (F.col("o_orderkey") % 3).cast("string"))  # C0 files by fiscal year, C1 names the period's end
+    fy, quarter = fg.fiscal_name(F.col("name"), F.col("content"), company, ("C0",), ("C1",))
     return t("dated_names").select("o_orderkey", fy.alias("fy"), quarter.alias("quarter"))
 
 

@@ -22,7 +22,7 @@ def _events(t):
 @query("src_05_filing_index", "SELECT 'C' || (o_custkey % 50) AS company, o_orderstatus AS form, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_orderstatus IN ('F', 'P')")
 def src_05(t):
     one = F.struct(F.col("o_orderstatus").alias("form"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").cast("string").alias("accession"))
-    lists = t("orders").groupBy(F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string")).alias("company")).agg(F.collect_list(one).alias("x"))
+    lists = t("orders").groupBy(F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string")).alias("company"), F.trunc("o_orderdate", "month").alias("period")).agg(F.collect_list(one).alias("x"))  # an index a company and month
     return fl.filing_index(lists.select("company", "x.form", "x.day", "x.accession"), ["F", "P"]).select("company", "form", "accession")
 
 

@@ -245,7 +245,7 @@ def ret_01_filtered(t):
 @query("src_05_filing_index_labels", "SELECT 'C' || (o_custkey % 50) AS company, o_orderstatus AS form, CAST(o_orderkey AS VARCHAR) AS accession, 'C' || (o_custkey % 50) || '_' || o_orderstatus || '_' || CAST(o_orderdate AS DATE) AS filing_id, 'FY' || right(CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) > 9 THEN 1 ELSE 0 END AS VARCHAR), 2) AS fy, 'Q' || ((month(o_orderdate) + 2) % 12 // 3 + 1) AS quarter FROM orders WHERE o_orderstatus IN ('F', 'P') AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 def src_05_labels(t):
     one = F.struct(F.col("o_orderstatus").alias("form"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").cast("string").alias("accession"))
-    lists = t("orders").groupBy(F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string")).alias("company")).agg(F.collect_list(one).alias("x"))
+    lists = t("orders").groupBy(F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string")).alias("company"), F.trunc("o_orderdate", "month").alias("period")).agg(F.collect_list(one).alias("x"))  # an index a company and month
     return fl.recent_filings(lists.select("company", "x.form", "x.day", "x.accession"), ["F", "P"], "1998-12-31", 729, 9)
 
 

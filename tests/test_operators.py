@@ -57,3 +57,14 @@ def test_upsert_takes_the_batch_on_ties(spark):
 def test_amounts(spark):
     row = spark.createDataFrame([("$1.5 billion and $20,000 and $3",)], "s string").select(tx.dollar_amounts(F.col("s")).alias("a"), tx.parse_amount(F.lit("$(1,505)")).alias("b")).first()
     assert (row.a, row.b) == ([1.5e9, 20000.0], 1505.0)
+
+
+def test_dates_in_file_names_by_company(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.functions import filings as fg
+
+    rows = [("10-Q_2024-07-26.htm", "", "filer"), ("10-K_2024-03-31.htm", "", "filer"), ("10-Q_2023-09-30.htm", "", "calendar"), ("10-Q_2023-09-30.htm", "", "other"), ("x_2023-13-30.htm", "", "calendar"), ("a.htm", "for the Year Ended\nMarch 31, 2022", "other"), ("a.htm", "year ended June 3 2021 and fiscal year ended 2020", "other"), ("2024-05-01 Q1-2025", None, None)]
+    fy, quarter = fg.fiscal_name(F.col("name"), F.col("content"), F.col("company"), ("filer",), ("calendar",))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "name string, content string, company string").select(fy, quarter).collect()]
+    assert got == [("FY25", "Q1"), ("FY24", ""), ("FY23", "Q3"), ("Unknown", ""), ("FY23", ""), ("FY22", ""), ("FY20", ""), ("FY24", "Q1")]
