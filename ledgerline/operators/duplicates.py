@@ -191,23 +191,19 @@ def _ranges(classes: DataFrame, days: int, ratio: float) -> DataFrame:
     return out
 
 
-def duplicate_classes(events: DataFrame, days: int = 30, ratio: float = 0.7) -> DataFrame:
-    """(id, n_links, component) of every event (id, company, type, day, amount).
-
-    ``n_links``: other events of one company (in any case) and type within some days and a ratio
-    of amounts. A null or zero amount agrees with every amount, a null day with every day, and a
-    negative amount with null or zero ones alone. ``component``: the smallest id reachable by
-    links. Null ids, companies or types link with nothing; repeated rows count each; an empty
-    table gives no rows.
-    """
+def _keyed(events: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Events with what makes two of them one class, and the names of that."""
     amount, day = F.col("amount").cast("double"), F.coalesce(F.datediff("day", F.lit("1970-01-01").cast("date")), F.lit(_NO_DAY))
     rows = events.select("id", F.lower("company").alias("company"), "type", day.alias("day"), F.when(~F.isnan(amount), amount).alias("amount"))
     rows = rows.withColumn("alone", F.when(F.col("amount") < 0, F.col("id"))).withColumn("amount", F.coalesce("amount", F.lit(0.0)) + F.lit(0.0))
-    what = [*_GROUP, "day", "amount", "alone"]
-    known = rows.dropna(subset=["id", *_GROUP])
+    return rows, [*_GROUP, "day", "amount", "alone"]
+
+
+def _facts(rows: DataFrame, what: list[str], days: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal events (first_id, ident, n_links, links to open ones), and the sweep's rows."""
     # Classes are numbered in the order of their ids, which may repeat, so that a component's least class has its least id.
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    classes = known.groupBy(*what).agg(F.min("id").alias("first_id"), F.count("*").alias("weight"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = rows.dropna(subset=["id", *_GROUP]).groupBy(*what).agg(F.min("id").alias("first_id"), F.count("*").alias("weight"))
     classes = staged(classes.repartitionByRange(parts, "first_id").sortWithinPartitions("first_id").withColumn("ident", F.monotonically_increasing_id()), "event-classes")
     met = _ranges(classes, days, ratio)
 
@@ -229,14 +225,44 @@ def duplicate_classes(events: DataFrame, days: int = 30, ratio: float = 0.7) ->
     n = F.expr("""CASE kind WHEN 'full' THEN n + open_near + n_any - 1 WHEN 'undated' THEN n + n_open + n_any - 1 WHEN 'negative' THEN open_near + n_any
  WHEN 'lost' THEN n_open + n_any WHEN 'open' THEN full_near + open_near + n_undated + n_any - 1 ELSE n_all - 1 END""")
     facts = staged(facts.withColumn("n_links", n), "event-facts")
+    discard(classes)
+    return facts, met
+
+
+def _with_classes(rows: DataFrame, what: list[str], of_class: DataFrame, name: str) -> DataFrame:
+    """Every event with its class's columns; events without an id, a company or a type stand alone."""
+    known = rows.dropna(subset=["id", *_GROUP])
+    found = known.join(of_class, [known[c].eqNullSafe(of_class[c]) for c in what]).select("id", "n_links", "component")
+    lost = rows.where(F.col("id").isNull() | F.col("company").isNull() | F.col("type").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return staged(found.unionByName(lost), name)
+
+
+def duplicate_counts(events: DataFrame, days: int = 30, ratio: float = 0.7) -> DataFrame:
+    """(id, n_links) of every event, as ``duplicate_classes`` counts them."""
+    rows, what = _keyed(events)
+    facts, met = _facts(rows, what, days, ratio)
+    out = _with_classes(rows, what, facts.select(*what, "n_links", F.col("first_id").alias("component")), "event-counts")
+    discard(facts, met)
+    return out.select("id", "n_links")
+
+
+def duplicate_classes(events: DataFrame, days: int = 30, ratio: float = 0.7) -> DataFrame:
+    """(id, n_links, component) of every event (id, company, type, day, amount).
+
+    ``n_links``: other events of one company (in any case) and type within some days and a ratio
+    of amounts. A null or zero amount agrees with every amount, a null day with every day, and a
+    negative amount with null or zero ones alone. ``component``: the smallest id reachable by
+    links. Null ids, companies or types link with nothing; repeated rows count each; an empty
+    table gives no rows.
+    """
+    rows, what = _keyed(events)
+    facts, met = _facts(rows, what, days, ratio)
     loose = F.expr("filter(array(of_any, IF(kind IN ('undated', 'lost'), of_open, NULL), IF(kind = 'open', of_undated, NULL), left, right, IF(kind = 'open', before, NULL)), x -> x IS NOT NULL AND x <> ident)")
     edges = met.where("other IS NOT NULL").select("ident", "other").unionByName(facts.select("ident", F.explode(loose).alias("other")))
     labels = connected_components(edges, "ident", "other").withColumnRenamed("node", "ident")
-    names = classes.select(F.col("ident").alias("class"), F.col("first_id").alias("component"))
+    names = facts.select(F.col("ident").alias("class"), F.col("first_id").alias("component"))
     of_class = facts.select(*what, "ident", "n_links").join(labels, "ident", "left").withColumn("class", F.coalesce("component", "ident")).drop("component").join(names, "class").select(*what, "n_links", "component")
     of_class = staged(of_class, "event-components")
-    found = known.join(of_class, [known[c].eqNullSafe(of_class[c]) for c in what]).select("id", "n_links", "component")
-    lost = rows.where(F.col("id").isNull() | F.col("company").isNull() | F.col("type").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    out = staged(found.unionByName(lost), "event-duplicates")
-    discard(classes, met, facts, of_class)
+    out = _with_classes(rows, what, of_class, "event-duplicates")
+    discard(met, facts, of_class)
     return out

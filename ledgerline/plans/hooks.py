@@ -71,11 +71,12 @@ def nearest(chunks: DataFrame, embedder: Callable, k: int) -> DataFrame:
 
 def share_scorer(positive: list[str], negative: list[str]) -> Callable:
     """A pandas UDF from pieces to (positive, negative) shares of their words."""
+    good, bad = frozenset(positive), frozenset(negative)
 
     def score(texts: pd.Series) -> pd.DataFrame:
         words = [(t or "").lower().split() for t in texts]
         share = lambda ws, own: sum(w in own for w in ws) / len(ws) if ws else 0.0
-        return pd.DataFrame({"pos": [share(w, set(positive)) for w in words], "neg": [share(w, set(negative)) for w in words]})
+        return pd.DataFrame({"pos": [share(w, good) for w in words], "neg": [share(w, bad) for w in words]})
 
     return F.pandas_udf(score, "pos double, neg double")
 

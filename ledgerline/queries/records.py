@@ -101,7 +101,7 @@ def evt_02(t):
 @query("evt_04_duplicate_events", f"{_EV}, p AS (SELECT x.id, count(*) AS n FROM ev x JOIN ev y ON x.company = y.company AND x.type = y.type AND x.id <> y.id AND abs(x.day - y.day) <= 30 WHERE least(x.amount, y.amount) >= 0.7 * greatest(x.amount, y.amount) GROUP BY x.id) SELECT ev.id, coalesce(p.n, 0) AS n_links FROM ev LEFT JOIN p ON p.id = ev.id")
 def evt_04(t):
     """How many events each event duplicates."""
-    return du.duplicate_classes(_events(t)).select("id", "n_links")
+    return du.duplicate_counts(_events(t))
 
 
 @query("evt_04_duplicate_classes")

@@ -138,12 +138,19 @@ _RULE = f"0.8 + 0.05 * {_PRIORITY} + CASE WHEN contains(c.content, CAST(a.fiscal
 
 @query("ret_16_inject_all", f"{_VEC_ALL}, t AS (SELECT query_id, doc_id, score, {_TOP} FROM hits QUALIFY place <= 10), r AS (SELECT a.chunk_id AS query_id, c.chunk_id AS doc_id, round({_RULE}, 9) AS score FROM chunks a JOIN chunks c ON a.company = c.company WHERE a.chunk_id IN (SELECT query_id FROM q) AND contains(c.content, 'tion')), x AS (SELECT query_id, doc_id, score, {_TOP} FROM r QUALIFY place <= 5), u AS (SELECT query_id, doc_id, score FROM t UNION ALL SELECT query_id, doc_id, score FROM x) SELECT query_id, doc_id, round(max(score), 5) AS score FROM u GROUP BY ALL", ("chunks",))
 def ret_16_all(t):
-    """The five best chunks of the query's company by the rule score, merged with the hits."""
+    """The five best chunks of the query's company by the rule score, merged with the hits.
+
+    The rule knows a query by its company and year alone, so chunks are ranked once for each
+    year that is asked, however many queries ask.
+    """
     chunks = t("chunks")
-    asked = chunks.join(_all_queries(t).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").alias("a")
-    rows = chunks.where(F.col("content").contains("tion")).alias("c").join(asked, F.expr("a.company = c.company"))
-    rule = rows.select(F.col("a.chunk_id").alias("query_id"), F.col("c.chunk_id").alias("doc_id"), F.round(F.expr(_RULE).cast("double"), 9).alias("score"))
-    return rt.inject(_all_hits(t), rt.top_k(rule, 5)).withColumn("score", F.round("score", 5))
+    asked = chunks.join(_all_queries(t).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi")
+    years = asked.select("company", "fiscal_year").distinct().alias("a")
+    rows = chunks.where(F.col("content").contains("tion")).alias("c").join(years, F.expr("a.company = c.company"))
+    rule = rows.select(F.struct("a.company", "a.fiscal_year").alias("query_id"), F.col("c.chunk_id").alias("doc_id"), F.round(F.expr(_RULE).cast("double"), 9).alias("score"))
+    best = rt.top_k(rule, 5).select("query_id.company", "query_id.fiscal_year", "doc_id", "score", "place")
+    own = asked.select(F.col("chunk_id").alias("query_id"), "company", "fiscal_year").join(best, ["company", "fiscal_year"]).select("query_id", "doc_id", "score", "place")
+    return rt.inject(_all_hits(t), own).withColumn("score", F.round("score", 5))
 
 
 @query("ret_20_evidence_gate_all", f"{_VEC_ALL}, t AS (SELECT *, {_TOP} FROM hits QUALIFY place <= 5) SELECT query_id, bool_or(score >= 0.35) AS passed FROM t GROUP BY query_id")
