@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import news as nw
 from ledgerline.operators import retrieval as rt
+from ledgerline.operators.text_index import TextIndex
 from ledgerline.operators.vector_index import VectorIndex
 from ledgerline.queries.base import AS_OF, ORACLES, QUERIES, query
 from ledgerline.workdir import new_path
@@ -31,6 +32,15 @@ def ret_04(t):
     return rt.bm25(*_texts(t), 5).withColumn("score", F.round("score", 5))
 
 
+@query("ret_04_bm25_stored", f"{_BM} SELECT query_id, doc_id, round(score, 5) AS score, {_TOP} FROM bm QUALIFY place <= 5")
+def ret_04_stored(t):
+    """The same from a stored index, which is asked without splitting the texts again."""
+    queries, docs = _texts(t)
+    index = TextIndex(docs.sparkSession, new_path(docs.sparkSession, "text-index"))
+    index.add("documents", docs)
+    return index.top(queries, 5).withColumn("score", F.round("score", 5))
+
+
 @query("ret_05_keyword_overlap", f"a AS (SELECT item_id AS query_id, list_distinct({_TOK}) AS ws FROM benchmark), b AS (SELECT query_id, len(ws) AS n, unnest(ws) AS term FROM a), d AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT query_id, doc_id, count(*) / n AS score FROM d JOIN b USING (term) GROUP BY query_id, doc_id, n) SELECT query_id, doc_id, round(score, 6) AS score, {_TOP} FROM h QUALIFY place <= 5")
 def ret_05(t):
     return rt.keyword_overlap(*_texts(t), 5).withColumn("score", F.round("score", 6))
