@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.graph import kept_in_order
 from ledgerline.operators.patterns import occurrences
 
 
@@ -84,28 +83,6 @@ def amount_millions(value: Column, unit: Column) -> Column:
     return value * F.when(unit == "billions", 1000.0).otherwise(1.0) / F.when(unit == "thousands", 1000.0).otherwise(1.0)
 
 
-def merge_events(events: DataFrame, authority: list[str], days: int = 30, ratio: float = 0.7) -> DataFrame:
-    """(id, n_sources, evidence) of canonical events (id, company, type, day, amount, doc_type).
-
-    Events are taken by authority, then id; one is absorbed by the first canonical event that
-    it duplicates (``duplicate_links``), and its evidence (doc_type:id) is appended. Unknown
-    doc_types come last.
-    """
-    rank = F.array_position(F.array(*[F.lit(a) for a in authority]), F.col("doc_type"))
-    ranked = events.select("id", "doc_type", (F.when(rank == 0, len(authority) + 1).otherwise(rank) * F.lit(1 << 56) + F.col("id")).alias("turn"))
-    found = duplicate_links(events, days, ratio)
-    # Classes of equal events stand for their first by authority; others of a class are absorbed by it.
-    member = ranked.join(found.where("link = 'same'").select(F.col("z").alias("id"), F.col("a").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    first = member.groupBy("class").agg(F.min("turn").alias("first"))
-    of = first.withColumnRenamed("class", "c")
-    near = found.where("link = 'near'").join(of.select(F.col("c").alias("a"), F.col("first").alias("src")), "a").join(of.select(F.col("c").alias("z"), F.col("first").alias("dst")), "z")
-    lost = kept_in_order(near).withColumnRenamed("node", "first")
-    placed = member.join(first, "class").join(lost, "first", "left").withColumn("home", F.coalesce("keeper", "first"))
-    line = F.struct("turn", F.concat_ws(":", "doc_type", F.col("id").cast("string")).alias("e"))
-    whole = placed.groupBy("home").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["e"]), " ").alias("evidence"))
-    return whole.select((F.col("home") % F.lit(1 << 56)).alias("id"), "n_sources", "evidence")
-
-
 def event_id(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])), 1, 16)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import merging as mg
 from ledgerline.operators import news as nw
 from ledgerline.operators import records as rc
 from ledgerline.operators import retrieval as rt
@@ -90,7 +91,7 @@ def _order_events(t):
 
 @query("evt_05_merge_events")
 def evt_05(t):
-    return rc.merge_events(_order_events(t), _AUTHORITY)
+    return mg.merge_events(_order_events(t), _AUTHORITY)
 
 
 # Retrieval over hits of every query whose id is divisible by 100, with the chunk of the same id.

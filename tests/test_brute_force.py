@@ -6,8 +6,8 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from ledgerline.graph import kept_in_order
+from ledgerline.operators import merging as mg
 from ledgerline.operators import news as nw
-from ledgerline.operators import records as rc
 from ledgerline.operators import topics as tp
 
 from tests.test_whole_jobs import agree
@@ -128,7 +128,7 @@ def test_merge_events(spark):
         home.setdefault((first or r)[0], []).append(r)
     want = {(i, len(m), " ".join(f"{r[5]}:{r[0]}" for r in sorted(m, key=turn))) for i, m in home.items()}
     df = spark.createDataFrame(rows, "id long, company string, type string, day date, amount double, doc_type string")
-    assert {(r.id, r.n_sources, r.evidence) for r in rc.merge_events(df, order).collect()} == want
+    assert {(r.id, r.n_sources, r.evidence) for r in mg.merge_events(df, order).collect()} == want
 
 
 def test_embedder_and_neighbours(spark):
