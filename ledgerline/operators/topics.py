@@ -53,19 +53,29 @@ def topic_features(news: DataFrame, names: list[str] = []) -> DataFrame:  # noqa
 def topic_clusters(features: DataFrame, least_items: int = 2, merge_at: float = 0.4) -> DataFrame:
     """(input_pos, cluster): components of items that share a phrase, two tokens, or a quarter of their tokens.
 
-    Items meet at hubs (a phrase, a pair of tokens, a token of short lists) whose first item
-    stands for the rest, so a hub of n items gives n edges. Clusters with fewer urls than
+    Items meet at hubs (a phrase, a token list) and lists at others (a pair of tokens, a token of
+    short lists) whose first item stands for the rest, so a hub of n gives n edges. Tokens of one
+    list alone make no pairs; others make one with each other of their list. Clusters with fewer urls than
     ``least_items`` go; clusters of one label, or with token sets alike by ``merge_at``, are one.
     """
     items = features.select("input_pos", "url", F.array_sort("tokens").alias("tokens"), "phrases")
-    pairs = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda y: F.concat(F.lit("2 "), x, F.lit(" "), y))))
-    hubs = items.select("input_pos", F.explode(F.concat(F.transform("phrases", lambda p: F.concat(F.lit("p "), p)), pairs)).alias("hub"))
-    first = hubs.groupBy("hub").agg(F.min("input_pos").alias("src"))
-    edges = hubs.join(first, "hub").where("src <> input_pos").select("src", F.col("input_pos").alias("dst"))
+    link = lambda src, dst: (F.col(src).alias("src"), F.col(dst).alias("dst"))
+    tagged = items.select("input_pos", F.explode("phrases").alias("hub"))
+    edges = tagged.join(tagged.groupBy("hub").agg(F.min("input_pos").alias("src")), "hub").where("src <> input_pos").select(*link("src", "input_pos"))
+    # Items of one token list meet at its first, which alone stands for the list from here on.
+    lists = items.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("input_pos").alias("head"))
+    edges = edges.union(items.join(lists, "tokens").where("head <> input_pos").select(*link("head", "input_pos")))
+    # A token of a single list is part of no pair that two lists share.
+    words = lists.select("head", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    shared = words.join(words.groupBy("w").agg(F.count("*").alias("in_lists")).where("in_lists > 1").select("w"), "w")
+    shared = shared.groupBy("head").agg(F.array_sort(F.collect_list("w")).alias("tokens"))
+    pairs = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda y: F.concat(x, F.lit(" "), y))))
+    hubs = shared.select("head", F.explode(pairs).alias("hub"))
+    edges = edges.union(hubs.join(hubs.groupBy("hub").agg(F.min("head").alias("src")), "hub").where("src <> head").select(*link("src", "head")))
     # One shared token is a quarter of the union where both lists have five tokens at most in all.
-    short = items.where(F.size("tokens").between(1, 4)).select("input_pos", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    least = short.groupBy("w").agg(F.min(F.struct("n", "input_pos")).alias("m"))
-    edges = edges.union(short.join(least, "w").where("input_pos <> m.input_pos AND n + m.n <= 5").select("m.input_pos", "input_pos"))
+    short = words.where("n <= 4")
+    least = short.groupBy("w").agg(F.min(F.struct("n", "head")).alias("m"))
+    edges = edges.union(short.join(least, "w").where("head <> m.head AND n + m.n <= 5").select(F.col("m.head").alias("src"), F.col("head").alias("dst")))
     labels = connected_components(edges).withColumnRenamed("node", "input_pos")
     placed = items.join(labels, "input_pos", "left").withColumn("cluster", F.coalesce("component", "input_pos")).where(F.size("tokens") + F.size("phrases") > 0)
     large = placed.groupBy("cluster").agg(F.count_distinct("url").alias("n")).where(F.col("n") >= least_items)

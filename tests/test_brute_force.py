@@ -138,3 +138,12 @@ def test_embedder_and_neighbours(spark):
     got = {(r.query_id, r.doc_id): r.score for r in hk.nearest(df, hk.hashing_embedder(64), 2).collect()}
     assert abs(got[0, 1] - 1) < 1e-6 and (0, 0) in got and got[100, 0] == 0
     assert df.select(F.size(hk.hashing_embedder(8)("content")).alias("n")).distinct().collect()[0].n == 8
+
+
+def test_topic_clusters_of_reprints_and_lone_tokens(spark):
+    long = " ".join(f"alone{i}" for i in range(60))
+    rows = [(i, f"u{i}", "alpha beta gamma delta") for i in range(5)] + [(10, "u10", "alpha beta " + long), (11, "u11", "omega " + long.upper().replace("ALONE", "other")), (12, "u12", "sigma"), (13, "u13", "sigma"), (14, "u14", "sigma tau rho phi"), (15, "u15", "sigma tau rho phi chi")]
+    df = spark.createDataFrame(rows, "input_pos long, url string, title string")
+    got = {r.input_pos: r.cluster for r in tp.topic_clusters(tp.topic_features(df)).collect()}
+    assert got == dict.fromkeys([0, 1, 2, 3, 4, 10], 0) | dict.fromkeys([12, 13, 14, 15], 12)
+    assert tp.topic_clusters(tp.topic_features(df.limit(0))).count() == 0
