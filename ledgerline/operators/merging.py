@@ -111,7 +111,8 @@ def merge_events(events: DataFrame, authority: list[str], days: int = 30, ratio:
     Events are taken by authority, then id (of repeated ids by day and amount); one is absorbed by
     the first canonical event that it duplicates, as ``duplicate_classes`` says, and its evidence
     (doc_type:id) is appended. Unknown doc_types come last. Events without an id, a company or a
-    type stand alone; repeated rows count each; an empty table gives no rows.
+    type stand alone; repeated rows count each, as copies even if their amount is negative; an
+    empty table gives no rows.
     """
     rank = F.array_position(F.array(*[F.lit(a) for a in authority]), F.col("doc_type"))
     # Each event's own place goes along under its id: what makes a class comes from the same rows.
