@@ -7,7 +7,8 @@ rows are cut into ranges of equal size, whatever a company's share of them, and
 with what all ranges before it hold: sums and last events by day.
 
 A component needs few links: of the events below that a new one meets, those on one side of its
-day lie within reach of each other, so the nearest day before and the nearest day after suffice.
+day lie within reach of each other, so the nearest day before and the nearest day after suffice. A range
+joins its links to stars around the least event of each part, so that long chains cost no rounds.
 """
 
 from __future__ import annotations
@@ -119,16 +120,32 @@ class _Sweep:
         return [] if self.next_open is None else self._met_by(*self.next_open)
 
 
+def _least(up: dict[int, int], x: int) -> int:
+    """The least event that ``x`` is joined with; the way there is halved."""
+    while (y := up.setdefault(x, x)) != x:
+        up[x] = x = up[y]
+    return x
+
+
 def _swept(days: int, ratio: float):
     names = ("pid", "company", "type", "carried", "side", "day", "amount", "ident", "weight", "scaled", "plain", "last", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sweep, idents, others, counts = None, None, [], [], []
+        up: dict[int, int] = {}  # of one company and type in one range
 
         def put(links: list[tuple[int, int]]) -> None:
-            idents.extend(a for a, _ in links)
-            others.extend(b for _, b in links)
-            counts.extend([0] * len(links))
+            for a, b in links:
+                x, y = _least(up, a), _least(up, b)
+                up[max(x, y)] = min(x, y)
+
+        def close() -> None:
+            put(sweep.end())
+            stars = [(x, y) for x in up if (y := _least(up, x)) != x]
+            idents.extend(x for x, _ in stars)
+            others.extend(y for _, y in stars)
+            counts.extend([0] * len(stars))
+            up.clear()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), pa.array(others, pa.int64()), pa.array(counts, pa.int64())], names=["ident", "other", "n"])
@@ -142,7 +159,7 @@ def _swept(days: int, ratio: float):
             for pid, company, kind, carried, side, day, amount, ident, weight, scaled, plain, last, first in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (pid, company, kind) != now:
                     if sweep is not None:
-                        put(sweep.end())
+                        close()
                     now, sweep = (pid, company, kind), _Sweep(days, ratio)
                 if carried:
                     sweep.carry(day, scaled, plain, pair(last), pair(first))
@@ -158,7 +175,7 @@ def _swept(days: int, ratio: float):
                 if len(idents) >= _BATCH:
                     yield out()
         if sweep is not None:
-            put(sweep.end())
+            close()
         yield out()
 
     return run
@@ -237,15 +254,6 @@ def _with_classes(rows: DataFrame, what: list[str], of_class: DataFrame, name: s
     return staged(found.unionByName(lost), name)
 
 
-def duplicate_counts(events: DataFrame, days: int = 30, ratio: float = 0.7) -> DataFrame:
-    """(id, n_links) of every event, as ``duplicate_classes`` counts them."""
-    rows, what = _keyed(events)
-    facts, met = _facts(rows, what, days, ratio)
-    out = _with_classes(rows, what, facts.select(*what, "n_links", F.col("first_id").alias("component")), "event-counts")
-    discard(facts, met)
-    return out.select("id", "n_links")
-
-
 def duplicate_classes(events: DataFrame, days: int = 30, ratio: float = 0.7) -> DataFrame:
     """(id, n_links, component) of every event (id, company, type, day, amount).
 

@@ -98,10 +98,24 @@ def evt_02(t):
     return t("events").select("event_id", rc.event_id(F.col("user_id"), F.col("event_type"), F.lit(None)).alias("id"))
 
 
-@query("evt_04_duplicate_events", f"{_EV}, p AS (SELECT x.id, count(*) AS n FROM ev x JOIN ev y ON x.company = y.company AND x.type = y.type AND x.id <> y.id AND abs(x.day - y.day) <= 30 WHERE least(x.amount, y.amount) >= 0.7 * greatest(x.amount, y.amount) GROUP BY x.id) SELECT ev.id, coalesce(p.n, 0) AS n_links FROM ev LEFT JOIN p ON p.id = ev.id")
+# An amount that is null, zero or NaN agrees with every amount and a null day with every day. Rows are numbered by their ids; those without an
+# earlier neighbour are followed to all that links reach, and the first that reaches a row names its component.
+_DUPLICATES = """RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_id, user_id, event_type, ts, value) AS k, event_id AS id,
+ 'Company' || (user_id % 6) AS company, event_type AS type, CAST(ts AS DATE) AS day, CASE WHEN value <> 0 AND NOT isnan(value) THEN value END AS amount FROM events),
+ p AS MATERIALIZED (SELECT x.k AS a, y.k AS z FROM e x JOIN e y ON x.company = y.company AND x.type = y.type AND x.k <> y.k WHERE x.id IS NOT NULL AND y.id IS NOT NULL
+ AND (x.day IS NULL OR y.day IS NULL OR abs(x.day - y.day) <= 30)
+ AND (x.amount IS NULL OR y.amount IS NULL OR least(x.amount, y.amount) >= 0.7 * greatest(x.amount, y.amount))),
+ n AS MATERIALIZED (SELECT a, count(*) AS n, min(z) AS least FROM p GROUP BY a),
+ r AS (SELECT a AS seed, a AS k FROM n WHERE a < least UNION SELECT r.seed, p.z FROM r JOIN p ON p.a = r.k),
+ c AS (SELECT k, min(seed) AS seed FROM r GROUP BY k)
+ SELECT e.id, coalesce(n.n, 0) AS n_links, CASE WHEN c.k IS NULL THEN e.id ELSE s.id END AS component
+ FROM e LEFT JOIN n ON n.a = e.k LEFT JOIN c ON c.k = e.k LEFT JOIN e s ON s.k = c.seed"""
+
+
+@query("evt_04_duplicate_events", _DUPLICATES)
 def evt_04(t):
-    """How many events each event duplicates."""
-    return du.duplicate_counts(_events(t))
+    """All events with the number of their duplicates and their component."""
+    return du.duplicate_classes(_events(t))
 
 
 @query("evt_04_duplicate_classes")

@@ -1,12 +1,13 @@
 """Duplicate events against all pairs in plain Python."""
 
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 
 from ledgerline.operators import duplicates as du
-from ledgerline.queries import QUERIES
+from ledgerline.queries import ORACLES, QUERIES
 from tests.test_whole_jobs import agree
 
 SCHEMA = "id long, company string, type string, day date, amount double"
@@ -75,3 +76,20 @@ def test_empty_table_and_growth(spark):
     for sf in ("sf0.001", "sf0.01"):
         path = f"/root/testdata/{sf}"
         assert QUERIES["evt_04_duplicate_classes"](spark, path).count() == spark.read.parquet(f"{path}/events.parquet").count()
+
+
+def test_the_query_and_its_sql_hold_all_links_and_components(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [
+        (i, datetime(2024, 1, 1) + timedelta(hours=rng.randrange(3600)) if rng.random() < 0.99 else None, rng.randrange(24), rng.choice(["x", "y"]), rng.choice([7.0, 10.0, 1.0, 0.7]) * rng.randrange(1, 400))
+        for i in range(300)
+    ]
+    rows += [(300 + i, datetime(2024, 2, 1), 1, "x", v) for i, v in enumerate([0.0, -0.0, None, float("nan"), -5.0, -5.0, 1e9, 1e9])]
+    rows += [(3, datetime(2024, 2, 1), 2, "x", 50.0)] * 2 + [(None, datetime(2024, 2, 1), 2, "x", 50.0), (400, datetime(2024, 2, 1), None, "x", 50.0), (401, None, 3, None, None), (402, datetime(2031, 1, 1), 5, "z", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = brute([(i, None if u is None else f"Company{u % 6}", kind, ts and ts.date(), None if v != v else v) for i, ts, u, kind, v in rows])
+    got = QUERIES["evt_04_duplicate_events"](spark, str(tmp_path))
+    assert got.columns == ["id", "n_links", "component"] and sorted((tuple(r) for r in got.collect()), key=str) == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(con.sql(ORACLES["evt_04_duplicate_events"]).fetchall(), key=str) == want
