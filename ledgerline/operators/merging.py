@@ -1,10 +1,9 @@
 """Events merged in the order of their authority, without a table of pairs.
 
-Days and amounts are cut into cells so narrow that all events of one cell are duplicates of each
-other: of one cell at most one event stays, whatever it holds. A round keeps each cell's first
-undecided event if no cell that could hold a duplicate of it has an earlier one, and drops what the
-kept ones absorb. So an event only ever meets the few events kept around it. Rounds grow with the
-longest chain of cells that wait for each other, not with the events in them.
+Events of a company and type stream through one task in their order, as Spark sorts them, and meet
+only the kept ones around them. Days and amounts are cut into cells so narrow that all events of one
+cell are duplicates of each other: a cell holds one kept event at most, so what a task remembers
+grows with the cells of a company and type, not with its events.
 
 What has no day or no amount agrees with all days or amounts: such events look at rows, columns or
 the whole of a company and type, where no more are kept than there are cells.
@@ -13,96 +12,119 @@ the whole of a company and type, where no more are kept than there are cells.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.duplicates import _NO_DAY, _keyed
 from ledgerline.workdir import discard, staged
 
 _GROUP = ["company", "type"]
-
-
-def _around(name: str, *cells: tuple[str, int]) -> Column:
-    """Keys ``name`` with the cells of columns, each up to some steps away."""
-    keys = [[F.lit(name)]]
-    for column, steps in cells:
-        keys = [[*k, (F.col(column) + i).cast("string")] for k in keys for i in range(-steps, steps + 1)]
-    return F.array(*[F.concat_ws(":", *k) for k in keys])
-
-
-def _by_kind(**keys: Column) -> Column:
-    out = None
-    for kind, value in keys.items():
-        out = F.when(F.col("kind") == kind, value) if out is None else out.when(F.col("kind") == kind, value)
-    return out
-
-
-def _shown() -> Column:
-    """Where an event can be found: by its cell, and by the rows and columns that hold it."""
-    return _by_kind(
-        full=F.concat(_around("fdg", ("d", 0), ("g", 0)), _around("fg", ("g", 0)), _around("fd", ("d", 0)), _around("f")),
-        undated=F.concat(_around("ug", ("g", 0)), _around("u")),
-        open=F.concat(_around("od", ("d", 0)), _around("o")),
-        any=_around("a"),
-        negative=F.concat(_around("nd", ("d", 0)), _around("n")),
-        lost=F.concat(_around("l"), _around("n")),
-    )
-
-
-def _asked() -> Column:
-    """Where all duplicates of an event are: days that agree are one cell apart at most, amounts two (by rounding)."""
-    return _by_kind(
-        full=F.concat(_around("fdg", ("d", 1), ("g", 2)), _around("ug", ("g", 2)), _around("od", ("d", 1)), _around("a")),
-        undated=F.concat(_around("fg", ("g", 2)), _around("ug", ("g", 2)), _around("o"), _around("a")),
-        open=F.concat(_around("fd", ("d", 1)), _around("od", ("d", 1)), _around("nd", ("d", 1)), _around("u"), _around("l"), _around("a")),
-        any=F.concat(_around("f"), _around("u"), _around("o"), _around("n"), _around("a")),
-        negative=F.concat(_around("od", ("d", 1)), _around("a")),
-        lost=F.concat(_around("o"), _around("a")),
-    )
-
-
-def _met(events: DataFrame, kept: DataFrame, days: int, ratio: float) -> DataFrame:
-    """(company, type, turn, home): events that a kept one of theirs absorbs, with the first that does."""
-    # Of kept negative amounts, which do not absorb each other, the first of each day stands for all.
-    few = kept.groupBy(*_GROUP, "kind", "d", "g", "day", F.when(F.col("amount") >= 0, F.col("amount")).alias("of")).agg(F.min("turn").alias("home"))
-    few = few.select(*_GROUP, F.explode(_asked()).alias("key"), "home", F.col("day").alias("k_day"), F.coalesce("of", F.lit(-1.0)).alias("k_amount"))
-    shown = events.select(*_GROUP, F.explode(_shown()).alias("key"), "turn", "day", "amount")
-    dated = (F.col("day") == _NO_DAY) | (F.col("k_day") == _NO_DAY) | (F.abs(F.col("day") - F.col("k_day")) <= days)
-    valued = (F.col("amount") == 0) | (F.col("k_amount") == 0) | (F.least("amount", "k_amount") >= ratio * F.greatest("amount", "k_amount"))
-    return shown.join(few, [*_GROUP, "key"]).where((F.col("home") < F.col("turn")) & dated & valued).groupBy(*_GROUP, "turn").agg(F.min("home").alias("home"))
+#: The cell of an infinite amount.
+_TOP = 1 << 40
+
+
+class Kept:
+    """The kept events of one company and type, in the order of their turns."""
+
+    def __init__(self, days: int, ratio: float) -> None:
+        self.days, self.ratio, self.n = days, ratio, 0
+        # A little narrower than the ratio, so that rounding never puts two amounts that differ into one cell.
+        self.step = -math.log(ratio) * (1 - 1e-9)
+        self.full: dict[tuple[int, int], tuple[int, int, float]] = {}
+        self.days_of: dict[int, set[int]] = defaultdict(set)
+        self.amounts_of: dict[int, set[int]] = defaultdict(set)
+        self.undated: dict[int, tuple[int, float]] = {}
+        self.open: dict[int, tuple[int, int]] = {}
+        self.negative: dict[int, int] = {}
+        self.first: dict[str, int] = {}
+        self.turns: dict[int, dict] = {}
+
+    def _cell(self, day: int, amount: float) -> tuple[int, int]:
+        return day // (self.days + 1), _TOP if amount == math.inf else math.floor(math.log(amount) / self.step) if amount > 0 else 0
+
+    def _near(self, x: float, y: float) -> bool:
+        return min(x, y) >= self.ratio * max(x, y)
+
+    def _full_at(self, cells: list[tuple[int, int]], day: int, amount: float) -> Iterator[int]:
+        for cell in cells:
+            at = self.full.get(cell)
+            if at and (day == _NO_DAY or abs(at[1] - day) <= self.days) and (amount == 0 or self._near(at[2], amount)):
+                yield at[0]
+
+    def _firsts(self, *kinds: str) -> Iterator[int]:
+        return (self.first[k] for k in kinds if k in self.first)
+
+    def absorbing(self, day: int, amount: float) -> int | None:
+        """The place of the first kept event that agrees: days that do are one cell apart at most, amounts two (by rounding)."""
+        dated = day != _NO_DAY
+        d, g = self._cell(day, amount)
+        found = [*self._firsts("any")]
+        if amount > 0:
+            amounts = range(g - 2, g + 3)
+            cells = [(e, h) for e in range(d - 1, d + 2) for h in amounts] if dated else [(e, h) for h in amounts for e in self.days_of.get(h, ())]
+            found += self._full_at(cells, day, amount)
+            found += [at[0] for h in amounts if (at := self.undated.get(h)) and self._near(at[1], amount)]
+        elif amount == 0:
+            if not dated:
+                return 0 if self.n else None
+            found += self._full_at([(e, h) for e in range(d - 1, d + 2) for h in self.amounts_of.get(e, ())], day, amount)
+            found += self._firsts("undated", "lost")
+            found += [self.negative[e] for e in range(day - self.days, day + self.days + 1) if e in self.negative] if self.negative else []
+        if amount <= 0 and not dated:
+            found += self._firsts("open")
+        elif dated:
+            found += [at[0] for e in range(d - 1, d + 2) if (at := self.open.get(e)) and abs(at[1] - day) <= self.days]
+        elif amount > 0:
+            found += self._firsts("open")
+        return min(found, default=None)
+
+    def add(self, day: int, amount: float, turn: dict) -> None:
+        """Keep an event that nothing kept absorbs; of negative amounts, which absorb none of each other, the first of a day stands for all."""
+        n, dated = self.n, day != _NO_DAY
+        if amount >= 0 or (day not in self.negative if dated else "lost" not in self.first):
+            self.turns[n] = turn
+        d, g = self._cell(day, amount)
+        if amount > 0 and dated:
+            self.full[d, g] = (n, day, amount)
+            self.days_of[g].add(d)
+            self.amounts_of[d].add(g)
+        elif amount > 0:
+            self.undated[g] = (n, amount)
+        elif amount == 0 and dated:
+            self.open[d] = (n, day)
+        elif amount < 0 and dated:
+            self.negative.setdefault(day, n)
+        kind = ("full" if dated else "undated") if amount > 0 else ("negative" if dated else "lost") if amount < 0 else ("open" if dated else "any")
+        self.first.setdefault(kind, n)
+        self.n += 1
 
 
 def homes(classes: DataFrame, days: int, ratio: float) -> DataFrame:
-    """(company, type, turn, home) of classes (company, type, turn, day, amount): the first kept class that absorbs one, itself if it is kept."""
+    """Classes (company, type, turn, day, amount, ...) with ``home``, the turn of the first kept class that absorbs one, its own if it is kept."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
-    amount, dated = F.col("amount"), F.col("day") != _NO_DAY
-    kind = F.when(amount > 0, F.when(dated, "full").otherwise("undated")).when(amount < 0, F.when(dated, "negative").otherwise("lost")).otherwise(F.when(dated, "open").otherwise("any"))
-    # A little narrower than the ratio, so that rounding never puts two amounts that differ into one cell.
-    step = -math.log(ratio) * (1 - 1e-9)
-    whole = classes.select(*_GROUP, "turn", "day", "amount", kind.alias("kind"), F.when(dated, F.floor(F.col("day") / (days + 1))).alias("d"), F.when(amount > 0, F.floor(F.ln(amount) / step)).alias("g"))
-    whole = staged(whole, "merge-classes")
-    left, kept, cell = whole, None, [*_GROUP, "kind", "d", "g"]
-    while not left.isEmpty():
-        cells = staged(left.groupBy(*cell).agg(F.min("turn").alias("least")), "merge-cells")
-        places = cells.select(*_GROUP, F.explode(_shown()).alias("key"), "least").groupBy(*_GROUP, "key").agg(F.min("least").alias("first"))
-        ahead = cells.select(*cell, "least", F.explode(_asked()).alias("key")).join(places, [*_GROUP, "key"], "left").groupBy(*cell, "least").agg(F.min("first").alias("ahead"))
-        a, b = left.alias("a"), ahead.alias("b")
-        placed = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cell]).select("a.*", "least", "ahead")
-        free = F.coalesce(F.col("ahead") >= F.col("turn"), F.lit(True))
-        now = staged(placed.where(free & ((F.col("turn") == F.col("least")) | (F.col("amount") < 0))).drop("least", "ahead"), "merge-kept")
-        rest = left.join(now, [*_GROUP, "turn"], "left_anti")
-        rest = staged(rest.join(_met(rest, now, days, ratio), [*_GROUP, "turn"], "left_anti"), "merge-left")
-        both = now if kept is None else staged(kept.unionByName(now), "merge-all-kept")
-        discard(cells, *([] if kept is None else [kept, now]), *([] if left is whole else [left]))
-        left, kept = rest, both
-    if kept is None:
-        return whole.select(*_GROUP, "turn", F.col("turn").alias("home"))
-    lost = whole.join(kept, [*_GROUP, "turn"], "left_anti")
-    out = staged(kept.select(*_GROUP, "turn", F.col("turn").alias("home")).unionByName(_met(lost, kept, days, ratio)), "merge-homes")
-    discard(whole, kept, left)
-    return out
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, None
+        for batch in batches:
+            place, turn = [], batch.column("turn")
+            for i, (company, kind, day, amount) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*_GROUP, "day", "amount")), strict=True)):
+                if (company, kind) != group:
+                    group, kept = (company, kind), Kept(days, ratio)
+                at = kept.absorbing(day, amount)
+                if at is None:
+                    own = turn[i].as_py()
+                    kept.add(day, amount, own)
+                place.append(own if at is None else kept.turns[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, turn.type)], names=[*batch.schema.names, "home"])
+
+    ordered = classes.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "turn")
+    schema = classes.schema
+    return ordered.mapInArrow(sweep, schema.add("home", schema["turn"].dataType))
 
 
 def merge_events(events: DataFrame, authority: list[str], days: int = 30, ratio: float = 0.7) -> DataFrame:
@@ -123,8 +145,8 @@ def merge_events(events: DataFrame, authority: list[str], days: int = 30, ratio:
     known = known.where(~alone)
     turn = F.struct("id.rank", "id.id", "day", "amount", "id.doc_type")
     classes = staged(known.groupBy(*what).agg(F.min(turn).alias("turn")), "merge-turns")
-    at = homes(classes, days, ratio)
-    of = classes.join(at, [*_GROUP, "turn"]).select(*what, "home")
+    of = staged(homes(classes, days, ratio), "merge-homes").select(*what, "home")
+    discard(classes)
     k, o = known.alias("k"), of.alias("o")
     placed = k.join(o, [F.col(f"k.{c}").eqNullSafe(F.col(f"o.{c}")) for c in what]).select(F.col("k.company").alias("company"), F.col("k.type").alias("type"), "home", "id", line.alias("e"))
     merged = placed.groupBy(*_GROUP, "home").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "e"))), lambda x: x["e"]), " ").alias("evidence"))

@@ -1,5 +1,6 @@
 """Merged events against greedy absorption in plain Python."""
 
+import math
 import random
 from datetime import date, timedelta
 
@@ -69,3 +70,20 @@ def test_every_event_is_in_one_home(spark):
         path = f"/root/testdata/{sf}"
         got = QUERIES["evt_05_merge_events"](spark, path)
         assert got.agg(F.sum("n_sources")).first()[0] == spark.read.parquet(f"{path}/orders.parquet").count()
+
+
+def test_long_chains_take_one_sweep(spark, monkeypatch):
+    """Cells that wait for each other cost no jobs: rounds once staged four tables each and filled the driver with their plans."""
+    calls = []
+    monkeypatch.setattr(mg, "staged", lambda df, name, own=mg.staged: calls.append(name) or own(df, name))
+    rows = [(i, "A", "x", date(2000, 1, 1) + timedelta(days=25 * i), 100.0 + i % 7, "SEC") for i in range(120)]
+    assert found(spark, rows) == greedy(rows) and len(calls) <= 2
+
+
+def test_what_a_sweep_remembers_grows_with_cells():
+    kept = mg.Kept(30, 0.7)
+    for i in range(5000):
+        for day, amount in ((i % 300, 1.0 + i % 400), (i % 300, -1.0 - i), (mg._NO_DAY, -1.0 - i), (0, math.inf)):
+            if kept.absorbing(day, amount) is None:
+                kept.add(day, amount, {"i": i})
+    assert len(kept.turns) < 1000 and kept.n > 9000
