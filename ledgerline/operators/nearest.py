@@ -169,3 +169,113 @@ def nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, groups: list[str
 def dealt(rows: DataFrame, by: str = "doc_id") -> DataFrame:
     """Rows over all cores, however few files they lie in."""
     return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, F.col(by))
+
+
+class Words:
+    """Words of a block of queries as codes of one vocabulary, and which queries hold each; a word that many hold goes into a matrix."""
+
+    def __init__(self, table: pa.Table, dense: int = 2048) -> None:
+        ids, terms = (table.column(i).combine_chunks() for i in range(2))
+        coded, words = pc.dictionary_encode(ids), pc.dictionary_encode(terms)
+        self.ids, self.vocabulary = coded.dictionary, words.dictionary
+        query, term = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (coded, words))
+        self.n, self.v = len(self.ids), len(self.vocabulary)
+        self.pairs = np.sort(query * self.v + term)  # for looking up whether a query holds a word
+        order = np.argsort(term, kind="stable")
+        self.count = np.bincount(term, minlength=self.v)
+        self.start, self.query = np.r_[0, np.cumsum(self.count)], query[order]
+        common = np.argsort(-self.count, kind="stable")[:dense]
+        common = common[self.count[common] * 16 >= self.n]
+        self.column = np.full(self.v, -1)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n))
+        at = self.column[term]
+        self.matrix[at[at >= 0], query[at >= 0]] = 1.0
+
+    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """By row, code and length of the text that holds the word (in ``of`` where an id repeats): row, code, that length, occurrences."""
+        ws = batch.column("ws")
+        sizes = np.diff(ws.offsets.to_numpy())
+        code = pc.fill_null(pc.index_in(ws.flatten(), value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        if "of" not in batch.schema.names:
+            key, tf = np.unique((row * self.v + code)[code >= 0], return_counts=True)
+            row, code = key // max(self.v, 1), key % max(self.v, 1)
+            return row, code, sizes[row], tf
+        here = code >= 0
+        keys, tf = np.unique(np.stack([row[here], code[here], batch.column("of").flatten().to_numpy()[here]]), axis=1, return_counts=True)
+        return *keys, tf
+
+    def scores(self, first: int, n: int, row: np.ndarray, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums of weights by row (from ``first``, n of them) and query, nearly exact."""
+        column = self.column[code]
+        thick = np.zeros((n, len(self.matrix)))
+        np.add.at(thick, (row[column >= 0] - first, column[column >= 0]), weight[column >= 0])
+        out = thick @ self.matrix
+        row, code, weight = row[column < 0] - first, code[column < 0], weight[column < 0]
+        many = self.count[code]
+        at = np.repeat(self.start[code] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(many) else np.array([], dtype=np.int64)
+        cell = np.repeat(row, many) * self.n + self.query[at]
+        return out + np.bincount(cell, np.repeat(weight, many), minlength=out.size).reshape(out.shape)
+
+    def exact(self, row: np.ndarray, code: np.ndarray, weight: np.ndarray, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Scores of some rows and queries, added in the order of codes, so that equal texts tie exactly."""
+        out = np.empty(len(rows))
+        for a in range(0, len(rows), 4096):
+            r, q = rows[a : a + 4096], queries[a : a + 4096]
+            lo, hi = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
+            many = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            pair = np.repeat(np.arange(len(r)), many)
+            key = q[pair] * self.v + code[at]
+            held = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
+            out[a : a + 4096] = np.bincount(pair[held], weight[at][held], minlength=len(r))
+        return out
+
+
+def bm25_rows(terms: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, score): for each task the k best documents (doc_id, copies, ws, maybe of) of every query of (query_id, term), by score to 9 places and id.
+
+    Two passes over the documents: how many hold each word, then scores. Neither writes a document's words.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Words(terms.select("query_id", "term").toArrow()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        df, total, n = np.zeros(words.v, dtype=np.int64), 0, 0
+        for batch in batches:
+            df = df + np.bincount(words.counts(batch)[1], minlength=words.v)
+            total, n = total + len(batch.column("ws").flatten()), n + (pc.sum(batch.column("copies")).as_py() or 0)
+        code = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, code].astype(np.int64)), pa.array(np.r_[n, total, df[code]].astype(np.int64))], names=["code", "n"])
+
+    found = dict(zip(*(c.to_pylist() for c in docs.drop("doc_id").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().columns), strict=True))
+    n, mean = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(shared.value.v)
+    df[list(found)] = list(found.values())
+    about = spark.sparkContext.broadcast((np.log((n - df + 0.5) / (df + 0.5) + 1), mean / n if mean else 1.0))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (idf, mean) = shared.value, about.value
+        best = Best(k, words.n)
+        group, step = best.group(()), max(1, _PAIRS // max(words.n, 2048))
+        for batch in batches:
+            if not words.n:
+                continue
+            row, code, size, tf = words.counts(batch)
+            weight = idf[code] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+            rows = pa.Table.from_batches([batch]).select(["doc_id"])
+            for first in range(0, batch.num_rows, step):
+                m = min(step, batch.num_rows - first)
+                a, z = np.searchsorted(row, [first, first + m])
+                score = words.scores(first, m, row[a:z], code[a:z], weight[a:z])
+                at, query = reaching(np.where(score > 0, score, -np.inf), best.least[group], k)
+                some = score[at, query] > 0
+                at, query = at[some], query[some]
+                exact = words.exact(row[a:z], code[a:z], weight[a:z], at + first, query)
+                best.offer(group, query, rounded(exact, 9), rows.take(pa.array(at + first)).append_column("score", pa.array(exact)))
+        yield from batched(best, words.ids, ["doc_id", "score"])
+
+    kinds = {x: d.schema[x].dataType for d, x in ((terms, "query_id"), (docs, "doc_id"))}
+    return docs.mapInArrow(rank, StructType([*(StructField(x, kind) for x, kind in kinds.items()), StructField("score", DoubleType())]))

@@ -1,6 +1,8 @@
 """The best rows of a search against all pairs scored and ranked, and what a search may not do."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,3 +48,35 @@ def test_searches_write_no_pairs(spark, name):
     """Every pair of a query and a row once went through a nested loop and was sorted."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def okapi(queries, docs, k, k1=1.5, b=0.75):
+    split = lambda x: (x or "").lower().split()
+    mean = sum(len(split(x)) for _, x in docs) / len(docs)
+    tf = Counter((i, len(split(x)), w) for i, x in docs for w in split(x))
+    df = Counter(w for _, _, w in tf)
+    out = []
+    for q in {i for i, _ in queries}:
+        terms = {w for i, x in queries if i == q for w in split(x)}
+        score = Counter()
+        for (i, dl, w), n in tf.items():
+            if w in terms:
+                score[i] += math.log((len(docs) - df[w] + 0.5) / (df[w] + 0.5) + 1) * n * (k1 + 1) / (n + k1 * (1 - b + b * dl / mean))
+        best = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+        out += [(q, i, place + 1, round(s, 6)) for place, (i, s) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "again", "most"), [(1, False, 500_000), (2, True, 40)])
+def test_bm25_equals_plain_scores(spark, monkeypatch, seed, again, most):
+    """Also where ids repeat, with texts of one length and of several, and where queries go in blocks."""
+    monkeypatch.setattr(rt, "MAX_TERMS", most)
+    monkeypatch.setattr(ne, "_PAIRS", 4096)
+    rng = random.Random(seed)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.4)) % 97}" for _ in range(rng.randrange(0, 30)))
+    docs = [(i, rng.choice([None, "", "same words here w1"]) if rng.random() < 0.1 else text()) for i in range(150)]
+    docs += [(rng.randrange(150), text()) for _ in range(40)] + docs[:20] if again else []
+    queries = [(i, text()) for i in range(25)] + [(3, "w1 w2 w1")]
+    got = rt.bm25(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and sorted((r.query_id, r.doc_id, r.place, round(r.score, 6)) for r in got.collect()) == okapi(queries, docs, 6)
