@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import corpus as co
 from ledgerline.operators import retrieval as rt
+from ledgerline.workdir import staged
 
 
 class Retriever(Protocol):
@@ -51,12 +52,15 @@ def hashing_embedder(size: int) -> Callable:
     """A pandas UDF from texts to vectors: signed counts of words by their hash. Null texts are zero vectors."""
 
     def embed(texts: pd.Series) -> pd.Series:
+        words = [(t or "").lower().split() for t in texts]
+        # A word's hash is taken once a batch.
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        h = np.fromiter((zlib.crc32(w.encode()) for w in place), dtype=np.int64, count=len(place))
+        at, sign = h % size, np.where(h // size % 2 == 0, 1.0, -1.0)
         out = []
-        for text in texts:
-            v = np.zeros(size, dtype=np.float32)
-            h = np.fromiter((zlib.crc32(w.encode()) for w in (text or "").lower().split()), dtype=np.int64)
-            np.add.at(v, h % size, np.where(h // size % 2 == 0, 1.0, -1.0))
-            out.append(v)
+        for ws in words:
+            i = np.fromiter((place[w] for w in ws), dtype=np.int64, count=len(ws))
+            out.append(np.bincount(at[i], sign[i], minlength=size).astype(np.float32))
         return pd.Series(out)
 
     return F.pandas_udf(embed, "array<float>")
@@ -64,9 +68,9 @@ def hashing_embedder(size: int) -> Callable:
 
 def nearest(chunks: DataFrame, embedder: Callable, k: int) -> DataFrame:
     """(query_id, doc_id, score, place): neighbours of every chunk whose id is divisible by 100, in the embedder's space."""
-    vectors = chunks.select(F.col("chunk_id").alias("doc_id"), embedder("content").alias("embedding"))
+    vectors = staged(chunks.select(F.col("chunk_id").alias("doc_id"), embedder("content").alias("embedding")), "embedded")
     queries = vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    return rt.top_k(rt.vector_scores(queries, vectors), k)
+    return rt.top_k(rt.vector_best(queries, vectors, k).select("query_id", "doc_id", "score"), k)
 
 
 def share_scorer(positive: list[str], negative: list[str]) -> Callable:

@@ -2,14 +2,17 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import nearest as ne
 from ledgerline.operators import retrieval as rt
+from ledgerline.plans import hooks as hk
 from ledgerline.queries import QUERIES
 
 SCHEMA = "doc_id long, embedding array<float>, label int, kind string"
@@ -80,3 +83,19 @@ def test_bm25_equals_plain_scores(spark, monkeypatch, seed, again, most):
     got = rt.bm25(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 6)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and sorted((r.query_id, r.doc_id, r.place, round(r.score, 6)) for r in got.collect()) == okapi(queries, docs, 6)
+
+
+def test_an_embedder_runs_once_and_meets_no_pairs(spark):
+    rng = random.Random(5)
+    texts = [(i, None if i % 90 == 7 else " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(12)))) for i in range(301)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, content string")
+    embedder = hk.hashing_embedder(16)
+    got = hk.nearest(chunks, embedder, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "ArrowEvalPython" not in plan
+    vectors = chunks.select(F.col("chunk_id").alias("doc_id"), embedder("content").alias("embedding"))
+    want = rt.top_k(rt.vector_scores(vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), vectors), 5)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    word = embedder.func(pd.Series(["a b a", None]))
+    h = [zlib.crc32(w.encode()) for w in ("a", "b", "a")]
+    assert [x.sum() for x in word] == [sum(1.0 if x // 16 % 2 == 0 else -1.0 for x in h), 0.0]
